@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_key(*cols: str):
-    """A digest that tells apart rows that have the same id but other contents."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, made once: a column that a lambda's body names may be put in there by the optimizer and made for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
