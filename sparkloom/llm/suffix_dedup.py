@@ -13,10 +13,8 @@ what stands around equal anchors is compared, in these steps:
    suffix-sorted: a merge sort of the suffixes that start at one distance before
    the anchor, which compares two suffixes by the length of their common
    extension, found by binary search over prefix polynomial hashes (and then
-   verified on the bytes). A suffix's neighbours have its longest extension. The
-   end of that extension never falls as the start moves right, so the sort is
-   made for few distances only: a range of distances is halved until all of it
-   is repeated or none of it can be.
+   verified on the bytes). A suffix's neighbours have its longest extension.
+   Which distances need a sort is found by halving, see ``repeated``.
 
 An anchor with more than ``GROUP`` different surroundings is not sorted in one
 task; its strings are counted one by one by Spark instead, with the same result.
@@ -26,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cmp_to_key
+from functools import cached_property, cmp_to_key
 
 import numpy as np
 import pandas as pd
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SPAN, GRAM, GROUP = 400, 64, 4_096
+SPAN, GRAM, GROUP, FEW = 400, 64, 16_384, 8
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -99,7 +97,11 @@ class Surrounding:
         self.data, self.left, self.right = data, before, len(data) - before
         raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
         # the powers go by the place, so that equal bytes at equal places have equal differences
-        self.prefix = [0, *np.cumsum(raw * _UP[REACH - before : REACH - before + len(raw)]).tolist()]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * _UP[REACH - before : REACH - before + len(raw)])])
+
+    @cached_property
+    def prefix(self) -> list[int]:
+        return self.sums.tolist()
 
 
 def extension(a: Surrounding, b: Surrounding, start: int) -> int:
@@ -121,10 +123,25 @@ def extension(a: Surrounding, b: Surrounding, start: int) -> int:
     return low
 
 
-def _ends(around: list[Surrounding], distance: int) -> dict[int, int]:
-    """The end of each suffix's longest common extension with any other, of those that start ``distance`` before the anchor."""
+def byte_extension(a: Surrounding, b: Surrounding, start: int) -> int:
+    """As ``extension``, by comparing bytes in each step instead of hashes."""
+    i, j = start + a.left, start + b.left
+    low, high = 0, min(a.right, b.right) - start
+    if a.data[i : i + high] == b.data[j : j + high]:
+        return high
+    while high - low > 1:
+        mid = low + high >> 1
+        if a.data[i + low : i + mid] == b.data[j + low : j + mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def _ends(around: list[Surrounding], members: list[int], distance: int) -> dict[int, int]:
+    """The end of each member's longest common extension with another, for suffixes that start ``distance`` before the anchor."""
     start = -distance
-    there = [i for i, x in enumerate(around) if x.left >= distance]
+    there = [i for i in members if around[i].left >= distance]
 
     def compare(i: int, j: int) -> int:
         a, b = around[i], around[j]
@@ -132,7 +149,7 @@ def _ends(around: list[Surrounding], distance: int) -> dict[int, int]:
         x, y = a.data[start + a.left + n : start + a.left + n + 1], b.data[start + b.left + n : start + b.left + n + 1]
         return (x > y) - (x < y)
 
-    order = sorted(there, key=cmp_to_key(compare))
+    order = sorted(there, key=cmp_to_key(compare))  # Python's sort is a merge sort
     out = dict.fromkeys(there, start)
     for i, j in zip(order, order[1:]):
         end = start + extension(around[i], around[j], start)
@@ -140,32 +157,93 @@ def _ends(around: list[Surrounding], distance: int) -> dict[int, int]:
     return out
 
 
+def _equal(around: list[Surrounding], members: list[int], start: int, stop: int) -> list[list[int]]:
+    """The members by the hash of their bytes from ``start`` to ``stop``; those that lack some, and single ones, go."""
+    by: dict[int, list[int]] = {}
+    for i in members:
+        x = around[i]
+        if x.left >= -start and x.right >= stop:
+            by.setdefault(x.prefix[x.left + stop] - x.prefix[x.left + start] & ALL, []).append(i)
+    return [c for c in by.values() if len(c) > 1]
+
+
 def repeated(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
-    """For each surrounding the ranges of distances (least, most) at which a string starts that another has too."""
+    """For each surrounding the ranges of distances (least, most) at which a string starts that another has too.
+
+    The sort at the anchor tells how far to the right each surrounding is like
+    any other, and so which can have a repeated string at all. For a range of
+    distances only surroundings that agree in the bytes which all its strings
+    hold can share one; those that agree in the bytes of any of its strings are
+    sorted from its furthest start, and the extension of a suffix that reaches
+    its nearest string's end settles the whole range. The rest is halved.
+    """
+    if len(around) > FEW:
+        return _repeated_of_many(around)
     out: list[list[tuple[int, int]]] = [[] for _ in around]
-    near, far = _ends(around, 0), _ends(around, REACH)
-    todo = [(0, REACH, near, far, list(range(len(around))))]
+    near = _ends(around, list(range(len(around))), 0)
+    can = {i for i, end in near.items() if end + min(REACH, around[i].left) >= SPAN}
+    todo = [(0, REACH, list(can), can)]
     while todo:
-        a, b, at_a, at_b, asked = todo.pop()
-        open_ = []
-        for i in asked:
-            most = min(b, around[i].left)
-            if most < a or at_a.get(i, -SPAN) + most < SPAN:
-                continue  # ends only fall to the left, so no string of the range is repeated
-            if i in at_b and at_b[i] + a >= SPAN:
-                out[i].append((a, b))
-            elif a == b:
-                out[i].append((a, a))
-            else:
-                open_.append(i)
-        if not open_:
-            continue
-        if b - a == 1:
-            todo += [(a, a, at_a, at_a, open_), (b, b, at_b, at_b, [i for i in open_ if i in at_b])]
-        else:
-            mid = a + b >> 1
-            at_mid = _ends(around, mid)
-            todo += [(a, mid, at_a, at_mid, open_), (mid, b, at_mid, at_b, open_)]
+        a, b, members, asked = todo.pop()
+        for same in _equal(around, members, -a, SPAN - b):
+            left = asked.intersection(same)
+            if not left:
+                continue
+            for like in _equal(around, same, -b, SPAN - a):
+                for i, end in _ends(around, like, b).items():
+                    if end + a >= SPAN and i in left:
+                        out[i].append((a, b))
+                        left.remove(i)
+            if left and a < b:
+                mid = a + b >> 1
+                todo += [(a, mid, same, left), (mid + 1, b, same, left)]
+    return out
+
+
+def _repeated_of_many(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
+    """``repeated`` for a group of many, all distances at once.
+
+    The suffixes of each distance are merge-sorted by the hash of their string
+    (the difference of two prefix hashes); equal neighbours are partners. Then
+    a range of distances is verified by common extensions: one that starts at
+    the furthest distance holds for all nearer ones whose strings it reaches.
+    """
+    m, width, step = len(around), REACH + 1, 32
+    sums = np.zeros((m, REACH + SPAN + 1), np.uint64)
+    for i, x in enumerate(around):
+        sums[i, REACH - x.left : REACH + x.right + 1] = x.sums
+    left, right = (np.array([getattr(x, side) for x in around]) for side in ("left", "right"))
+    partner = np.full((m, width), -1, np.int32)
+    for at in range(0, width, step):
+        distances = np.arange(at, min(width, at + step))
+        strings = sums[:, REACH + SPAN - distances] - sums[:, REACH - distances]
+        there = (left[:, None] >= distances) & (right[:, None] >= SPAN - distances)
+        order = np.argsort(strings, axis=0, kind="stable")
+        ranked, here = np.take_along_axis(strings, order, 0), np.take_along_axis(there, order, 0)
+        # those that lack a part of their string stand among the others: the last one that is there is carried on
+        last = np.maximum.accumulate(np.where(here, np.arange(m)[:, None], -1), axis=0)
+        before = np.vstack([np.full((1, len(distances)), -1), last[:-1]])
+        pair = here & (before >= 0) & (np.take_along_axis(ranked, np.maximum(before, 0), 0) == ranked)
+        r, c = np.nonzero(pair)
+        a, b = order[r, c], order[before[r, c], c]
+        partner[b, c + at] = a
+        partner[a, c + at] = b
+    out: list[list[tuple[int, int]]] = [[] for _ in around]
+    for i in np.flatnonzero((partner >= 0).any(1)).tolist():
+        row, d = partner[i].tolist(), REACH
+        while d >= 0:
+            if row[d] < 0:
+                d -= 1
+                continue
+            end = byte_extension(around[i], around[row[d]], -d) - d
+            least = max(0, SPAN - end)
+            if least > d:  # a collision: look through all others for this one distance
+                if any(j != i and left[j] >= d and right[j] >= SPAN - d and byte_extension(around[i], around[j], -d) >= SPAN for j in range(m)):
+                    out[i].append((d, d))
+                d -= 1
+                continue
+            out[i].append((least, d))
+            d = least - 1
     return out
 
 
@@ -240,17 +318,22 @@ def _sorted_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(made, columns=["doc_id", "tk", "start", "stop"]).astype({"doc_id": dtype})
 
 
+STRINGS = ["ah", "n", "doc_id", "tk", "start", "distance", "digest"]
+
+
 def _each_string(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every string that holds the anchor, as its digest."""
     for pdf in parts:
+        out: list[tuple] = []
         for row in pdf.itertuples(index=False):
             data, before = row.around, row.before
-            starts = range(max(0, before - REACH), min(before, len(data) - SPAN) + 1)
-            if len(starts):
-                yield pd.DataFrame({
-                    "ah": row.ah, "n": row.n, "doc_id": pd.Series([row.doc_id] * len(starts), dtype=pdf["doc_id"].dtype), "tk": row.tk,
-                    "start": [row.at - before + s for s in starts], "distance": [before - s for s in starts], "digest": [hashlib.blake2b(data[s : s + SPAN], digest_size=16).digest() for s in starts],
-                })
+            for s in range(max(0, before - REACH), min(before, len(data) - SPAN) + 1):
+                out.append((row.ah, row.n, row.doc_id, row.tk, row.at - before + s, before - s, hashlib.blake2b(data[s : s + SPAN], digest_size=16).digest()))
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=STRINGS).astype({"doc_id": pdf["doc_id"].dtype})
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=STRINGS).astype({"doc_id": pdf["doc_id"].dtype})
 
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
