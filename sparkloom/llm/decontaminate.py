@@ -45,8 +45,8 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(_low(w)))
 
 
-def _winnowed(df: DataFrame, k: int, w: int) -> DataFrame:
-    """One row per fingerprint: ``f`` (hash) and ``at`` (position of its first word)."""
+def _winnowed(df: DataFrame, k: int, w: int, every: bool = False) -> DataFrame:
+    """One row per fingerprint: ``f`` (hash) and ``at`` (position of its first word); with ``every`` also a row without them for each row of ``df``."""
     mask = (1 << AT_BITS) - 1
 
     def grams(h: Column) -> Column:
@@ -57,6 +57,8 @@ def _winnowed(df: DataFrame, k: int, w: int) -> DataFrame:
         return F.array_distinct(F.transform(_upto(F.size(g) - w), lambda i: F.array_min(F.slice(g, i + 1, w))))
 
     kept = let(_hashes(F.col("words")), lambda h: let(grams(h), least))
+    if every:
+        kept = F.concat(kept, F.array(F.lit(None).cast("long")))
     return (
         df.select("*", F.explode(kept).alias("e"))
         .withColumn("f", F.shiftright("e", AT_BITS))
@@ -79,13 +81,16 @@ def _context(df: DataFrame, prefix: str, core: int, around: int) -> DataFrame:
 
 
 def _meet(docs: DataFrame, items: DataFrame, core: int, around: int, window: int) -> DataFrame:
-    """Verified runs: document, first word, word after the last, items."""
+    """Verified runs: document, first word, word after the last, items; and a row with ``n_words`` for each one without fingerprint."""
     items = _context(items, "b", core, around).groupBy("f", "bw", "bo").agg(F.collect_set("item").alias("items"))
     items = cut(items)
+    wanted = F.col("f").isNull() | F.col("items").isNotNull()
     if items.count() <= BROADCAST_ROWS:
-        met = _context(docs.join(F.broadcast(items), "f"), "d", core, around)
+        met = docs.join(F.broadcast(items), "f", "left").where(wanted)
+        met = _context(met.withColumn("n_words", F.when(F.col("f").isNull(), F.size("words"))), "d", core, around)
     else:
-        met = _context(docs, "d", core, around).join(items, "f")
+        met = _context(docs.withColumn("n_words", F.when(F.col("f").isNull(), F.size("words"))), "d", core, around)
+        met = met.join(items, "f", "left").where(wanted)
 
     def equal(x: Column, shift: Column) -> Column:
         i, j = x["do"] + shift, x["bo"] + shift
@@ -103,22 +108,25 @@ def _meet(docs: DataFrame, items: DataFrame, core: int, around: int, window: int
     pair = F.array(F.struct("at", "dw", "do", "bw", "bo"))
     sides = F.transform(pair, lambda x: F.struct(x["at"].alias("at"), length(x, range(-1, -1 - around, -1)).alias("l"), length(x, range(core + around)).alias("r")))
     held = F.filter(sides, lambda y: (y["r"] >= core) & (y["l"] + y["r"] >= window))
-    return met.select("doc_id", "tk", "items", F.explode(held).alias("y")).select(
-        "doc_id", "tk", (F.col("y.at") - F.col("y.l")).alias("start"), (F.col("y.at") + F.col("y.r")).alias("end"), "items"
+    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("l"), F.lit(0).alias("r")))
+    return met.select("doc_id", "tk", "items", "n_words", F.explode(F.when(F.col("f").isNull(), none).otherwise(held)).alias("y")).select(
+        "doc_id", "tk", "n_words", (F.col("y.at") - F.col("y.l")).alias("start"), (F.col("y.at") + F.col("y.r")).alias("end"), "items"
     )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """``(doc_id, tk, start, end, items)``: runs of document words that hold a benchmark window.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, every: bool = False) -> DataFrame:
+    """``(doc_id, tk, n_words, start, end, items)``: runs of document words that hold a benchmark window.
 
     ``tk`` tells rows of one id with other texts apart. Repeated rows give
-    repeated runs, which the summary takes once.
+    repeated runs, which the summary takes once. With ``every`` there is also a
+    row with ``n_words`` and without items for each row of ``docs``, so that
+    the texts are read and cut into words once.
     """
     w = window - k + 1
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    worded = keyed.select("doc_id", "tk", word_list("text").alias("words"))
+    worded = keyed.select("doc_id", "tk", F.coalesce(word_list("text"), F.array().cast("array<string>")).alias("words"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_list("text").alias("words"))
-    found = _meet(_winnowed(worded, k, w), _winnowed(items.where(F.size("words") >= window), k, w), k, window - k, window)
+    found = _meet(_winnowed(worded, k, w, every), _winnowed(items.where(F.size("words") >= window), k, w), k, window - k, window)
     short = [r[0] for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {window - 1}").distinct().collect()]
     for n in sorted(short):  # fewer than ``window`` lengths
         found = found.unionByName(_meet(_runs(worded, n), _runs(items.where(F.size("words") == n), n), n, 0, n))
@@ -134,7 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     string, and items of one id count once. An empty benchmark hits nothing.
     Other columns of either table are not looked at.
     """
-    found = cut(matches(docs, benchmark, window, k).distinct())
+    every = cut(matches(docs, benchmark, window, k, every=True))
+    found = every.where("items is not null").drop("n_words").distinct()
     key = ["doc_id", "tk"]
     hit = (
         found.select(*key, F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
@@ -145,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         .groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     summed = hit.join(met, (hit.doc_id.eqNullSafe(met.doc_id)) & (hit.tk == met.tk)).select(hit.doc_id.alias("_id"), hit.tk.alias("_tk"), "n_hit", "items")
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    all_docs = every.where("items is null").select("doc_id", "tk", F.col("n_words").cast("long").alias("n_words"))
     return all_docs.join(summed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
