@@ -18,16 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import blank_split, cut
 
-TOKEN = r"[^\x20\x09-\x0D]+"
 FIELD = "<*>"
 BROADCAST_ROWS = 200_000
 
 
 def _generalised(line: Column) -> Column:
     """The line's tokens, those with a digit as variable fields."""
-    tokens = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
+    tokens = blank_split(line)
     return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(tokens)
 
 

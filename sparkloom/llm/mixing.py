@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import blank_split, cut
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of a document's digest that make its range.
 SALT_DIGITS = 3
 
@@ -66,7 +65,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     slim = cut(
         docs.select(
             "doc_id", "source", F.xxhash64("text").alias("tk"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("d"),
+            F.coalesce(F.size(blank_split(F.col("text"))), F.lit(0)).cast("long").alias("size"), digest.alias("d"),
         ).withColumn("salt", F.substring("d", 1, SALT_DIGITS))
     )
     cells = slim.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
