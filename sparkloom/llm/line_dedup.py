@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_split, cut
+from .common import blank_split, cut, let, stored
 
 FIELD = "<*>"
 BROADCAST_ROWS = 200_000
@@ -30,31 +30,36 @@ def _generalised(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(tokens)
 
 
-def _lines(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """Lines of at least ``least`` tokens with their leaf and tokens."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return (
-        keyed.select("doc_id", "tk", "at", _generalised(F.col("line")).alias("tokens"))
-        .where(F.size("tokens") >= least)
-        .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    )
-
-
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _lines(docs: DataFrame, depth: int, least: int, what: str) -> DataFrame:
+    """Lines of at least ``least`` tokens: place, leaf, and their ``tokens`` or the digest ``t`` of them.
+
+    All is made inside of one array per document and then taken apart: a
+    filter on rows would be pushed below and split every line once more.
+    """
+    def told(tokens: Column, at: Column) -> Column:
+        leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+        own = tokens if what == "tokens" else _digest(F.array_join(tokens, " "))
+        return F.when(F.size(tokens) >= least, F.struct(at.alias("at"), leaf.alias("leaf"), own.alias(what)))
+
+    made = F.transform(F.split("text", "\n"), lambda line, at: let(_generalised(line), lambda ts: told(ts, at)))
+    kept = F.filter(made, lambda x: x.isNotNull())
+    return docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(kept).alias("e")).select("doc_id", "tk", "e.*")
+
+
 def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed: float = 0.6) -> DataFrame:
     """``(doc_id, tk, at)``: the lines that go, ``at`` counted from zero, ``tk`` telling texts of one id apart."""
-    lines = _lines(docs, depth, least)
-    slim = cut(lines.select("doc_id", "tk", "at", "leaf", _digest(F.array_join("tokens", " ")).alias("t")))
+    slim = stored(_lines(docs, depth, least, "t"))
     where = ["doc_id", "tk", "at"]
     often = slim.select("t", "tk").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("t")
     exact = slim.join(often, "t").select(*where, "t")
-    rest = cut(slim.join(often, "t", "left_anti").select(*where, "leaf"))
+    rest = stored(slim.join(often, "t", "left_anti").select(*where, "leaf"))
     leaves = cut(rest.select("leaf", "tk").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("leaf"))
     small = leaves.count() <= BROADCAST_ROWS
-    met = lines.join(F.broadcast(leaves) if small else leaves, "leaf")
+    met = _lines(docs, depth, least, "tokens").join(F.broadcast(leaves) if small else leaves, "leaf")
     loose = rest.join(F.broadcast(leaves) if small else leaves, "leaf").select(
         F.col("doc_id").alias("i"), F.col("tk").alias("k"), F.col("at").alias("a")
     ).distinct()
@@ -75,7 +80,7 @@ def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, least: int =
     )
     made = cut(made)
     again = made.select("t", "tk").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("t")
-    hits = cut(exact.unionByName(made.join(again, "t").select(*where, "t")))
+    hits = stored(exact.unionByName(made.join(again, "t").select(*where, "t")))
     first = hits.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "at")).alias("f"))
     kept = first.select("t", "f.doc_id", "f.tk", "f.at").withColumn("kept", F.lit(True))
     h, k = hits.alias("h"), kept.alias("k")
