@@ -99,7 +99,8 @@ def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed
     through.
     """
     gone = dropped_lines(docs, texts, depth, least, fixed).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set("at").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
+    # the same join at every size: what goes grows with the documents
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     shown = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
