@@ -44,6 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python in batches of few rows, so that very long ones do not fill its memory; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def blank_split(text: Column) -> Column:
     """The runs of characters other than white space (20, 09-0D): a plain split at spaces, which needs no regular expression."""
     for c in "\t\n\x0b\x0c\r":

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 BUCKETS = 10_007
 #: Words, and runs of other signs.
@@ -123,6 +123,7 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 5, share: float | Non
     do no harm; without good labels all is kept. Other columns are not looked
     at.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q"))
     good = marks.where("q = 1").select("doc_id", F.lit(True).alias("good"))
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, small_batches
 from .graph import connected_components
 
 #: (first bit, bits) of each segment.
@@ -133,6 +133,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     of null ids only has none); repeated rows stay as often as they come; an
     empty table gives none; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_col, shingle).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     first = connected_components(neighbour_links(nodes.select("fp"), distance))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 SPAN, GRAM, GROUP, FEW = 400, 64, 16_384, 8
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
@@ -281,16 +281,18 @@ def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The surroundings of the asked places of each document."""
+    columns = ["ah", "n", "m", "doc_id", "tk", "at", "around", "before"]
     for pdf in parts:
+        out: list[tuple] = []
         for doc_id, tk, data, asked in zip(pdf["doc_id"], pdf["tk"], pdf["data"], pdf["asked"]):
-            for a in range(0, len(asked), 4_096):
-                some = asked[a : a + 4_096]
-                out = pd.DataFrame(
-                    [(x["ah"], x["n"], x["m"], doc_id, tk, x["at"], data[max(0, x["at"] - REACH) : x["at"] + SPAN], min(x["at"], REACH)) for x in some],
-                    columns=["ah", "n", "m", "doc_id", "tk", "at", "around", "before"],
-                )
-                out["doc_id"] = out["doc_id"].astype(pdf["doc_id"].dtype)
-                yield out
+            for x in asked:
+                at = x["at"]
+                out.append((x["ah"], x["n"], x["m"], doc_id, tk, at, data[max(0, at - REACH) : at + SPAN], min(at, REACH)))
+                if len(out) >= 8_192:
+                    yield pd.DataFrame(out, columns=columns).astype({"doc_id": pdf["doc_id"].dtype})
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": pdf["doc_id"].dtype})
 
 
 def _sorted_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,6 +340,7 @@ def _each_string(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``(doc_id, tk, start, stop)``: ranges of bytes of ``docs(doc_id, tk, data)`` that are repeated."""
+    small_batches(docs.sparkSession)
     key = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long"
     rows = stored(docs.mapInPandas(_anchor_rows, _found(key)))
     kinds = rows.groupBy("ah", "cd").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "at")).alias("one"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 MOST_POSITIVE, MOST_UNLABELLED, MOST_LABELLED = 4_000, 12_000, 6_000
 STARTS = (4, 5, 6)
@@ -194,5 +194,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     do no harm; without toxic labels every score is near 0; other columns are
     not looked at.
     """
+    small_batches(docs.sparkSession)
     out = score(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
