@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SPAN, GRAM, GROUP, FEW = 400, 64, 16_384, 8
+SPAN, GRAM, GROUP, FEW = 400, 64, 32_768, 8
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -95,13 +95,16 @@ class Surrounding:
 
     def __init__(self, data: bytes, before: int):
         self.data, self.left, self.right = data, before, len(data) - before
-        raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        # the powers go by the place, so that equal bytes at equal places have equal differences
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * _UP[REACH - before : REACH - before + len(raw)])])
+
+    def sums(self) -> np.ndarray:
+        """Prefix hashes; the powers go by the place, so that equal bytes at equal places have equal differences."""
+        raw = np.frombuffer(self.data, np.uint8).astype(np.uint64) + np.uint64(1)
+        first = REACH - self.left
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * _UP[first : first + len(raw)])])
 
     @cached_property
     def prefix(self) -> list[int]:
-        return self.sums.tolist()
+        return self.sums().tolist()
 
 
 def extension(a: Surrounding, b: Surrounding, start: int) -> int:
@@ -211,7 +214,7 @@ def _repeated_of_many(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
     m, width, step = len(around), REACH + 1, 32
     sums = np.zeros((m, REACH + SPAN + 1), np.uint64)
     for i, x in enumerate(around):
-        sums[i, REACH - x.left : REACH + x.right + 1] = x.sums
+        sums[i, REACH - x.left : REACH + x.right + 1] = x.sums()
     left, right = (np.array([getattr(x, side) for x in around]) for side in ("left", "right"))
     partner = np.full((m, width), -1, np.int32)
     for at in range(0, width, step):

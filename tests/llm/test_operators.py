@@ -119,7 +119,7 @@ def brute_repeats(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize("group", [16_384, 1])
+@pytest.mark.parametrize("group", [32_768, 1])
 def test_suffix_dedup_against_brute_force(spark, group):
     rng = random.Random(3)
     shared = [words(n, rng, 3_000) for n in (75, 90, 130, 300)]
