@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SPAN, GRAM, GROUP, FEW = 400, 64, 32_768, 8
+SPAN, GRAM, GROUP, FEW, WHOLE = 400, 64, 65_536, 8, 4_096
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -211,15 +211,28 @@ def _repeated_of_many(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
     a range of distances is verified by common extensions: one that starts at
     the furthest distance holds for all nearer ones whose strings it reaches.
     """
-    m, width, step = len(around), REACH + 1, 32
-    sums = np.zeros((m, REACH + SPAN + 1), np.uint64)
-    for i, x in enumerate(around):
-        sums[i, REACH - x.left : REACH + x.right + 1] = x.sums()
+    m, width = len(around), REACH + 1
+    step = 32 if m <= WHOLE else 64
+
+    def prefixes(columns: np.ndarray | slice) -> np.ndarray:
+        out = np.zeros((m, width + SPAN if isinstance(columns, slice) else len(columns)), np.uint64)
+        row = np.zeros(width + SPAN, np.uint64)
+        for i, x in enumerate(around):
+            row[:] = 0
+            row[REACH - x.left : REACH + x.right + 1] = x.sums()
+            out[i] = row[columns]
+        return out
+
+    sums = prefixes(slice(None)) if m <= WHOLE else None  # else some columns at a time, made anew, for less memory
     left, right = (np.array([getattr(x, side) for x in around]) for side in ("left", "right"))
     partner = np.full((m, width), -1, np.int32)
     for at in range(0, width, step):
         distances = np.arange(at, min(width, at + step))
-        strings = sums[:, REACH + SPAN - distances] - sums[:, REACH - distances]
+        if sums is not None:
+            strings = sums[:, REACH + SPAN - distances] - sums[:, REACH - distances]
+        else:
+            both = prefixes(np.concatenate([REACH + SPAN - distances, REACH - distances]))
+            strings = both[:, : len(distances)] - both[:, len(distances) :]
         there = (left[:, None] >= distances) & (right[:, None] >= SPAN - distances)
         order = np.argsort(strings, axis=0, kind="stable")
         ranked, here = np.take_along_axis(strings, order, 0), np.take_along_axis(there, order, 0)

@@ -119,8 +119,9 @@ def brute_repeats(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize("group", [32_768, 1])
-def test_suffix_dedup_against_brute_force(spark, group):
+@pytest.mark.parametrize(("group", "whole"), [(65_536, 4_096), (65_536, 10), (1, 10)])
+def test_suffix_dedup_against_brute_force(spark, group, whole, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WHOLE", whole)
     rng = random.Random(3)
     shared = [words(n, rng, 3_000) for n in (75, 90, 130, 300)]
     texts = []
