@@ -126,7 +126,8 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 5, share: float | Non
     small_batches(docs.sparkSession)
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q"))
     good = marks.where("q = 1").select("doc_id", F.lit(True).alias("good"))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # One way at every size: labels grow with the documents, so they are never broadcast.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = log_ratio(bucket_counts(marked))
     weighed = importance(docs.select("doc_id", F.xxhash64("text").alias("tk"), "text"), ratio).drop("text")
     weighed = cut(weighed.withColumn("key", _ordered(F.col("log_weight") + gumbel(seed, "doc_id", "tk"))))
