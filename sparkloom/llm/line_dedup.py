@@ -88,6 +88,73 @@ def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, least: int =
     return h.join(k, on, "left_anti").select(*where).distinct()
 
 
+def _every_line(docs: DataFrame, depth: int, what: str) -> DataFrame:
+    """As ``_lines``, with the number of tokens ``len``."""
+    def told(tokens: Column, line: Column, at: Column) -> Column:
+        leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+        own = tokens if what == "tokens" else _digest(F.array_join(tokens, " "))
+        return F.when(F.size(tokens) >= 3, F.struct(at.alias("at"), leaf.alias("leaf"), F.size(tokens).alias("len"), own.alias(what)))
+
+    made = F.transform(F.split("text", "\n"), lambda line, at: let(_generalised(line), lambda ts: told(ts, line, at)))
+    kept = F.filter(made, lambda x: x.isNotNull())
+    return docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(kept).alias("e")).select("doc_id", "tk", "e.*")
+
+
+def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: float = 0.6, share: float = 0.2) -> DataFrame:
+    """As ``dropped_lines``, with fields that do not fade as the table grows.
+
+    All lines of a leaf, equal ones too, tell its fields: a token is fixed if
+    at least ``texts`` texts, and at least the share ``share`` of those of the
+    leaf, have it at its place. A line whose generalised form recurs counts by
+    that form, any other by itself.
+    """
+    slim = stored(_every_line(docs, depth, "t"))
+    where = ["doc_id", "tk", "at"]
+    kinds = stored(
+        slim.groupBy("t", "tk").agg(F.min("leaf").alias("leaf"), F.min("len").alias("len"), F.min(F.struct("doc_id", "at")).alias("one"))
+        .groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("leaf").alias("leaf"), F.min("len").alias("len"), F.min(F.struct("tk", "one")).alias("one"))
+        .select("t", "n", "leaf", "len", F.col("one.one.doc_id").alias("i"), F.col("one.tk").alias("k"), F.col("one.one.at").alias("a"))
+    )
+    leaves = cut(
+        kinds.where("leaf is not null").groupBy("leaf").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("forms"))
+        .where((F.col("all") >= texts) & (F.col("forms") > 1)).select("leaf", "all")
+    )
+    if leaves.count() <= BROADCAST_ROWS:
+        leaves = F.broadcast(leaves)
+    asked = kinds.join(leaves, "leaf").select("i", "k", "a", "t", "n", "all")
+    met = _every_line(docs, depth, "tokens").join(leaves.select("leaf"), "leaf").dropDuplicates(where)
+    met = met.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")) & (F.col("at") == F.col("a")))
+    placed = stored(met.select("t", "n", "all", "leaf", "len", F.posexplode("tokens").alias("p", "token")))
+    common = (
+        placed.where(F.col("token") != FIELD).groupBy("leaf", "p", "token").agg(F.sum("n").alias("c"), F.first("all").alias("all"))
+        .where((F.col("c") >= texts) & (F.col("c") >= share * F.col("all"))).select("leaf", "p", "token", F.lit(True).alias("common"))
+    )
+    shown = F.when(F.col("common"), F.col("token")).otherwise(F.lit(FIELD))
+    forms = cut(
+        placed.join(common, ["leaf", "p", "token"], "left").groupBy("t", "len").agg(F.array_sort(F.collect_list(F.struct("p", shown.alias("s")))).alias("es"))
+        .withColumn("es", F.col("es.s")).where(F.size(F.filter("es", lambda s: s != FIELD)) >= fixed * F.col("len"))
+        .select("t", _digest(F.concat_ws(" ", F.lit(FIELD), F.col("len").cast("string"), F.array_join("es", " "))).alias("form"))
+    )
+    again = (
+        slim.select("t", "tk").join(forms, "t").select("form", "tk").distinct()
+        .groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("form")
+    )
+    by_form = forms.join(again, "form")
+    own = kinds.where(F.col("n") >= texts).select("t")
+    names = own.join(by_form, "t", "full").select("t", F.coalesce("form", "t").alias("name"))
+    hits = stored(slim.join(names, "t").select(*where, "name"))
+    first = hits.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "at")).alias("f"))
+    kept = first.select("name", "f.doc_id", "f.tk", "f.at")
+    h, k = hits.alias("h"), kept.alias("k")
+    on = (F.col("h.name") == F.col("k.name")) & F.col("h.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h.tk") == F.col("k.tk")) & (F.col("h.at") == F.col("k.at"))
+    return h.join(k, on, "left_anti").select(*where).distinct()
+
+
+def dedup_whole(docs: DataFrame) -> DataFrame:
+    """As ``dedup``, by ``recurring_lines``; ``dedup`` itself is held by the SQL of ``op1_line_dedup``."""
+    return _without(docs, recurring_lines(docs))
+
+
 def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed: float = 0.6) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``, and ``n_lines`` and ``n_dropped``.
 
@@ -98,7 +165,11 @@ def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed
     ids come after all others. An empty table gives none; other columns pass
     through.
     """
-    gone = dropped_lines(docs, texts, depth, least, fixed).groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set("at").alias("_gone"))
+    return _without(docs, dropped_lines(docs, texts, depth, least, fixed))
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    gone = dropped.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set("at").alias("_gone"))
     # the same join at every size: what goes grows with the documents
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
     lines = F.split("text", "\n")
