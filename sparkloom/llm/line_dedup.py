@@ -22,6 +22,8 @@ from .common import blank_split, cut, let, stored
 
 FIELD = "<*>"
 BROADCAST_ROWS = 200_000
+#: Lines of fewer tokens are compared as they stand, without fields.
+SHORT = 3
 
 
 def _generalised(line: Column) -> Column:
@@ -89,11 +91,16 @@ def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, least: int =
 
 
 def _every_line(docs: DataFrame, depth: int, what: str) -> DataFrame:
-    """As ``_lines``, with the number of tokens ``len``."""
+    """All lines but blank ones, with the number of tokens ``len``; those of one or two tokens have no leaf and count as they stand, digits included."""
     def told(tokens: Column, line: Column, at: Column) -> Column:
         leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-        own = tokens if what == "tokens" else _digest(F.array_join(tokens, " "))
-        return F.when(F.size(tokens) >= 3, F.struct(at.alias("at"), leaf.alias("leaf"), F.size(tokens).alias("len"), own.alias(what)))
+        short = F.size(tokens) < SHORT
+        if what == "tokens":
+            own = tokens
+        else:
+            own = _digest(F.when(short, F.array_join(blank_split(line), " ")).otherwise(F.array_join(tokens, " ")))
+        told_of = F.struct(at.alias("at"), F.when(~short, leaf).alias("leaf"), F.size(tokens).alias("len"), own.alias(what))
+        return F.when(F.size(tokens) >= (SHORT if what == "tokens" else 1), told_of)
 
     made = F.transform(F.split("text", "\n"), lambda line, at: let(_generalised(line), lambda ts: told(ts, line, at)))
     kept = F.filter(made, lambda x: x.isNotNull())
