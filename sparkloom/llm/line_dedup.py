@@ -24,6 +24,8 @@ FIELD = "<*>"
 BROADCAST_ROWS = 200_000
 #: Lines of fewer tokens are compared as they stand, without fields.
 SHORT = 3
+#: Lines of so many tokens recur from two texts on.
+LONG = 20
 
 
 def _generalised(line: Column) -> Column:
@@ -113,7 +115,8 @@ def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: floa
     All lines of a leaf, equal ones too, tell its fields: a token is fixed if
     at least ``texts`` texts, and at least the share ``share`` of those of the
     leaf, have it at its place. A line whose generalised form recurs counts by
-    that form, any other by itself.
+    that form, any other by itself: in ``texts`` texts, or in two if it has
+    ``LONG`` tokens.
     """
     slim = stored(_every_line(docs, depth, "t"))
     where = ["doc_id", "tk", "at"]
@@ -147,7 +150,7 @@ def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: floa
         .groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("form")
     )
     by_form = forms.join(again, "form")
-    own = kinds.where(F.col("n") >= texts).select("t")
+    own = kinds.where(F.col("n") >= F.when(F.col("len") >= LONG, F.least(F.lit(2), F.lit(texts))).otherwise(texts)).select("t")
     names = own.join(by_form, "t", "full").select("t", F.coalesce("form", "t").alias("name"))
     hits = stored(slim.join(names, "t").select(*where, "name"))
     first = hits.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "at")).alias("f"))
