@@ -13,6 +13,18 @@ TOKENS, LEAST_CHARS, LEAST_KEPT, MOST_CHUNKS, SMALL_TABLE = 800, 200, 10, 10_000
 CHARS_PER_TOKEN = 2.5
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 
+#: What start tags end: an open paragraph, and elements of the same kind (up to the elements that hold them apart).
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "dd", "dt"}
+TABLE_PARTS = {"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}
+TABLE_SCOPE = {"table", "td", "th", "caption"}
+SCOPE = TABLE_SCOPE | {"button", "object", "template"}
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"} | SCOPE), "dt": ({"dt", "dd"}, {"dl"} | SCOPE), "dd": ({"dt", "dd"}, {"dl"} | SCOPE),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th", "caption"}, {"table"}), "th": ({"td", "th", "caption"}, {"table"}), "tr": ({"tr", "caption", "colgroup"}, {"table"}),
+    **{t: ({"thead", "tbody", "tfoot", "caption", "colgroup", "tr"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+}
+
 
 def split_tokens(text: str, tokens: int = TOKENS) -> list[str]:
     """Pieces of about ``tokens`` estimated tokens, each cut after the last sentence end beyond ``LEAST_CHARS``; short rests go."""
@@ -32,41 +44,74 @@ def split_tokens(text: str, tokens: int = TOKENS) -> list[str]:
 
 
 class _TopLevel(HTMLParser):
-    """The body's own children as (tag or "", text, html)."""
+    """The body's own children as (tag or "", text, html).
+
+    End tags that HTML lets out are implied, end tags that match nothing open
+    are ignored, and what is open at the end is closed there.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[str, str, str]] = []
-        self.depth, self.tag, self.text, self.html = 0, "", [], []
+        self.open, self.text, self.html = [], [], []
+
+    def shut(self, to: int) -> None:
+        """Closes open elements until ``to`` are left."""
+        while len(self.open) > to:
+            tag = self.open.pop()
+            self.html.append(f"</{tag}>")
+            if not self.open:
+                self.nodes.append((tag, " ".join("".join(self.text).split()), "".join(self.html)))
+
+    def last(self, tags: set[str], within: set[str]) -> int | None:
+        """The place of the innermost open one of ``tags`` that no element of ``within`` holds apart."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] in tags:
+                return i
+            if self.open[i] in within:
+                return None
+        return None
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body", "head"):
             return
+        if tag in ENDS_P and (at := self.last({"p"}, SCOPE)) is not None:
+            self.shut(at)
+        ends, within = IMPLIED.get(tag, (set(), set()))
+        while (at := self.last(ends, within)) is not None:
+            self.shut(at)
         raw = self.get_starttag_text() or ""
-        if self.depth == 0:
-            self.tag, self.text, self.html = tag, [], []
+        if not self.open:
+            self.text, self.html = [], []
         self.html.append(raw)
         if tag in VOID:
-            if self.depth == 0:
+            if not self.open:
                 self.nodes.append((tag, "", raw))
         else:
-            self.depth += 1
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # a slash ends no element of HTML
 
     def handle_endtag(self, tag):
-        if self.depth == 0 or tag in VOID:
+        if tag in ("body", "html"):
+            self.shut(0)
             return
-        self.html.append(f"</{tag}>")
-        self.depth -= 1
-        if self.depth == 0:
-            self.nodes.append((self.tag, " ".join("".join(self.text).split()), "".join(self.html)))
+        within = set() if tag == "table" else {"table"} if tag in TABLE_PARTS else TABLE_SCOPE
+        if (at := self.last({tag}, within)) is not None:
+            self.shut(at)
 
     def handle_data(self, data):
-        if self.depth:
+        if self.open:
             self.text.append(data)
             self.html.append(data)
         elif data.strip():
             self.nodes.append(("", " ".join(data.split()), data))
 
+    def close(self):
+        super().close()
+        self.shut(0)
+
 
 def split_page(text: str, tokens: int = TOKENS) -> list[tuple[str, str | None, str | None]]:
     """(content, kind, original html): top-level tables of some length and images are chunks of their own."""
