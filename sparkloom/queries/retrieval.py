@@ -173,8 +173,7 @@ me as (select ex.query_id, negative, case when len(expected) > 0 then coalesce(f
 
 def cases(spark, sf_dir):
     q = questions(spark, sf_dir)
-    start = F.substring("q.text", 1, 40)
-    held = chunks(spark, sf_dir).alias("c").join(retrieve.small(q).alias("q"), F.contains(F.col("c.text"), start)).select("q.query_id", "c.chunk_id")
+    held = chunks(spark, sf_dir).alias("c").join(retrieve.small(q).alias("q"), F.contains(F.col("c.text"), F.col("q.text"))).select("q.query_id", "c.chunk_id")
     want = held.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected"))
     none = F.array().cast("array<long>")
     return q.select("query_id").join(want, "query_id", "left").select("query_id", (F.col("query_id") % 5 == 4).alias("negative"), F.coalesce("expected", none).alias("expected"))
