@@ -10,21 +10,26 @@ what stands around equal anchors is compared, in these steps:
 2. Anchors whose whole surroundings (all strings that can hold them) are equal
    to others' are repeated throughout.
 3. The rest of an anchor's surroundings, with one of each of the equal ones, are
-   suffix-sorted: a merge sort of the suffixes that start at one distance before
-   the anchor, which compares two suffixes by the length of their common
-   extension, found by binary search over prefix polynomial hashes (and then
-   verified on the bytes). A suffix's neighbours have its longest extension.
-   Which distances need a sort is found by halving, see ``repeated``.
+   suffix-sorted twice, by what follows the anchor and (backwards) by what stands
+   before it: a merge sort that compares two suffixes by the length of their
+   common extension, found by binary search over prefix polynomial hashes. The
+   finished order is verified on the bytes of all neighbours, which also gives
+   their exact extensions; after a collision the bytes are sorted instead.
+4. Two surroundings that have L bytes before and R bytes after the anchor in
+   common share the strings that start 400 - R to L bytes before it. Surroundings
+   are joined from the longest L on; of those joined so far, a suffix's
+   neighbours in the other order have its largest R.
 
 An anchor with more than ``GROUP`` different surroundings is not sorted in one
-task; its strings are counted one by one by Spark instead, with the same result.
+task: Spark counts digests of ever narrower ranges of its strings, see
+``_by_halving``, with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cached_property, cmp_to_key
 
 import numpy as np
 import pandas as pd
@@ -33,13 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SPAN, GRAM, GROUP, FEW, WHOLE = 400, 64, 65_536, 8, 4_096
+SPAN, GRAM, GROUP, BATCH = 400, 64, 8_192, 4_096
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
+WIDTH = REACH + SPAN
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 19
 BROADCAST_ROWS = 200_000
 ALL = (1 << 64) - 1
+#: Into how many parts a range of starts is cut in each round.
+PARTS = 8
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -90,177 +98,155 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return p, np.concatenate(hashes)[first].view(np.int64)
 
 
-class Surrounding:
-    """The bytes around an anchor; places count from the anchor."""
-
-    def __init__(self, data: bytes, before: int):
-        self.data, self.left, self.right = data, before, len(data) - before
-
-    def sums(self) -> np.ndarray:
-        """Prefix hashes; the powers go by the place, so that equal bytes at equal places have equal differences."""
-        raw = np.frombuffer(self.data, np.uint8).astype(np.uint64) + np.uint64(1)
-        first = REACH - self.left
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * _UP[first : first + len(raw)])])
-
-    @cached_property
-    def prefix(self) -> list[int]:
-        return self.sums().tolist()
-
-
-def extension(a: Surrounding, b: Surrounding, start: int) -> int:
-    """How many bytes from ``start`` on two surroundings have in common."""
-    i, j = start + a.left, start + b.left
-    p, q = a.prefix, b.prefix
-    diff = p[i] - q[j] & ALL
-    low, high = 0, min(a.right, b.right) - start
-    if p[i + high] - q[j + high] & ALL == diff:
-        low = high
-    while high - low > 1:
-        mid = low + high >> 1
-        if p[i + mid] - q[j + mid] & ALL == diff:
-            low = mid
-        else:
-            high = mid
-    if a.data[i : i + low] != b.data[j : j + low]:  # a collision
-        low = next(k for k in range(low) if a.data[i + k] != b.data[j + k])
-    return low
-
-
-def byte_extension(a: Surrounding, b: Surrounding, start: int) -> int:
-    """As ``extension``, by comparing bytes in each step instead of hashes."""
-    i, j = start + a.left, start + b.left
-    low, high = 0, min(a.right, b.right) - start
-    if a.data[i : i + high] == b.data[j : j + high]:
-        return high
-    while high - low > 1:
-        mid = low + high >> 1
-        if a.data[i + low : i + mid] == b.data[j + low : j + mid]:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def _ends(around: list[Surrounding], members: list[int], distance: int) -> dict[int, int]:
-    """The end of each member's longest common extension with another, for suffixes that start ``distance`` before the anchor."""
-    start = -distance
-    there = [i for i in members if around[i].left >= distance]
-
-    def compare(i: int, j: int) -> int:
-        a, b = around[i], around[j]
-        n = extension(a, b, start)
-        x, y = a.data[start + a.left + n : start + a.left + n + 1], b.data[start + b.left + n : start + b.left + n + 1]
-        return (x > y) - (x < y)
-
-    order = sorted(there, key=cmp_to_key(compare))  # Python's sort is a merge sort
-    out = dict.fromkeys(there, start)
-    for i, j in zip(order, order[1:]):
-        end = start + extension(around[i], around[j], start)
-        out[i], out[j] = max(out[i], end), max(out[j], end)
-    return out
-
-
-def _equal(around: list[Surrounding], members: list[int], start: int, stop: int) -> list[list[int]]:
-    """The members by the hash of their bytes from ``start`` to ``stop``; those that lack some, and single ones, go."""
-    by: dict[int, list[int]] = {}
-    for i in members:
-        x = around[i]
-        if x.left >= -start and x.right >= stop:
-            by.setdefault(x.prefix[x.left + stop] - x.prefix[x.left + start] & ALL, []).append(i)
-    return [c for c in by.values() if len(c) > 1]
-
-
-def repeated(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
-    """For each surrounding the ranges of distances (least, most) at which a string starts that another has too.
-
-    The sort at the anchor tells how far to the right each surrounding is like
-    any other, and so which can have a repeated string at all. For a range of
-    distances only surroundings that agree in the bytes which all its strings
-    hold can share one; those that agree in the bytes of any of its strings are
-    sorted from its furthest start, and the extension of a suffix that reaches
-    its nearest string's end settles the whole range. The rest is halved.
+class Surroundings:
+    """The bytes around anchors, a row for each, with the anchor at place ``REACH``; absent bytes are zero, others one more than their value."""
+
+    def __init__(self, data: list[bytes], before: list[int]):
+        self.left = np.array(before, np.int64)
+        self.right = np.array([len(d) for d in data], np.int64) - self.left
+        self.bytes = np.zeros((len(data), WIDTH), np.uint16)
+        for row, d, b in zip(self.bytes, data, before):
+            row[REACH - b : REACH - b + len(d)] = np.frombuffer(d, np.uint8)
+            row[REACH - b : REACH - b + len(d)] += 1
+        #: Prefix hashes that count from the anchor: equal bytes between it and a place have equal hashes there.
+        self.prefix = np.zeros((len(data), WIDTH + 1), np.uint64)
+        np.cumsum(self.bytes * _UP[:WIDTH], axis=1, out=self.prefix[:, 1:])
+        self.prefix -= self.prefix[:, REACH : REACH + 1].copy()
+
+    def extension(self, a: np.ndarray, b: np.ndarray, way: int) -> np.ndarray:
+        """How many bytes from the anchor on (``way`` 1), or before it (-1), rows ``a`` and ``b`` have in common."""
+        flat, p, q = self.prefix.ravel(), a * (WIDTH + 1) + REACH, b * (WIDTH + 1) + REACH
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), (SPAN if way > 0 else REACH) + 1)
+        for _ in range(SPAN.bit_length()):
+            mid = low + high >> 1
+            same = flat[p + way * mid] == flat[q + way * mid]
+            low, high = np.where(same, mid, low), np.where(same, high, mid)
+        return low
+
+    def compare(self, a: np.ndarray, b: np.ndarray, way: int) -> np.ndarray:
+        """The order of two suffixes (-1, 0, 1): that of the bytes after their common extension."""
+        n, limit = self.extension(a, b, way), SPAN if way > 0 else REACH
+        at = np.minimum(n, limit - 1)
+        at = REACH + at if way > 0 else REACH - 1 - at
+        return np.where(n == limit, 0, np.sign(self.bytes[a, at].astype(np.int32) - self.bytes[b, at]))
+
+    def sort(self, first: np.ndarray, last: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of each group in order, and the common extension of each with the next, verified on the bytes.
+
+        ``first`` and ``last`` are where a row's group begins and ends.
+        """
+        order = self._merge_sorted(first, last, way)
+        shared, sorted_ = self._verified(order, first, way)
+        if not sorted_:  # a collision misled the sort
+            side = self.bytes[:, REACH:] if way > 0 else self.bytes[:, REACH - 1 :: -1]
+            order = np.array(sorted(range(len(first)), key=lambda i: (first[i], side[i].astype(">u2").tobytes())), np.int64)
+            shared, _ = self._verified(order, first, way)
+        return order, shared
+
+    def _merge_sorted(self, first: np.ndarray, last: np.ndarray, way: int) -> np.ndarray:
+        """A bottom-up merge sort of all groups at once; each row finds its place in the run beside its own by binary search."""
+        order, slots, width = np.arange(len(first)), np.arange(len(first)), 1
+        most = int((last - first).max(initial=0))
+        while width < most:
+            place = slots - first
+            run = place // width
+            begin = np.minimum(first + (run ^ 1) * width, last)
+            low, high, later = begin.copy(), np.minimum(begin + width, last), run & 1 == 1
+            while len(open_ := np.flatnonzero(low < high)):
+                mid = low[open_] + high[open_] >> 1
+                sign = self.compare(order[mid], order[open_], way)
+                ahead = (sign < 0) | (sign == 0) & later[open_]
+                low[open_], high[open_] = np.where(ahead, mid + 1, low[open_]), np.where(ahead, high[open_], mid)
+            merged = np.empty_like(order)
+            merged[first + (run & ~1) * width + place % width + low - begin] = order
+            order, width = merged, 2 * width
+        return order
+
+    def _verified(self, order: np.ndarray, first: np.ndarray, way: int) -> tuple[np.ndarray, bool]:
+        """The true extensions of neighbours, and whether all stand in order."""
+        side = self.bytes[:, REACH:] if way > 0 else self.bytes[:, REACH - 1 :: -1]
+        shared, right = np.zeros(max(0, len(order) - 1), np.int64), True
+        for at in range(0, len(shared), BATCH):
+            a, b = side[order[at : at + BATCH][: len(shared) - at]], side[order[at + 1 : at + 1 + BATCH]]
+            unlike = a != b
+            n = np.where(unlike.any(1), unlike.argmax(1), side.shape[1])
+            here = np.arange(len(n))
+            stop = np.minimum(n, side.shape[1] - 1)
+            grouped = first[at : at + len(n)] == first[at + 1 : at + 1 + len(n)]
+            right &= bool((~grouped | (a[here, stop] <= b[here, stop])).all())
+            shared[at : at + BATCH] = np.where(grouped, n, -1)
+        return shared, right
+
+
+def _meetings(before: list[int], rank: list[int], base: int) -> list[tuple[int, int, int]]:
+    """(rank, rank, L): suffixes that stand beside each other among those that have L or more bytes before the anchor in common.
+
+    ``before`` has the common bytes of neighbours in the backward order, and
+    ``rank`` the places in the other order of the suffixes of that order.
     """
-    if len(around) > FEW:
-        return _repeated_of_many(around)
-    out: list[list[tuple[int, int]]] = [[] for _ in around]
-    near = _ends(around, list(range(len(around))), 0)
-    can = {i for i, end in near.items() if end + min(REACH, around[i].left) >= SPAN}
-    todo = [(0, REACH, list(can), can)]
-    while todo:
-        a, b, members, asked = todo.pop()
-        for same in _equal(around, members, -a, SPAN - b):
-            left = asked.intersection(same)
-            if not left:
-                continue
-            for like in _equal(around, same, -b, SPAN - a):
-                for i, end in _ends(around, like, b).items():
-                    if end + a >= SPAN and i in left:
-                        out[i].append((a, b))
-                        left.remove(i)
-            if left and a < b:
-                mid = a + b >> 1
-                todo += [(a, mid, same, left), (mid + 1, b, same, left)]
+    out: list[tuple[int, int, int]] = []
+    begin, sets = list(range(len(rank))), {i: [r] for i, r in enumerate(rank)}  # a set's first place, kept at its last; its ranks, at its first
+    end = list(range(len(rank)))
+    for k in sorted(range(len(before)), key=before.__getitem__, reverse=True):
+        a, b, shared = begin[k], k + 1, before[k]
+        large, small = sets[a], sets.pop(b)
+        if len(large) < len(small):
+            large, small = small, large
+        for r in small:
+            at = bisect_left(large, r)
+            if at:
+                out.append((base + r, base + large[at - 1], shared))
+            if at < len(large):
+                out.append((base + r, base + large[at], shared))
+            large.insert(at, r)
+        sets[a] = large
+        begin[end[b]], end[a] = a, end[b]
     return out
 
 
-def _repeated_of_many(around: list[Surrounding]) -> list[list[tuple[int, int]]]:
-    """``repeated`` for a group of many, all distances at once.
-
-    The suffixes of each distance are merge-sorted by the hash of their string
-    (the difference of two prefix hashes); equal neighbours are partners. Then
-    a range of distances is verified by common extensions: one that starts at
-    the furthest distance holds for all nearer ones whose strings it reaches.
-    """
-    m, width = len(around), REACH + 1
-    step = 32 if m <= WHOLE else 64
-
-    def prefixes(columns: np.ndarray | slice) -> np.ndarray:
-        out = np.zeros((m, width + SPAN if isinstance(columns, slice) else len(columns)), np.uint64)
-        row = np.zeros(width + SPAN, np.uint64)
-        for i, x in enumerate(around):
-            row[:] = 0
-            row[REACH - x.left : REACH + x.right + 1] = x.sums()
-            out[i] = row[columns]
-        return out
-
-    sums = prefixes(slice(None)) if m <= WHOLE else None  # else some columns at a time, made anew, for less memory
-    left, right = (np.array([getattr(x, side) for x in around]) for side in ("left", "right"))
-    partner = np.full((m, width), -1, np.int32)
-    for at in range(0, width, step):
-        distances = np.arange(at, min(width, at + step))
-        if sums is not None:
-            strings = sums[:, REACH + SPAN - distances] - sums[:, REACH - distances]
+def repeated(data: list[bytes], before: list[int], sizes: list[int]) -> list[tuple[int, int, int]]:
+    """Of surroundings in groups of ``sizes``: (row, least, most), ranges of starts before the anchor at which a string begins that another of the group has too."""
+    x = Surroundings(data, before)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    first, last = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
+    after, follows = x.sort(first, last, 1)
+    ahead, precedes = x.sort(first, last, -1)
+    rank = np.empty(len(after), np.int64)
+    rank[after] = np.arange(len(after))
+    ranks, shared = rank[ahead].tolist(), precedes.tolist()
+    pairs: list[tuple[int, int, int]] = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a == 2:
+            pairs.append((a, a + 1, shared[a]))
+        elif b - a > 2:
+            pairs += _meetings(shared[a : b - 1], [r - a for r in ranks[a:b]], a)
+    if not pairs:
+        return []
+    one, two, both = np.array(pairs, np.int64).T
+    low, high = np.minimum(one, two), np.maximum(one, two)
+    # the least of the neighbours' extensions between the two
+    tables = [follows]
+    while 1 << len(tables) <= len(follows):
+        half = 1 << len(tables) - 1
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    level = np.frexp((high - low).astype(float))[1] - 1
+    ahead_of = np.empty(len(low), np.int64)
+    for k in np.unique(level).tolist():
+        here = level == k
+        ahead_of[here] = np.minimum(tables[k][low[here]], tables[k][high[here] - (1 << k)])
+    rows = after[np.concatenate([low, high])]
+    least = np.maximum(0, SPAN - np.minimum(np.tile(ahead_of, 2), x.right[rows]))
+    most = np.minimum(np.tile(both, 2), x.left[rows])
+    keep = least <= most
+    rows, least, most = rows[keep], least[keep], most[keep]
+    turn = np.lexsort((least, rows))
+    out: list[list[int]] = []
+    for row, a, b in zip(rows[turn].tolist(), least[turn].tolist(), most[turn].tolist()):
+        if out and out[-1][0] == row and a <= out[-1][2] + 1:
+            out[-1][2] = max(out[-1][2], b)
         else:
-            both = prefixes(np.concatenate([REACH + SPAN - distances, REACH - distances]))
-            strings = both[:, : len(distances)] - both[:, len(distances) :]
-        there = (left[:, None] >= distances) & (right[:, None] >= SPAN - distances)
-        order = np.argsort(strings, axis=0, kind="stable")
-        ranked, here = np.take_along_axis(strings, order, 0), np.take_along_axis(there, order, 0)
-        # those that lack a part of their string stand among the others: the last one that is there is carried on
-        last = np.maximum.accumulate(np.where(here, np.arange(m)[:, None], -1), axis=0)
-        before = np.vstack([np.full((1, len(distances)), -1), last[:-1]])
-        pair = here & (before >= 0) & (np.take_along_axis(ranked, np.maximum(before, 0), 0) == ranked)
-        r, c = np.nonzero(pair)
-        a, b = order[r, c], order[before[r, c], c]
-        partner[b, c + at] = a
-        partner[a, c + at] = b
-    out: list[list[tuple[int, int]]] = [[] for _ in around]
-    for i in np.flatnonzero((partner >= 0).any(1)).tolist():
-        row, d = partner[i].tolist(), REACH
-        while d >= 0:
-            if row[d] < 0:
-                d -= 1
-                continue
-            end = byte_extension(around[i], around[row[d]], -d) - d
-            least = max(0, SPAN - end)
-            if least > d:  # a collision: look through all others for this one distance
-                if any(j != i and left[j] >= d and right[j] >= SPAN - d and byte_extension(around[i], around[j], -d) >= SPAN for j in range(m)):
-                    out[i].append((d, d))
-                d -= 1
-                continue
-            out[i].append((least, d))
-            d = least - 1
-    return out
+            out.append([row, a, b])
+    return [tuple(r) for r in out]
 
 
 def _found(key: str) -> str:
@@ -312,46 +298,86 @@ def _cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sorted_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in the order of ``ah`` to the repeated ranges of those that stand once."""
+    """Rows in the order of ``ah`` to the repeated ranges of those that stand once; some groups at a time."""
+    sizes: list[int] = []
+    rows: list[tuple] = []
+    group = dtype = None
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solved() -> pd.DataFrame:
         out = []
-        for row, ranges in zip(rows, repeated([Surrounding(r[5], r[6]) for r in rows])):
-            if row[1] == 1:
-                out += [(row[2], row[3], row[4] - b, row[4] - a + SPAN) for a, b in ranges]
-        return out
+        for i, a, b in repeated([r[5] for r in rows], [r[6] for r in rows], sizes):
+            _, n, doc_id, tk, at, _, _ = rows[i]
+            if n == 1:
+                out.append((doc_id, tk, at - b, at - a + SPAN))
+        return pd.DataFrame(out, columns=["doc_id", "tk", "start", "stop"]).astype({"doc_id": dtype})
 
-    group, rows, dtype = None, [], None
     for pdf in parts:
-        made: list[tuple] = []
         dtype = pdf["doc_id"].dtype
         for row in zip(pdf["ah"], pdf["n"], pdf["doc_id"], pdf["tk"], pdf["at"], pdf["around"], pdf["before"]):
             if row[0] != group:
-                made += solve(rows) if len(rows) > 1 else []
-                group, rows = row[0], []
+                if len(rows) >= BATCH:
+                    yield solved()
+                    rows, sizes = [], []
+                group = row[0]
+                sizes.append(0)
             rows.append(row)
-        if made:
-            yield pd.DataFrame(made, columns=["doc_id", "tk", "start", "stop"]).astype({"doc_id": dtype})
-    if len(rows) > 1 and (made := solve(rows)):
-        yield pd.DataFrame(made, columns=["doc_id", "tk", "start", "stop"]).astype({"doc_id": dtype})
-
-
-STRINGS = ["ah", "n", "doc_id", "tk", "start", "distance", "digest"]
+            sizes[-1] += 1
+    if rows:
+        yield solved()
 
 
-def _each_string(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every string that holds the anchor, as its digest."""
+def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each range of starts of a surrounding's strings the digest of the bytes that all of them hold, and of those that any holds (none if it lacks some)."""
+    columns = ["ah", "member", "n", "least", "most", "core", "whole"]
     for pdf in parts:
         out: list[tuple] = []
         for row in pdf.itertuples(index=False):
             data, before = row.around, row.before
-            for s in range(max(0, before - REACH), min(before, len(data) - SPAN) + 1):
-                out.append((row.ah, row.n, row.doc_id, row.tk, row.at - before + s, before - s, hashlib.blake2b(data[s : s + SPAN], digest_size=16).digest()))
+
+            def digest(start: int, stop: int) -> bytes | None:
+                inside = 0 <= before + start and before + stop <= len(data)
+                return hashlib.blake2b(data[before + start : before + stop], digest_size=16).digest() if inside else None
+
+            for x in row.ranges:
+                a, b = x["least"], x["most"]
+                if core := digest(-a, SPAN - b):
+                    out.append((row.ah, row.member, x["n"], a, b, core, digest(-b, SPAN - a)))
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=STRINGS).astype({"doc_id": pdf["doc_id"].dtype})
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=STRINGS).astype({"doc_id": pdf["doc_id"].dtype})
+            yield pd.DataFrame(out, columns=columns)
+
+
+def _by_halving(around: DataFrame) -> DataFrame:
+    """``(member, least, most)``, the repeated ranges of groups of any size, by counts that are summed before they are shuffled.
+
+    A range of starts is settled for surroundings that have all bytes of its
+    strings in common (one of them goes on, as a partner of others), and dropped
+    where nobody else has the bytes that each of its strings holds. What is left
+    is cut into ``PARTS`` ranges, down to single starts. At a passage that very
+    many surroundings share only the ranges at its two ends go on.
+    """
+    width, by = REACH + 1, ["ah", "least", "most"]
+    asked = around.withColumn("ranges", F.array(F.struct("n", F.lit(0).alias("least"), F.lit(REACH).alias("most"))))
+    found = None
+    while True:
+        rows = stored(asked.select("ah", "member", "around", "before", "ranges").mapInPandas(_digests, "ah long, member long, n long, least int, most int, core binary, whole binary"))
+        whole = stored(
+            rows.where("whole is not null").groupBy(*by, "whole").agg(F.sum("n").alias("all"), F.min("member").alias("one")).where(F.col("all") > 1).drop("all")
+        )
+        settled = rows.join(whole, [*by, "whole"], "left").select("ah", "member", "n", "least", "most", "core", "one")
+        here = settled.where("one is not null and n = 1").select("member", "least", "most")
+        found = here if found is None else found.unionByName(here)
+        if width == 1:
+            return found
+        core = stored(rows.groupBy(*by, "core").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*by, "core"))
+        left = settled.where("one is null or one = member").join(core, [*by, "core"], "left_semi")
+        width = -(-width // PARTS)
+        weight = F.when(F.col("one").isNull(), F.col("n")).otherwise(F.lit(2).cast("long"))
+        cut = left.select("member", weight.alias("n"), "most", F.explode(F.sequence("least", "most", F.lit(width))).alias("least"))
+        cut = cut.select("member", F.struct("n", "least", F.least(F.col("least") + width - 1, F.col("most")).alias("most")).alias("x"))
+        asked = around.join(cut.groupBy("member").agg(F.collect_list("x").alias("ranges")), "member")
 
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -362,11 +388,12 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     kinds = rows.groupBy("ah", "cd").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "at")).alias("one"))
     kinds = stored(kinds)
     groups = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1 or most > 1")
+    groups = stored(groups.where("m > 1 and least = 1").select("ah", "m"))  # a table, so that the join below can split an anchor of very many surroundings
     whole = rows.join(kinds.where("n > 1").select("ah", "cd"), ["ah", "cd"]).select(
         "doc_id", "tk", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"), F.least(F.col("at") + SPAN, F.col("size")).alias("stop")
     )
     asked = (
-        kinds.join(groups.where("m > 1 and least = 1").select("ah", "m"), "ah")
+        kinds.join(groups, "ah")
         .select("one.doc_id", "one.tk", F.struct("ah", "n", "m", F.col("one.at").alias("at")).alias("x"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list("x").alias("asked"))
     )
@@ -374,13 +401,14 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     if asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     with_asked = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("doc_id", "tk", "data", "asked")
-    around = stored(with_asked.mapInPandas(_cut_out, f"ah long, n long, m long, {key}, at int, around binary, before int").dropDuplicates(["ah", "doc_id", "tk", "at"]))
+    around = with_asked.mapInPandas(_cut_out, f"ah long, n long, m long, {key}, at int, around binary, before int").dropDuplicates(["ah", "doc_id", "tk", "at"])
+    around = stored(around.withColumn("member", F.monotonically_increasing_id()))
     span = f"{key}, start int, stop int"
-    sorted_ = around.where(F.col("m") <= group).repartition("ah").sortWithinPartitions("ah").mapInPandas(_sorted_groups, span)
-    strings = around.where(F.col("m") > group).mapInPandas(_each_string, f"ah long, n long, {key}, start int, distance int, digest binary")
-    many = strings.groupBy("ah", "distance", "digest").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("ah", "distance", "digest")
-    counted = strings.where("n = 1").join(many, ["ah", "distance", "digest"]).select("doc_id", "tk", "start", (F.col("start") + SPAN).alias("stop"))
-    return whole.unionByName(sorted_).unionByName(counted).where(F.col("stop") - F.col("start") >= SPAN)
+    found = around.where(F.col("m") <= group).drop("member", "m").repartition("ah").sortWithinPartitions("ah").mapInPandas(_sorted_groups, span)
+    if groups.where(F.col("m") > group).limit(1).count():
+        many = around.where(F.col("m") > group)
+        found = found.unionByName(many.join(_by_halving(many), "member").select("doc_id", "tk", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + SPAN).alias("stop")))
+    return whole.unionByName(found).where(F.col("stop") - F.col("start") >= SPAN)
 
 
 def _merge(ranges: list) -> list[tuple[int, int]]:

@@ -119,9 +119,9 @@ def brute_repeats(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize(("group", "whole"), [(65_536, 4_096), (65_536, 10), (1, 10)])
-def test_suffix_dedup_against_brute_force(spark, group, whole, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "WHOLE", whole)
+@pytest.mark.parametrize(("group", "batch"), [(8_192, 4_096), (8_192, 3), (1, 4_096)])
+def test_suffix_dedup_against_brute_force(spark, group, batch, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(3)
     shared = [words(n, rng, 3_000) for n in (75, 90, 130, 300)]
     texts = []
@@ -145,10 +145,39 @@ def test_suffix_dedup_edges(spark):
     assert [r.n_removed for r in twice] == [2_000, 2_000]
 
 
-def test_suffix_extension_verifies_collisions():
-    a, b = suffix_dedup.Surrounding(b"x" * 700, 300), suffix_dedup.Surrounding(b"x" * 500 + b"y" * 200, 300)
-    b.__dict__["prefix"] = a.prefix  # as if all hashes were equal
-    assert suffix_dedup.extension(a, b, -300) == 500 == suffix_dedup.byte_extension(a, b, -300)
+def brute_ranges(data, before, sizes):
+    """(row, start) of each string that another row of the group has at the same distance from its anchor."""
+    out, at = set(), 0
+    for m in sizes:
+        seen = {}
+        for i in range(at, at + m):
+            for d in range(min(suffix_dedup.REACH, before[i]) + 1):
+                s = data[i][before[i] - d : before[i] - d + 400]
+                if len(s) == 400:
+                    seen.setdefault((d, s), []).append(i)
+        out |= {(i, d) for (d, _), rows in seen.items() if len(rows) > 1 for i in rows}
+        at += m
+    return out
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_sort_against_brute_force(collide, monkeypatch):
+    if collide:  # as if the hashes never told two suffixes apart, or always did
+        monkeypatch.setattr(suffix_dedup.Surroundings, "extension", lambda self, a, b, way: np.where((a + b) % 2, 0, 400 if way > 0 else 336))
+    rng = random.Random(11)
+    data, before, sizes = [], [], [1, 2, 3, 5, 40, 2, 9]
+    for m in sizes:
+        base = bytes(rng.randrange(97, 100) for _ in range(736))
+        for _ in range(m):
+            left, right = rng.choice([336, rng.randrange(337)]), rng.choice([400, rng.randrange(64, 401)])
+            x = bytearray(base[336 - left : 336 + right])
+            for _ in range(rng.randrange(4)):
+                x[rng.randrange(len(x))] = rng.randrange(97, 100)
+            data.append(bytes(x))
+            before.append(left)
+    got = {(i, d) for i, a, b in suffix_dedup.repeated(data, before, sizes) for d in range(a, b + 1)}
+    assert got == brute_ranges(data, before, sizes) and got
+    assert suffix_dedup.repeated([], [], []) == []
 
 
 def test_line_dedup(spark):
