@@ -51,6 +51,13 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def fresh(df: DataFrame, *names: str) -> None:
+    """An error if ``df`` has columns named like those that an operator adds or works with (case does not tell them apart)."""
+    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if clash:
+        raise ValueError(f"rename these columns first: {', '.join(clash)}")
+
+
 def blank_split(text: Column) -> Column:
     """The runs of characters other than white space (20, 09-0D): a plain split at spaces, which needs no regular expression."""
     for c in "\t\n\x0b\x0c\r":

@@ -1,16 +1,22 @@
 """Line dedup by a log-template tree, on DataFrame functions only.
 
 A line falls through a tree of fixed depth: its token count, then its leading
-tokens, where a token with a digit counts as a variable field. Lines that recur
-word for word in enough texts are templates as they stand. Of the other lines
-of a leaf that enough texts reach, a token that enough texts have at its place
-is fixed and any other is a variable field; what results is a template if
-enough of it is fixed. Of a template that recurs in enough texts the first line
+tokens, where a token with a digit counts as a variable field. All lines of a
+leaf, equal ones too, tell its other fields: a token is fixed if at least
+``texts`` texts, and at least the share ``share`` of those of the leaf, have it
+at its place, and any other is a variable field. What results is a template if
+enough of it is fixed and enough texts have it. A line without such a template
+counts by itself, if enough texts hold it (two, if it has ``LONG`` tokens); so
+do lines of one or two tokens, which have no leaf. Of what recurs the first line
 stays (smallest id, then place) and all others are dropped, so that what was
 said once in many copies stays once.
 
 Counts are of different texts, so exact copies of a whole document are not
 taken for templates; those are the near-duplicate operator's work.
+
+A line may stand in a third of all texts. Counts are summed before they are
+shuffled, and the joins on a line's digest have tables on both sides, so that
+Spark splits the partition of such a line.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_split, cut, let, stored
+from .common import blank_split, cut, fresh, let, stored
 
 FIELD = "<*>"
 BROADCAST_ROWS = 200_000
@@ -38,62 +44,14 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _lines(docs: DataFrame, depth: int, least: int, what: str) -> DataFrame:
-    """Lines of at least ``least`` tokens: place, leaf, and their ``tokens`` or the digest ``t`` of them.
+def _lines(docs: DataFrame, depth: int, what: str) -> DataFrame:
+    """All lines but blank ones: place, leaf, number of tokens ``len``, and their ``tokens`` or the digest ``t`` of them.
 
-    All is made inside of one array per document and then taken apart: a
-    filter on rows would be pushed below and split every line once more.
+    Lines of one or two tokens have no leaf and count as they stand, digits
+    included. All is made inside of one array per document and then taken
+    apart: a filter on rows would be pushed below and split every line once
+    more.
     """
-    def told(tokens: Column, at: Column) -> Column:
-        leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-        own = tokens if what == "tokens" else _digest(F.array_join(tokens, " "))
-        return F.when(F.size(tokens) >= least, F.struct(at.alias("at"), leaf.alias("leaf"), own.alias(what)))
-
-    made = F.transform(F.split("text", "\n"), lambda line, at: let(_generalised(line), lambda ts: told(ts, at)))
-    kept = F.filter(made, lambda x: x.isNotNull())
-    return docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(kept).alias("e")).select("doc_id", "tk", "e.*")
-
-
-def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed: float = 0.6) -> DataFrame:
-    """``(doc_id, tk, at)``: the lines that go, ``at`` counted from zero, ``tk`` telling texts of one id apart."""
-    slim = stored(_lines(docs, depth, least, "t"))
-    where = ["doc_id", "tk", "at"]
-    often = slim.select("t", "tk").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("t")
-    exact = slim.join(often, "t").select(*where, "t")
-    rest = stored(slim.join(often, "t", "left_anti").select(*where, "leaf"))
-    leaves = cut(rest.select("leaf", "tk").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("leaf"))
-    small = leaves.count() <= BROADCAST_ROWS
-    met = _lines(docs, depth, least, "tokens").join(F.broadcast(leaves) if small else leaves, "leaf")
-    loose = rest.join(F.broadcast(leaves) if small else leaves, "leaf").select(
-        F.col("doc_id").alias("i"), F.col("tk").alias("k"), F.col("at").alias("a")
-    ).distinct()
-    met = met.join(loose, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")) & (F.col("at") == F.col("a")))
-    placed = cut(met.select(*where, "leaf", F.size("tokens").alias("len"), F.posexplode("tokens").alias("p", "token")))
-    common = (
-        placed.select("leaf", "p", "token", "tk").distinct()
-        .groupBy("leaf", "p", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts)
-        .select("leaf", "p", "token", F.lit(True).alias("common"))
-    )
-    shown = F.when(F.col("common") & (F.col("token") != FIELD), F.col("token")).otherwise(F.lit(FIELD))
-    made = (
-        placed.join(common, ["leaf", "p", "token"], "left").select(*where, "leaf", "len", F.struct("p", shown.alias("s")).alias("e"))
-        .groupBy(*where, "leaf", "len").agg(F.array_sort(F.collect_set("e")).alias("es"))
-        .withColumn("es", F.col("es.s"))
-        .where(F.size(F.filter("es", lambda s: s != FIELD)) >= fixed * F.col("len"))
-        .select(*where, _digest(F.concat_ws(" ", F.lit(FIELD), F.col("len").cast("string"), F.array_join("es", " "))).alias("t"))
-    )
-    made = cut(made)
-    again = made.select("t", "tk").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= texts).select("t")
-    hits = stored(exact.unionByName(made.join(again, "t").select(*where, "t")))
-    first = hits.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "at")).alias("f"))
-    kept = first.select("t", "f.doc_id", "f.tk", "f.at").withColumn("kept", F.lit(True))
-    h, k = hits.alias("h"), kept.alias("k")
-    on = (F.col("h.t") == F.col("k.t")) & F.col("h.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h.tk") == F.col("k.tk")) & (F.col("h.at") == F.col("k.at"))
-    return h.join(k, on, "left_anti").select(*where).distinct()
-
-
-def _every_line(docs: DataFrame, depth: int, what: str) -> DataFrame:
-    """All lines but blank ones, with the number of tokens ``len``; those of one or two tokens have no leaf and count as they stand, digits included."""
     def told(tokens: Column, line: Column, at: Column) -> Column:
         leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
         short = F.size(tokens) < SHORT
@@ -109,16 +67,9 @@ def _every_line(docs: DataFrame, depth: int, what: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tk"), F.explode(kept).alias("e")).select("doc_id", "tk", "e.*")
 
 
-def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: float = 0.6, share: float = 0.2) -> DataFrame:
-    """As ``dropped_lines``, with fields that do not fade as the table grows.
-
-    All lines of a leaf, equal ones too, tell its fields: a token is fixed if
-    at least ``texts`` texts, and at least the share ``share`` of those of the
-    leaf, have it at its place. A line whose generalised form recurs counts by
-    that form, any other by itself: in ``texts`` texts, or in two if it has
-    ``LONG`` tokens.
-    """
-    slim = stored(_every_line(docs, depth, "t"))
+def dropped_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: float = 0.6, share: float = 0.2) -> DataFrame:
+    """``(doc_id, tk, at)``: the lines that go, ``at`` counted from zero, ``tk`` telling texts of one id apart."""
+    slim = stored(_lines(docs, depth, "t"))
     where = ["doc_id", "tk", "at"]
     kinds = stored(
         slim.groupBy("t", "tk").agg(F.min("leaf").alias("leaf"), F.min("len").alias("len"), F.min(F.struct("doc_id", "at")).alias("one"))
@@ -132,16 +83,16 @@ def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: floa
     if leaves.count() <= BROADCAST_ROWS:
         leaves = F.broadcast(leaves)
     asked = kinds.join(leaves, "leaf").select("i", "k", "a", "t", "n", "all")
-    met = _every_line(docs, depth, "tokens").join(leaves.select("leaf"), "leaf").dropDuplicates(where)
-    met = met.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")) & (F.col("at") == F.col("a")))
+    met = _lines(docs, depth, "tokens").join(leaves.select("leaf"), "leaf")
+    met = met.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")) & (F.col("at") == F.col("a"))).dropDuplicates(["t"])
     placed = stored(met.select("t", "n", "all", "leaf", "len", F.posexplode("tokens").alias("p", "token")))
     common = (
         placed.where(F.col("token") != FIELD).groupBy("leaf", "p", "token").agg(F.sum("n").alias("c"), F.first("all").alias("all"))
         .where((F.col("c") >= texts) & (F.col("c") >= share * F.col("all"))).select("leaf", "p", "token", F.lit(True).alias("common"))
     )
     shown = F.when(F.col("common"), F.col("token")).otherwise(F.lit(FIELD))
-    forms = cut(
-        placed.join(common, ["leaf", "p", "token"], "left").groupBy("t", "len").agg(F.array_sort(F.collect_list(F.struct("p", shown.alias("s")))).alias("es"))
+    forms = stored(
+        placed.join(stored(common), ["leaf", "p", "token"], "left").groupBy("t", "len").agg(F.array_sort(F.collect_list(F.struct("p", shown.alias("s")))).alias("es"))
         .withColumn("es", F.col("es.s")).where(F.size(F.filter("es", lambda s: s != FIELD)) >= fixed * F.col("len"))
         .select("t", _digest(F.concat_ws(" ", F.lit(FIELD), F.col("len").cast("string"), F.array_join("es", " "))).alias("form"))
     )
@@ -151,7 +102,7 @@ def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: floa
     )
     by_form = forms.join(again, "form")
     own = kinds.where(F.col("n") >= F.when(F.col("len") >= LONG, F.least(F.lit(2), F.lit(texts))).otherwise(texts)).select("t")
-    names = own.join(by_form, "t", "full").select("t", F.coalesce("form", "t").alias("name"))
+    names = stored(own.join(by_form, "t", "full").select("t", F.coalesce("form", "t").alias("name")))
     hits = stored(slim.join(names, "t").select(*where, "name"))
     first = hits.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "at")).alias("f"))
     kept = first.select("name", "f.doc_id", "f.tk", "f.at")
@@ -160,33 +111,26 @@ def recurring_lines(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: floa
     return h.join(k, on, "left_anti").select(*where).distinct()
 
 
-def dedup_whole(docs: DataFrame) -> DataFrame:
-    """As ``dedup``, by ``recurring_lines``; ``dedup`` itself is held by the SQL of ``op1_line_dedup``."""
-    return _without(docs, recurring_lines(docs))
-
-
-def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, least: int = 3, fixed: float = 0.6) -> DataFrame:
+def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: float = 0.6, share: float = 0.2) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``, and ``n_lines`` and ``n_dropped``.
 
     A null text stays null and has no lines; an empty one has one line, which
-    stays. Lines of fewer than ``least`` tokens are never templates. Repeated
-    rows and equal texts of other ids are one text to the counts; their lines
-    are dropped alike unless the template's first line is one of theirs. Null
-    ids come after all others. An empty table gives none; other columns pass
-    through.
+    stays, as blank lines do. Repeated rows and equal texts of other ids are
+    one text to the counts; their lines are dropped alike unless the template's
+    first line is one of theirs. Null ids come after all others. An empty table
+    gives none; other columns pass through, but columns named like the two new
+    ones are an error.
     """
-    return _without(docs, dropped_lines(docs, texts, depth, least, fixed))
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    gone = dropped.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set("at").alias("_gone"))
+    fresh(docs, "n_lines", "n_dropped", "__id", "__tk", "__gone")
+    gone = dropped_lines(docs, texts, depth, fixed, share)
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).agg(F.collect_set("at").alias("__gone"))
     # the same join at every size: what goes grows with the documents
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk")), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    shown = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    shown = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     return joined.select(
         *[shown.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

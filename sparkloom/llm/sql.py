@@ -9,25 +9,30 @@ placed0 as (select doc_id, tk, ls, unnest(range(len(ls))) as pos from lines),
 tok as (
   select doc_id, tk, pos, regexp_extract_all(ls[pos + 1], '[^\x20\x09-\x0D]+') as raw from placed0),
 gen as (
-  select doc_id, tk, pos, list_transform(raw, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
-  from tok where len(raw) >= 3),
-keyed as (select *, len(tokens) as n, array_to_string(tokens, ' ') as t, array_to_string(tokens[1:3], ' ') as lead from gen),
-often as (select t from keyed group by t having count(distinct tk) >= 3),
-rest as (select * from keyed where t not in (select t from often)),
-leaves as (select n, lead from rest group by n, lead having count(distinct tk) >= 3),
-loose as (select rest.* from rest join leaves using (n, lead)),
-placed as (select doc_id, tk, pos, n, lead, unnest(range(len(tokens))) as p, unnest(tokens) as token from loose),
-common as (select n, lead, p, token from placed group by n, lead, p, token having count(distinct tk) >= 3),
+  select doc_id, tk, pos, raw, list_transform(raw, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
+  from tok where len(raw) >= 1),
+keyed as (
+  select doc_id, tk, pos, tokens, len(tokens) as n, array_to_string(tokens[1:3], ' ') as lead,
+    array_to_string(case when len(raw) < 3 then raw else tokens end, ' ') as t
+  from gen),
+kinds as (select t, any_value(n) as n, any_value(lead) as lead, any_value(tokens) as tokens, count(distinct tk) as c from keyed group by t),
+leaves as (select n, lead, sum(c) as every from kinds where n >= 3 group by n, lead having sum(c) >= 3 and count(*) > 1),
+placed as (
+  select t, n, lead, every, c, unnest(range(n)) as p, unnest(tokens) as token from kinds join leaves using (n, lead)),
+common as (
+  select n, lead, p, token from placed where token <> '<*>' group by n, lead, p, token, every having sum(c) >= 3 and sum(c) >= 0.2::double * every),
 shown as (
-  select distinct a.doc_id, a.tk, a.pos, a.n, a.p, case when c.token is not null and a.token <> '<*>' then a.token else '<*>' end as s
+  select a.t, a.n, a.p, case when c.token is not null then a.token else '<*>' end as s
   from placed a left join common c on a.n = c.n and a.lead = c.lead and a.p = c.p and a.token = c.token),
-made as (
-  select doc_id, tk, pos, '<*> ' || n || ' ' || string_agg(s, ' ' order by p) as t
-  from shown group by doc_id, tk, pos, n having count(*) filter (s <> '<*>') >= 0.6 * n),
-again as (select t from made group by t having count(distinct tk) >= 3),
-hits as (
-  select doc_id, tk, pos, t from keyed where t in (select t from often)
-  union all select doc_id, tk, pos, t from made where t in (select t from again)),
+forms as (
+  select t, '<*> ' || n || ' ' || string_agg(s, ' ' order by p) as form
+  from shown group by t, n having count(*) filter (s <> '<*>') >= 0.6 * n),
+again as (select form from keyed join forms using (t) group by form having count(distinct tk) >= 3),
+own as (select t from kinds where c >= case when n >= 20 then 2 else 3 end),
+names as (
+  select coalesce(o.t, f.t) as t, coalesce(f.form, o.t) as name
+  from own o full join (select t, form from forms where form in (select form from again)) f on o.t = f.t),
+hits as (select k.doc_id, k.tk, k.pos, n.name as t from keyed k join names n on k.t = n.t),
 ranked as (select *, rank() over (partition by t order by doc_id nulls last, tk, pos) as r from hits),
 gone as (select distinct doc_id, tk, pos from ranked where r > 1),
 per as (select doc_id, tk, list(pos) as gone from gone group by doc_id, tk)
