@@ -5,15 +5,16 @@ confirmed toxic documents and unlabelled ones. With class prior p the risk is
 p * R+(1) + max(0, Ru(0) - p * R+(0)): the share of the unlabelled risk that
 the positives account for is taken off, and a step that would make the rest
 negative goes the other way instead. The prior is the toxic share of the
-labelled training rows. Weights start from smoothed log ratios of positives
-to what the unlabelled leave for negatives, for the features that are surely
-commoner in positives, and the threshold is set on the labelled training rows.
-
-The fit takes about ``MOST_POSITIVE`` toxic, ``MOST_UNLABELLED`` unlabelled and
-``MOST_LABELLED`` labelled documents, those of the smallest digests, whole.
-Features are counted on the executors; the driver gets the counts of features
-that three or more of the sampled toxic documents have, and the sampled
-documents' chosen features. Every text is scored whole.
+labelled training rows, which are used for nothing else: negative labels are
+never learned from. Weights start at zero, for the features that are surely
+commoner in positives than in what the unlabelled leave for negatives, and the
+threshold is where the same estimate of the share of wrong answers is least.
+
+The fit takes about ``MOST_POSITIVE`` toxic and ``MOST_UNLABELLED`` unlabelled
+documents, those of the smallest digests, whole. Features are counted on the
+executors; the driver gets the counts of features that three or more of the
+sampled toxic documents have, and the sampled documents' chosen features. Every
+text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-MOST_POSITIVE, MOST_UNLABELLED, MOST_LABELLED = 4_000, 12_000, 6_000
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 STARTS = (4, 5, 6)
 WORDS = re.compile(r"\w+")
 
@@ -61,56 +62,66 @@ class Model:
         return 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, self.margin(x)))))
 
 
-def choose(c_p: np.ndarray, c_u: np.ndarray, p: int, u: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which features the positives surely have more often (bounds of both counts; a long text has many chance ones), and their log ratios.
+def choose(c_p: np.ndarray, c_u: np.ndarray, p: int, u: int, prior: float) -> np.ndarray:
+    """Which features the positives surely have more often, by bounds of both counts (a long text has many chance ones).
 
     The negatives' rate is what the unlabelled have with the positives' share taken off.
     """
-    in_p, in_u = c_p / p, c_u / u
-    in_n = np.maximum(0.0, in_u - prior * in_p) / (1 - prior)
     low_p = (c_p - np.sqrt(c_p)) / p
-    high_n = np.maximum(0.0, (c_u + 2 * np.sqrt(c_u) + 1) / u - prior * in_p) / (1 - prior)
-    ratio = np.log((c_p + 0.5) / (p + 1)) - np.log((in_n * u + 0.5) / (u + 1))
-    return (c_p >= 3) & (low_p > 3 * high_n), ratio
+    high_n = np.maximum(0.0, (c_u + 2 * np.sqrt(c_u) + 1) / u - prior * c_p / p) / (1 - prior)
+    return (c_p >= 3) & (low_p > 3 * high_n)
 
 
-def fit(ids: np.ndarray, start: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[tuple[np.ndarray, int]], prior: float, epochs: int = 12, rate: float = 0.3, seed: int = 11) -> Model:
-    """The classifier over the features ``ids``, from ``start`` weights; documents are arrays of places in ``ids``."""
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The estimate of the risk's negative part, and the slopes of the whole by each positive's and each unlabelled margin.
+
+    When the negative part is below zero its own slope is gone up instead.
+    """
+    s_p, s_u = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) for z in (z_p, z_u))
+    n_p, n_u = max(1, len(z_p)), max(1, len(z_u))
+    negative = np.logaddexp(0, z_u).sum() / n_u - prior * np.logaddexp(0, z_p).sum() / n_p
+    down_p, down_u = -prior * s_p / n_p, s_u / n_u
+    if negative < 0:
+        return negative, -down_p, -down_u
+    return negative, prior * (s_p - 1) / n_p + down_p, down_u
+
+
+def threshold(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
+    """The margin from which on a document is marked: where missed positives and the unlabelled marked beyond the positives' share are fewest."""
+    z_p, z_u = np.sort(z_p), np.sort(z_u)
+    at = np.unique(np.concatenate([z_p, z_u]))
+    found = 1 - np.searchsorted(z_p, at) / len(z_p)
+    marked = 1 - np.searchsorted(z_u, at) / len(z_u)
+    best = int(np.argmin(prior * (1 - found) + np.maximum(0.0, marked - prior * found)))
+    return float((at[best] + (at[best - 1] if best else at[best] - 1)) / 2)
+
+
+def fit(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 320, rate: float = 0.1, decay: float = 1e-3, seed: int = 11) -> Model:
+    """The classifier over the features ``ids`` after about ``steps`` steps, whole rounds; documents are arrays of places in ``ids``."""
     p, sets = len(positive), positive + unlabelled
     flat = np.concatenate(sets).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
     n = len(ids)
-    weights, offset, rng = start.astype(float), -3.0, np.random.default_rng(seed)
+    weights, offset, rng = np.zeros(n), -3.0, np.random.default_rng(seed)
     squares, offset_square = np.full(n, 1e-6), 1e-6
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(sets)), max(1, len(sets) // 512)):
+    batches = max(1, len(sets) // 512)
+    for _ in range(-(-steps // batches)):
+        for batch in np.array_split(rng.permutation(len(sets)), batches):
+            batch = np.sort(batch)  # positives first
             spans = [flat[starts[i] : starts[i + 1]] for i in batch]
             row = np.repeat(np.arange(len(batch)), [len(x) for x in spans])
             cols = np.concatenate(spans)
             z = np.bincount(row, weights[cols], minlength=len(batch)) + offset
-            is_p = batch < p
-            n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
-            s = sigmoid(z)
-            negative = np.logaddexp(0, z[~is_p]).sum() / n_u - prior * np.logaddexp(0, z[is_p]).sum() / n_p
-            as_positive = np.where(is_p, prior * (s - 1) / n_p, 0.0)
-            as_negative = np.where(is_p, -prior * s / n_p, s / n_u)
-            slope = as_positive + as_negative if negative >= 0 else -as_negative
-            g = np.bincount(cols, slope[row], minlength=n) + 1e-6 * weights
+            first = int((batch < p).sum())
+            _, by_p, by_u = risk(z[:first], z[first:], prior)
+            slope = np.concatenate([by_p, by_u])
+            g = np.bincount(cols, slope[row], minlength=n) + decay * weights
             squares += g * g
             weights -= rate * g / np.sqrt(squares)
             offset_square += slope.sum() ** 2
             offset -= rate * slope.sum() / np.sqrt(offset_square)
-    if labelled:
-        margins = np.array([weights[x].sum() + offset for x, _ in labelled])
-        marks = np.array([y for _, y in labelled])
-        order = np.argsort(-margins, kind="stable")
-        hit, sorted_margins = np.cumsum(marks[order]), margins[order]
-        f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, marks.sum()))
-        last = np.r_[sorted_margins[1:] != sorted_margins[:-1], True]
-        best = int(np.argmax(np.where(last, f1, -1)))
-        below = sorted_margins[best + 1] if best + 1 < len(order) else sorted_margins[best] - 1
-        offset -= float((sorted_margins[best] + below) / 2)
+    z = np.array([weights[x].sum() for x in sets]) + offset
+    offset -= threshold(z[:p], z[p:], prior)
     return Model(dict(zip(ids.tolist(), weights.tolist())), float(offset))
 
 
@@ -134,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = float(marks.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0)
     if not 0 < prior < 1:
         return nothing
-    parts = {"p": (known.where("y = 1"), MOST_POSITIVE), "u": (open_docs.withColumn("y", F.lit(None).cast("int")), MOST_UNLABELLED), "l": (known, MOST_LABELLED)}
-    rows = (reduce(DataFrame.unionByName, [_sample(df, most).select(F.lit(k).alias("part"), F.col("y").cast("int").alias("y"), "text") for k, (df, most) in parts.items()]))
+    parts = {"p": (known.where("y = 1").select("doc_id", "text"), MOST_POSITIVE), "u": (open_docs, MOST_UNLABELLED)}
+    rows = reduce(DataFrame.unionByName, [_sample(df, most).select(F.lit(k).alias("part"), "text") for k, (df, most) in parts.items()])
     rows = cut(rows.withColumn("tk", F.xxhash64("text")).dropDuplicates(["part", "tk"]))  # copies would count as evidence
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
     p, u = sizes.get("p", 0), sizes.get("u", 0)
@@ -161,15 +172,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     in_p = counted("p", None, 3)
     in_u = counted("u", frozenset(in_p), 1)
     ids = np.array(sorted(in_p), np.int64)
-    told, ratio = choose(np.array([in_p[i] for i in ids.tolist()], float), np.array([in_u.get(i, 0) for i in ids.tolist()], float), p, u, prior)
-    ids, start = ids[told], ratio[told]
+    ids = ids[choose(np.array([in_p[i] for i in ids.tolist()], float), np.array([in_u.get(i, 0) for i in ids.tolist()], float), p, u, prior)]
     if not len(ids):
         return nothing
-    made: dict[str, list] = {"p": [], "u": [], "l": []}
-    for r in rows.select("part", "y", listed(frozenset(ids.tolist())).alias("x")).collect():
-        x = np.searchsorted(ids, np.array(r["x"], np.int64))
-        made[r["part"]].append((x, r["y"]) if r["part"] == "l" else x)
-    return fit(ids, start, made["p"], made["u"], made["l"], prior)
+    made: dict[str, list] = {"p": [], "u": []}
+    for r in rows.select("part", listed(frozenset(ids.tolist())).alias("x")).collect():
+        made[r["part"]].append(np.searchsorted(ids, np.array(r["x"], np.int64)))
+    return fit(ids, made["p"], made["u"], prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

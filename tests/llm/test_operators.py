@@ -1,6 +1,7 @@
 """The dealt operators against brute force, and their edge cases."""
 
 import itertools
+import math
 import random
 import re
 
@@ -300,6 +301,46 @@ def test_toxicity_held_out_accuracy(spark):
     assert len(none) == len(EDGE) and not any(r.predicted for r in none)
 
 
+def test_toxicity_risk_in_plain_loops():
+    rng, prior = np.random.default_rng(3), 0.2
+    log1p = lambda z: math.log1p(math.exp(z))
+
+    def parts(zp, zu):
+        loss = sum(log1p(-z) for z in zp) / len(zp) * prior
+        return loss, sum(log1p(z) for z in zu) / len(zu) - prior * sum(log1p(z) for z in zp) / len(zp)
+
+    for shift in (-3.0, 0.0, 3.0):  # unlabelled margins so low that the negative part is below zero, and others
+        zp, zu = rng.normal(size=7) + 2, rng.normal(size=9) + shift - 1
+        loss, negative = parts(zp, zu)
+        got, by_p, by_u = toxicity.risk(zp, zu, prior)
+        assert abs(got - negative) < 1e-12
+        whole = (lambda a, b: sum(parts(a, b))) if negative >= 0 else (lambda a, b: -parts(a, b)[1])
+        for z, slopes, first in ((zp, by_p, True), (zu, by_u, False)):
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i] += 1e-6
+                down[i] -= 1e-6
+                slope = (whole(up, zu) - whole(down, zu) if first else whole(zp, up) - whole(zp, down)) / 2e-6
+                assert abs(slope - slopes[i]) < 1e-6
+    zp, zu = rng.normal(size=30) + 2, np.concatenate([rng.normal(size=80) - 1, rng.normal(size=20) + 2])
+    t = toxicity.threshold(zp, zu, prior)
+    wrong = lambda t: prior * np.mean(zp < t) + max(0.0, np.mean(zu >= t) - prior * np.mean(zp >= t))
+    assert wrong(t) <= min(wrong(x) for x in np.concatenate([zp, zu])) + 1e-12
+
+
+def test_toxicity_learns_from_the_risk():
+    """Without training steps nothing is told apart; with them toxic documents are, from positives and unlabelled ones alone."""
+    rng = np.random.default_rng(4)
+    docs = lambda k, y: [np.unique(np.concatenate([rng.integers(5, 60, 8), rng.integers(0, 5, 3 * y)])) for _ in range(k)]
+    positive, unlabelled = docs(150, 1), docs(80, 1) + docs(720, 0)
+    tests = [(x, y) for y in (0, 1) for x in docs(100, y)]
+    right = []
+    for steps in (0, 320):
+        m = toxicity.fit(np.arange(60), positive, unlabelled, 0.1, steps)
+        right.append(np.mean([(m.score(set(x.tolist())) >= 0.5) == bool(y) for x, y in tests]))
+    assert right[0] <= 0.55 and right[1] > 0.93
+
+
 def test_quality(spark):
     rng = random.Random(10)
     good = [words(40, rng, 200) for _ in range(160)]
