@@ -67,7 +67,8 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import findings
 
-    out = findings(table(spark, sf_dir, "documents"))
+    # a standing ledger is named in the session; without one this run begins its own
+    out = findings(table(spark, sf_dir, "documents"), spark.conf.get("sparkloom.secrets.ledger", None))
 
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -1,5 +1,7 @@
 """The same results as DuckDB SQL, for the queries that SQL can express."""
 
+from .secrets import EITHER
+
 LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LINE_DEDUP = r"""
@@ -89,11 +91,7 @@ select doc_id, size, source_size, target,
 from drawn
 """
 
-_EITHER = "|".join(
-    "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
-    for name in ("password", "passwd", "secret", "token", "api_?key")
-)
-_ASSIGN = rf"""({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN = rf"""({EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
 def _secret_kind(kind: str, place: int, pattern: str, least: str) -> str:

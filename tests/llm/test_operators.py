@@ -224,16 +224,34 @@ def test_secrets(spark):
     assert secrets.findings(docs_of(spark, [])).count() == 0
 
 
-def test_secret_ledger_scans_only_what_is_new(spark):
-    old, new = docs_of(spark, ["token=abcdefgh", "plain"]), docs_of(spark, ["token=abcdefgh", "secret: 12345678"], [5, 6])
-    ledger = secrets.scan(secrets.blobs(old)).persist()
-    assert ledger.count() == 2 * len(secrets.RULES)
-    added = secrets.scan(secrets.blobs(new), ledger)
-    assert added.count() == len(secrets.RULES)
-    assert secrets.scan(secrets.blobs(old), ledger).count() == 0
+def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
+    old, new = docs_of(spark, ["token=abcdefgh", "plain", "plain"]), docs_of(spark, ["token=abcdefgh", "secret: 12345678"], [5, 6])
+    path, n = str(tmp_path / "ledger"), len(secrets.RULES)
+    for docs, rows in ((old, 2 * n), (old, 2 * n), (new, 3 * n), (new, 3 * n)):  # a second run scans nothing
+        found = {r.doc_id: len(r.found) for r in secrets.findings(docs, path).collect()}
+        assert found == ({0: 1, 1: 0, 2: 0} if docs is old else {5: 1, 6: 1})
+        ledger = secrets.read_ledger(spark, path)
+        assert ledger.count() == rows
+        assert secrets.scan(*secrets.blobs(docs), ledger).count() == 0
     bumped = (secrets.RULES[0]._replace(version=2), *secrets.RULES[1:])
-    assert [r.kind for r in secrets.scan(secrets.blobs(old), ledger, bumped).collect()] == ["assign", "assign"]
-    assert sorted(len(r.found) for r in secrets.findings(new, ledger).collect()) == [1, 1]
+    assert [r.kind for r in secrets.scan(*secrets.blobs(old), ledger, bumped).collect()] == ["assign", "assign"]
+    # what the ledger says is taken, not found again
+    forged = spark.createDataFrame([(r.blob, r.kind, r.version, [(1, 2)] if r.kind == "pem" else []) for r in ledger.collect()], secrets.LEDGER)
+    forged.write.parquet(str(tmp_path / "forged"))
+    out = secrets.findings(new, str(tmp_path / "forged")).collect()
+    assert [[(s.kind, s.start, s.stop) for s in r.found] for r in out] == [[("pem", 1, 2)]] * 2
+
+
+def test_secrets_of_many_matches_and_shuffled_texts(spark, monkeypatch):
+    text = "é " + " ".join(f"token=value{i:04d} {'ab' * 13}" for i in range(400))
+    want = []
+    for i in range(400):
+        at = text.index(f"token=value{i:04d}")
+        want += [("assign", at, at + 15), ("hex", at + 16, at + 42)]
+    for rows in (secrets.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows)
+        out = secrets.findings(docs_of(spark, [text, "x", text])).orderBy("doc_id").collect()
+        assert [(s.kind, s.start, s.stop) for s in out[0].found] == want and out[2].found == out[0].found and not out[1].found
 
 
 def test_neighbours_recall_and_edges(spark):
