@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank_split, cut
+from .common import blank_split, cut, fresh
 
 #: Hexadecimal digits of a document's digest that make its range.
 SALT_DIGITS = 3
@@ -54,7 +54,7 @@ def _unit(text: Column) -> Column:
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """One row per row of ``docs``: doc_id, tk, size, source_size, target, copies.
+    """One row per row of ``docs``: doc_id, source, tk, size, source_size, target, copies.
 
     ``size`` counts words; a null text has none. Null sources are one source,
     the last. Null ids and repeated rows are documents of their own. An empty
@@ -90,17 +90,24 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("u") + rate * rank) - F.floor(F.col("u") + rate * (rank - 1))
     return ranked.select(
-        "d.doc_id", "tk", "d.size", "source_size", "target", F.least(crossed, F.ceil(F.lit(float(most)))).cast("int").alias("copies")
+        "d.doc_id", "d.source", "tk", "d.size", "source_size", "target", F.least(crossed, F.ceil(F.lit(float(most)))).cast("int").alias("copies")
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as often as it is drawn."""
-    key = Window.partitionBy("doc_id", "tk").orderBy("copies")
-    drawn = draw(docs, weights, share, most, seed).withColumn("i", F.row_number().over(key)).where("copies > 0")
-    same = Window.partitionBy("doc_id", "tk").orderBy("source")
-    rows = docs.withColumn("tk", F.xxhash64("text")).withColumn("i", F.row_number().over(same)).alias("r")
-    on = F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.tk") == F.col("k.tk")) & (F.col("r.i") == F.col("k.i"))
-    return rows.join(drawn.alias("k"), on).select(
-        *[F.col(f"r.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("k.copies"))).alias("copy")
-    ).drop("copy")
+    """The rows of ``docs``, each as often as it is drawn, with all their columns.
+
+    Texts and ids may be null; rows of no words are never taken, nor is
+    anything of an empty table. Rows equal in id, text and source are told
+    apart by their number only. Columns named ``__tk``, ``__i``, ``__id``,
+    ``__t``, ``__n``, ``__copies`` or ``__copy`` are an error.
+    """
+    fresh(docs, "__tk", "__i", "__id", "__t", "__n", "__copies", "__copy")
+    drawn = draw(docs, weights, share, most, seed)
+    key = Window.partitionBy("doc_id", "tk").orderBy(F.col("source").asc_nulls_last(), "copies")
+    drawn = drawn.withColumn("__i", F.row_number().over(key)).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__t"), F.col("__i").alias("__n"), F.col("copies").alias("__copies"))
+    same = Window.partitionBy("doc_id", "__tk").orderBy(F.col("source").asc_nulls_last())
+    rows = docs.withColumn("__tk", F.xxhash64("text")).withColumn("__i", F.row_number().over(same))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tk") == F.col("__t")) & (F.col("__i") == F.col("__n"))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.join(drawn, on).select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*kept)

@@ -214,8 +214,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     Nearness is the inner product in double precision. Rows without id, and
     vectors that are null, zero, of another length than most, or hold null or
-    non-finite components take no part. Rows of one id are one query, and one
-    candidate with the best score; a query is never its own candidate. An
+    non-finite components take no part. Rows of one id are one query, by
+    their smallest vector, and one candidate with the best score; a query is never its own candidate. An
     empty table gives none. Other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -261,7 +261,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     index = rows.select("id", "v", F.explode(placed("v")).alias("leaf")).join(cuts, "leaf").select(
         "leaf", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("is_query"), "id", "v"
     )
-    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "v", F.explode(walked("v")).alias("leaf")).join(cuts, "leaf").select(
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.explode(walked("v")).alias("leaf")).join(cuts, "leaf").select(
         "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("is_query"), "id", "v"
     )
     met = index.unionByName(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "is_query")

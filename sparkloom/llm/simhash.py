@@ -1,20 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints (64 bits) are cut into three segments. Two fingerprints that
-differ in at most four bits differ in at most one bit of some segment, so
-looking up every segment's Hamming ball of radius one finds every link. Of a
-pair that differs in one bit of the segment only the side with the zero bit
-asks, so each such meeting is made once. Candidates are checked over all 64
-bits inside the join. Copies share a fingerprint and are one node, so a group
-of copies of any size costs one row.
-
-A dense group of near copies has links between almost all of its members. So a
-bucket's neighbours are linked first (a few for each fingerprint), and the full
-search then leaves out pairs that are in one component already.
+Fingerprints (64 bits) are cut into segments. Two fingerprints that differ in
+at most ``distance`` bits differ in at most ``distance // segments`` bits of
+some segment, so looking up every segment's Hamming ball of that radius finds
+every link. Of a pair the side with the smaller key in the segment asks, so each
+such meeting is made once. Complete distances are verified. There are three
+segments of about 21 bits, or, from ``MANY`` fingerprints on, two of 32 bits, so
+that a table's entries stay few as the number of fingerprints grows.
+
+Copies share a fingerprint and are one node, so a group of copies of any size
+costs one row. A dense group of near copies has links between almost all of its
+members. So a bucket's neighbours are linked first (a few for each fingerprint),
+and the full search then leaves out all that is in one component already: what
+is looked up is first which components meet in a bucket, and only members of two
+different ones are compared.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches
+from .common import cut, fresh, small_batches, stored
 from .graph import connected_components
 
-#: (first bit, bits) of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (first bit, bits) of each segment, for fewer than ``MANY`` fingerprints and for more.
+FEW_SEGMENTS, MANY_SEGMENTS = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32))
+MANY = 1 << 26
 BLOCK = 1 << 15
+Segments = tuple[tuple[int, int], ...]
 
 
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -63,62 +69,65 @@ def fingerprint(col: str | Column, shingle: int = 4) -> Column:
     return of(F.col(col) if isinstance(col, str) else col)
 
 
-def _segment(fp: str, s: int) -> Column:
-    at, bits = SEGMENTS[s]
+def segments_for(n: int) -> Segments:
+    return FEW_SEGMENTS if n < MANY else MANY_SEGMENTS
+
+
+def _key(fp: str, segment: tuple[int, int]) -> Column:
+    at, bits = segment
     return F.shiftrightunsigned(F.col(fp), at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """One row per fingerprint and segment."""
-    keys = F.array(*[F.struct(F.lit(s).alias("s"), _segment("fp", s).alias("k")) for s in range(len(SEGMENTS))])
-    return nodes.select("fp", *[c for c in nodes.columns if c != "fp"], F.explode(keys).alias("e")).select("*", "e.s", "e.k").drop("e")
+def _tables(nodes: DataFrame, segments: Segments) -> DataFrame:
+    """One row per fingerprint and segment: ``s`` and the key ``k``."""
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), _key("fp", x).alias("k")) for s, x in enumerate(segments)])
+    return nodes.select("*", F.explode(keys).alias("e")).select(*nodes.columns, "e.s", "e.k")
 
 
-def _probes(nodes: DataFrame) -> DataFrame:
-    """The segment's own key (``same``) and those with one of its zero bits set."""
-    asked = []
-    for s, (_, bits) in enumerate(SEGMENTS):
-        key = _segment("fp", s)
-        asked.append(F.struct(F.lit(s).alias("s"), key.alias("k"), F.lit(True).alias("same")))
-        for b in range(bits):
-            bit = F.lit(1 << b).cast("long")
-            asked.append(F.when(key.bitwiseAND(bit) == 0, F.struct(F.lit(s).alias("s"), key.bitwiseOR(bit).alias("k"), F.lit(False).alias("same"))))
-    return (
-        nodes.select(*nodes.columns, F.explode(F.array(*asked)).alias("e"))
-        .where(F.col("e").isNotNull())
-        .select(*nodes.columns, "e.s", "e.k", "e.same")
-    )
+def _probes(nodes: DataFrame, segments: Segments, distance: int) -> DataFrame:
+    """The keys of each segment's Hamming ball that are not smaller than its own, which is marked ``same``."""
+    radius = distance // len(segments)
+    asked = None
+    for s, (at, bits) in enumerate(segments):
+        masks = [sum(1 << b for b in some) for r in range(radius + 1) for some in itertools.combinations(range(bits), r)]
+        key = _key("fp", (at, bits))
+        ball = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), key.bitwiseXOR)
+        one = nodes.select(*nodes.columns, F.lit(s).alias("s"), key.alias("own"), F.explode(ball).alias("k")).where(F.col("k") >= F.col("own"))
+        one = one.select(*nodes.columns, "s", "k", (F.col("k") == F.col("own")).alias("same"))
+        asked = one if asked is None else asked.unionByName(one)
+    return asked
 
 
-def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
-    """``nodes(fp[, root])`` to ``(a, b)``, pairs of other fingerprints at most ``distance`` (up to 5) bits apart.
+def links(nodes: DataFrame, distance: int = 4, segments: Segments = FEW_SEGMENTS) -> DataFrame:
+    """``nodes(fp[, root])`` to ``(a, b)``, pairs of other fingerprints at most ``distance`` bits apart.
 
     With a ``root`` column pairs of one root are left out.
     """
-    if distance >= 2 * len(SEGMENTS):
-        raise ValueError("segments of radius one find links of fewer than six bits")
-    a, b = _probes(nodes).alias("a"), _tables(nodes).alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    once = ~F.col("a.same") | (F.col("a.fp") < F.col("b.fp"))
-    on = (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & once & near
-    if "root" in nodes.columns:
-        on = on & (F.col("a.root") != F.col("b.root"))
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    rooted = nodes if "root" in nodes.columns else nodes.withColumn("root", F.col("fp"))
+    asks, holds = _probes(rooted, segments, distance), _tables(rooted, segments)
+    where = ["s", "k"]
+    # which components meet where: few do, and a component's own bucket, however dense, gives no pair
+    met = asks.select(*where, F.col("root").alias("ra")).distinct().join(holds.select(*where, F.col("root").alias("rb")).distinct(), where).where("ra <> rb")
+    met = stored(met)
+    a = asks.withColumnRenamed("root", "ra").withColumnRenamed("fp", "a").join(met, [*where, "ra"])
+    b = holds.withColumnRenamed("root", "rb").withColumnRenamed("fp", "b")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    return a.join(b, [*where, "rb"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & near).select("a", "b")
 
 
-def neighbour_links(nodes: DataFrame, distance: int = 4, ahead: int = 3) -> DataFrame:
-    """Some of the links, at most ``3 * ahead`` for each fingerprint: those to the next ones of its segment's bucket.
+def neighbour_links(nodes: DataFrame, distance: int = 4, ahead: int = 3, segments: Segments = FEW_SEGMENTS) -> DataFrame:
+    """Some of the links, at most ``ahead`` for each fingerprint and segment: those to the next ones of its segment's bucket.
 
     The bucket is ordered by the bits that follow the segment, so members of a
     dense group come to stand beside each other.
     """
     after = F.lit(0).cast("long")
-    for s, (at, bits) in enumerate(SEGMENTS):
+    for s, (at, bits) in enumerate(segments):
         turn = (at + bits) % 64
         turned = F.shiftrightunsigned("fp", turn).bitwiseOR(F.shiftleft("fp", 64 - turn)) if turn else F.col("fp")
         after = F.when(F.col("s") == s, turned).otherwise(after)
     w = Window.partitionBy("s", "k").orderBy(after)
-    seen = _tables(nodes).select("fp", F.array(*[F.lead("fp", i).over(w) for i in range(1, ahead + 1)]).alias("next"))
+    seen = _tables(nodes, segments).select("fp", F.array(*[F.lead("fp", i).over(w) for i in range(1, ahead + 1)]).alias("next"))
     return (
         seen.select(F.col("fp").alias("a"), F.explode("next").alias("b"))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
@@ -136,11 +145,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     small_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_col, shingle).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    first = connected_components(neighbour_links(nodes.select("fp"), distance))
+    segments = segments_for(nodes.count())
+    first = connected_components(neighbour_links(nodes.select("fp"), distance, segments=segments))
     rooted = cut(
         nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     )
-    across = links(rooted, distance)
+    across = links(rooted, distance, segments)
     roots = connected_components(first.toDF("a", "b").union(across))
     known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     lows = known.groupBy("root").agg(F.min("low").alias("root_low"))
@@ -150,14 +160,15 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 
 
 def representatives(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; of rows with one id one stays; rows without id all stay."""
+    """One document of each component, that of the smallest id; of rows with one id one stays; rows without id all stay. Columns named ``__keep`` or ``__row`` are an error."""
+    fresh(docs, "__keep", "__row")
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), distance, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__keep")).distinct()
     of_id = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     return (
-        docs.join(stay, F.col(id_col) == F.col("_keep"), "left")
-        .where(F.col(id_col).isNull() | F.col("_keep").isNotNull())
-        .withColumn("_row", F.row_number().over(of_id))
-        .where(F.col(id_col).isNull() | (F.col("_row") == 1))
+        docs.join(stay, F.col(id_col) == F.col("__keep"), "left")
+        .where(F.col(id_col).isNull() | F.col("__keep").isNotNull())
+        .withColumn("__row", F.row_number().over(of_id))
+        .where(F.col(id_col).isNull() | (F.col("__row") == 1))
         .select(*docs.columns)
     )

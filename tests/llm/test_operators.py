@@ -54,7 +54,8 @@ def test_simhash_links_and_components(spark):
     assert [got[i][1] for i in range(len(texts))] == root
 
 
-def test_simhash_dense_group(spark):
+@pytest.mark.parametrize("segments", [simhash.FEW_SEGMENTS, simhash.MANY_SEGMENTS])
+def test_simhash_dense_group(spark, segments):
     rng = random.Random(5)
     center = rng.getrandbits(64)
     prints = {center}
@@ -66,9 +67,14 @@ def test_simhash_dense_group(spark):
     prints |= {rng.getrandbits(64) for _ in range(50)}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(nodes).collect()}
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(nodes, segments=segments).collect()}
     m = (1 << 64) - 1
-    assert found == {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & m).bit_count() <= 4}
+    want = {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & m).bit_count() <= 4}
+    assert found == want
+    root = {x: min([x, *(a for a, b in want if b == x)]) for x in signed}
+    rooted = spark.createDataFrame(list(root.items()), "fp long, root long")
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(rooted, segments=segments).collect()}
+    assert found == {(a, b) for a, b in want if root[a] != root[b]}
 
 
 def test_simhash_edges(spark):
