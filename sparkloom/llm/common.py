@@ -56,11 +56,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """An error if ``df`` has columns named like those that an operator adds or works with (case does not tell them apart)."""
-    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
-    if clash:
-        raise ValueError(f"rename these columns first: {', '.join(clash)}")
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator works with: ``names``, with underscores before those that ``df`` has (case does not tell them apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def blank_split(text: Column) -> Column:

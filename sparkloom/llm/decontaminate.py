@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, let
+from .common import cut, let, unused
 
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -167,9 +167,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -
     """The rows of ``docs`` that hold no benchmark window, with all their columns.
 
     Null and empty texts hold none and stay, as all rows do with an empty
-    benchmark; of rows with one id each is judged by its own text. Columns
-    named ``__id`` or ``__tk`` are an error.
+    benchmark; of rows with one id each is judged by its own text.
     """
-    fresh(docs, "__id", "__tk")
-    bad = matches(docs, benchmark, window, k).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk")), "left_anti")
+    i, tk = unused(docs, "_id", "_tk")
+    bad = matches(docs, benchmark, window, k).select(F.col("doc_id").alias(i), F.col("tk").alias(tk)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(tk)), "left_anti")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_split, cut, fresh, let, stored
+from .common import blank_split, cut, let, stored, unused
 
 FIELD = "<*>"
 BROADCAST_ROWS = 200_000
@@ -118,19 +118,19 @@ def dedup(docs: DataFrame, texts: int = 3, depth: int = 3, fixed: float = 0.6, s
     stays, as blank lines do. Repeated rows and equal texts of other ids are
     one text to the counts; their lines are dropped alike unless the template's
     first line is one of theirs. Null ids come after all others. An empty table
-    gives none; other columns pass through, but columns named like the two new
-    ones are an error.
+    gives none; other columns pass through, and columns named like the two new
+    ones are replaced.
     """
-    fresh(docs, "n_lines", "n_dropped", "__id", "__tk", "__gone")
+    i, tk, gone_at = unused(docs, "_id", "_tk", "_gone")
     gone = dropped_lines(docs, texts, depth, fixed, share)
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).agg(F.collect_set("at").alias("__gone"))
+    gone = gone.groupBy(F.col("doc_id").alias(i), F.col("tk").alias(tk)).agg(F.collect_set("at").alias(gone_at))
     # the same join at every size: what goes grows with the documents
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(tk)), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    shown = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda x, at: ~F.array_contains(gone_at, at)), "\n")
+    shown = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(left)
     return joined.select(
-        *[shown.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[shown.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blank_split, cut, fresh
+from .common import blank_split, cut, unused
 
 #: Hexadecimal digits of a document's digest that make its range.
 SALT_DIGITS = 3
@@ -95,19 +95,19 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as often as it is drawn, with all their columns.
+    """The rows of ``docs``, each as often as it is drawn, with all their columns, whatever their names.
 
-    Texts and ids may be null; rows of no words are never taken, nor is
-    anything of an empty table. Rows equal in id, text and source are told
-    apart by their number only. Columns named ``__tk``, ``__i``, ``__id``,
-    ``__t``, ``__n``, ``__copies`` or ``__copy`` are an error.
+    Texts and ids may be null; rows without words come as often as others of
+    their source (never, if none has words), and nothing comes of an empty
+    table. Rows equal in id, text and source are told apart by their number
+    only.
     """
-    fresh(docs, "__tk", "__i", "__id", "__t", "__n", "__copies", "__copy")
-    drawn = draw(docs, weights, share, most, seed)
+    tk, i, own, t, n, copies, copy = unused(docs, "_tk", "_i", "_id", "_t", "_n", "_copies", "_copy")
     key = Window.partitionBy("doc_id", "tk").orderBy(F.col("source").asc_nulls_last(), "copies")
-    drawn = drawn.withColumn("__i", F.row_number().over(key)).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__t"), F.col("__i").alias("__n"), F.col("copies").alias("__copies"))
-    same = Window.partitionBy("doc_id", "__tk").orderBy(F.col("source").asc_nulls_last())
-    rows = docs.withColumn("__tk", F.xxhash64("text")).withColumn("__i", F.row_number().over(same))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tk") == F.col("__t")) & (F.col("__i") == F.col("__n"))
+    drawn = draw(docs, weights, share, most, seed).withColumn("place", F.row_number().over(key)).where("copies > 0")
+    drawn = drawn.select(F.col("doc_id").alias(own), F.col("tk").alias(t), F.col("place").alias(n), F.col("copies").alias(copies))
+    same = Window.partitionBy("doc_id", tk).orderBy(F.col("source").asc_nulls_last())
+    rows = docs.withColumn(tk, F.xxhash64("text")).withColumn(i, F.row_number().over(same))
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(tk) == F.col(t)) & (F.col(i) == F.col(n))
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(drawn, on).select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*kept)
+    return rows.join(drawn, on).select(*kept, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*kept)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches
+from .common import cut, small_batches, unused
 
 BUCKETS = 10_007
 #: Words, and runs of other signs.
@@ -140,7 +140,7 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 5, share: float | Non
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 5, share: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that are drawn (see ``select``), with all their columns; columns named ``__id`` or ``__tk`` are an error."""
-    fresh(docs, "__id", "__tk")
-    gone = select(docs, labels, seed, share).where("not kept").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text").eqNullSafe(F.col("__tk"))), "left_anti")
+    """The rows of ``docs`` that are drawn (see ``select``), with all their columns."""
+    i, tk = unused(docs, "_id", "_tk")
+    gone = select(docs, labels, seed, share).where("not kept").select(F.col("doc_id").alias(i), F.col("tk").alias(tk)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text").eqNullSafe(F.col(tk))), "left_anti")

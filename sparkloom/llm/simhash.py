@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, small_batches, stored
+from .common import cut, small_batches, stored, unused
 from .graph import connected_components
 
 #: (first bit, bits) of each segment, for fewer than ``MANY`` fingerprints and for more.
@@ -160,15 +160,15 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 
 
 def representatives(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; of rows with one id one stays; rows without id all stay. Columns named ``__keep`` or ``__row`` are an error."""
-    fresh(docs, "__keep", "__row")
+    """One document of each component, that of the smallest id; of rows with one id one stays; rows without id all stay."""
+    keep, row = unused(docs, "_keep", "_row")
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), distance, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__keep")).distinct()
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias(keep)).distinct()
     of_id = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     return (
-        docs.join(stay, F.col(id_col) == F.col("__keep"), "left")
-        .where(F.col(id_col).isNull() | F.col("__keep").isNotNull())
-        .withColumn("__row", F.row_number().over(of_id))
-        .where(F.col(id_col).isNull() | (F.col("__row") == 1))
+        docs.join(stay, F.col(id_col) == F.col(keep), "left")
+        .where(F.col(id_col).isNull() | F.col(keep).isNotNull())
+        .withColumn(row, F.row_number().over(of_id))
+        .where(F.col(id_col).isNull() | (F.col(row) == 1))
         .select(*docs.columns)
     )

@@ -1,16 +1,18 @@
 """The dealt operators against brute force, and their edge cases."""
 
+import collections
 import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html_extract, line_dedup, mixing, neighbours, quality, secrets, simhash, suffix_dedup, toxicity
+from sparkloom.llm import decontaminate, html_extract, line_dedup, mixing, near_copies, neighbours, quality, secrets, simhash, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, blob string"
 
@@ -378,6 +380,56 @@ def test_quality(spark):
     assert quality.select(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_weights_against_brute_force(spark):
+    rng = random.Random(14)
+    texts = [words(rng.randrange(0, 40), rng, 50) + rng.choice(["", " !!", " a-b, c"]) for _ in range(60)] + [None, ""]
+    good = set(range(0, 60, 3))
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(30)] + [(0, 0), (999, 1)], "doc_id long, quality int")
+    good = {i for i in good if i < 30}
+
+    def grams(text):
+        pieces = re.findall(r"\w+|[^\w\s]+", text or "")
+        codes = [zlib.crc32(p.encode()) for p in pieces]
+        m = (1 << 64) - 1
+        return [c % 10_007 for c in codes] + [((a * 0x9E3779B97F4A7C15 & m ^ b * 0xC2B2AE3D27D4EB4F & m) >> 20) % 10_007 for a, b in zip(codes, codes[1:])]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    n, m = sum(raw.values()) + 10_007, sum(target.values()) + 10_007
+    want = [math.fsum(math.log((target[g] + 1) / m) - math.log((raw[g] + 1) / n) for g in grams(t)) for t in texts]
+    out = quality.select(docs_of(spark, texts), labels).collect()
+    assert all(abs(r.log_weight - want[r.doc_id]) < 1e-9 for r in out) and len(out) == len(texts)
+    # the drawn ones have the largest keys
+    keyed = docs_of(spark, texts).select("doc_id", F.xxhash64("text").alias("tk")).withColumn("g", quality.gumbel(5, "doc_id", "tk"))
+    keys = {r.doc_id: r.g + want[r.doc_id] for r in keyed.collect()}
+    k = math.ceil((len(good) / 31 + 1 / 31 + quality.SLACK) * len(texts))
+    assert {r.doc_id for r in out if r.kept} == set(sorted(keys, key=keys.get)[-k:])
+
+
+def test_columns_of_clashing_names(spark):
+    """Columns named like those an operator makes or works with pass through or are not looked at; results take the place of their own names."""
+    taken = ["tk", "i", "copy", "copies", "_id", "_tk", "_row", "_keep", "size", "kept", "fp", "target", "spans", "found", "blob", "items", "_gone", "_copies", "__tk", "start", "leaf", "node", "root", "score", "predicted", "held_out", "n_bytes", "n_hit", "log_weight"]
+    texts = [words(30, random.Random(k)) for k in range(6)] + [None, ""]
+    d = docs_of(spark, texts).drop("score", "blob").select("*", *[F.lit("z").alias(c) for c in taken])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    for out in (mixing.mix(d), decontaminate.clean(d, bench), quality.resample(d, labels), simhash.representatives(d), near_copies.representatives(d), line_dedup.dedup(d)):
+        assert out.columns[: len(d.columns)] == d.columns and all(r[c] == "z" for r in out.collect() for c in taken)
+    for out in (mixing.draw(d), decontaminate.contamination(d, bench), quality.select(d, labels), simhash.near_duplicates(d), secrets.findings(d), suffix_dedup.dedup(d), toxicity.toxicity(d, labels)):
+        assert out.count() == len(texts)
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0], "z", "z", "z") for i in range(30)], "vec_id long, embedding array<double>, rank string, score string, query_id string")
+    assert neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).count() == 40
+    out = line_dedup.dedup(d.withColumn("N_lines", F.lit("z")))
+    assert out.columns == [*d.columns, "n_lines", "n_dropped"] and all(r.n_lines < 2 for r in out.collect())
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.withColumn("n_lines", F.lit("z")), sf).columns == list(corpus_pipeline.COLUMNS)
+
+
 def test_kth_largest(spark):
     values = [5, -3, 2**62, -(2**62), 0, 7, 7, -1]
     df = spark.createDataFrame([(v,) for v in values], "v long")
