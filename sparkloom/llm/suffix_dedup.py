@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SPAN, GRAM, GROUP, BATCH = 400, 64, 8_192, 4_096
+SPAN, GRAM, GROUP, BATCH = 400, 64, 65_536, 4_096
 REACH = SPAN - GRAM  # the furthest that a string holding an anchor starts before it
 WIDTH = REACH + SPAN
 BASE = 0x9E3779B97F4A7C15
@@ -46,6 +46,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 19
 BROADCAST_ROWS = 200_000
 ALL = (1 << 64) - 1
+#: Prefix hashes are kept for each so many bytes.
+EVERY = 8
 #: Into how many parts a range of starts is cut in each round.
 PARTS = 8
 
@@ -109,19 +111,30 @@ class Surroundings:
             row[REACH - b : REACH - b + len(d)] = np.frombuffer(d, np.uint8)
             row[REACH - b : REACH - b + len(d)] += 1
         #: Prefix hashes that count from the anchor: equal bytes between it and a place have equal hashes there.
-        self.prefix = np.zeros((len(data), WIDTH + 1), np.uint64)
-        np.cumsum(self.bytes * _UP[:WIDTH], axis=1, out=self.prefix[:, 1:])
-        self.prefix -= self.prefix[:, REACH : REACH + 1].copy()
+        self.prefix = np.zeros((len(data), WIDTH // EVERY + 1), np.uint64)
+        for at in range(0, len(data), BATCH):
+            sums = np.cumsum(self.bytes[at : at + BATCH] * _UP[:WIDTH], axis=1)
+            self.prefix[at : at + BATCH, 1:] = sums[:, EVERY - 1 :: EVERY]
+        self.prefix -= self.prefix[:, REACH // EVERY : REACH // EVERY + 1].copy()
 
     def extension(self, a: np.ndarray, b: np.ndarray, way: int) -> np.ndarray:
-        """How many bytes from the anchor on (``way`` 1), or before it (-1), rows ``a`` and ``b`` have in common."""
-        flat, p, q = self.prefix.ravel(), a * (WIDTH + 1) + REACH, b * (WIDTH + 1) + REACH
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), (SPAN if way > 0 else REACH) + 1)
-        for _ in range(SPAN.bit_length()):
+        """How many bytes from the anchor on (``way`` 1), or before it (-1), rows ``a`` and ``b`` have in common.
+
+        Binary search over the prefix hashes finds the block of ``EVERY`` bytes
+        in which they part, and its bytes the place.
+        """
+        wide, limit = self.prefix.shape[1], (SPAN if way > 0 else REACH) // EVERY
+        flat, p, q = self.prefix.ravel(), a * wide + REACH // EVERY, b * wide + REACH // EVERY
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), limit + 1)
+        for _ in range(limit.bit_length()):
             mid = low + high >> 1
             same = flat[p + way * mid] == flat[q + way * mid]
             low, high = np.where(same, mid, low), np.where(same, high, mid)
-        return low
+        at = np.minimum(low, limit - 1) * EVERY
+        block = np.arange(EVERY)
+        where = (REACH + at[:, None] + block) if way > 0 else (REACH - 1 - at[:, None] - block)
+        unlike = self.bytes[a[:, None], where] != self.bytes[b[:, None], where]
+        return np.where(low == limit, limit * EVERY, at + np.where(unlike.any(1), unlike.argmax(1), EVERY))
 
     def compare(self, a: np.ndarray, b: np.ndarray, way: int) -> np.ndarray:
         """The order of two suffixes (-1, 0, 1): that of the bytes after their common extension."""

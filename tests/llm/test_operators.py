@@ -128,7 +128,7 @@ def brute_repeats(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize(("group", "batch"), [(8_192, 4_096), (8_192, 3), (1, 4_096)])
+@pytest.mark.parametrize(("group", "batch"), [(65_536, 4_096), (65_536, 3), (1, 4_096)])
 def test_suffix_dedup_against_brute_force(spark, group, batch, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rng = random.Random(3)
