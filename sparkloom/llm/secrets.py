@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import let, scratch, stored
 
-#: Up to so many blobs to be scanned their counted paths are broadcast to the texts; beyond it the texts are shuffled by path.
-BROADCAST_ROWS = 200_000
-
 
 class Rule(NamedTuple):
     kind: str
@@ -105,9 +102,10 @@ def scan(named: DataFrame, bodies: DataFrame, ledger: DataFrame, rules: tuple[Ru
         .groupBy("blob", "low").agg(F.array_sort(F.collect_set(F.struct("kind", "version"))).alias("due"))
     )
     due = stored(due.select("blob", F.col("low.path").alias("low"), F.col("low.tk").alias("low_tk"), "due"))
-    if due.count() <= BROADCAST_ROWS:
-        due = F.broadcast(due)
-    picked = bodies.join(due, F.col("path").eqNullSafe(F.col("low")) & (F.col("tk") == F.col("low_tk"))).select("blob", "body", "due")
+    if not due.limit(1).count():
+        bodies = bodies.limit(0)  # nothing is new, so no text is moved
+    # the same join at every size: what is new grows with the texts
+    picked = bodies.join(due.hint("merge"), F.col("path").eqNullSafe(F.col("low")) & (F.col("tk") == F.col("low_tk"))).select("blob", "body", "due")
     rows = [
         F.when(
             F.array_contains("due", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),

@@ -250,16 +250,14 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     assert [[(s.kind, s.start, s.stop) for s in r.found] for r in out] == [[("pem", 1, 2)]] * 2
 
 
-def test_secrets_of_many_matches_and_shuffled_texts(spark, monkeypatch):
+def test_secrets_of_many_matches(spark):
     text = "é " + " ".join(f"token=value{i:04d} {'ab' * 13}" for i in range(400))
     want = []
     for i in range(400):
         at = text.index(f"token=value{i:04d}")
         want += [("assign", at, at + 15), ("hex", at + 16, at + 42)]
-    for rows in (secrets.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows)
-        out = secrets.findings(docs_of(spark, [text, "x", text])).orderBy("doc_id").collect()
-        assert [(s.kind, s.start, s.stop) for s in out[0].found] == want and out[2].found == out[0].found and not out[1].found
+    out = secrets.findings(docs_of(spark, [text, "x", text])).orderBy("doc_id").collect()
+    assert [(s.kind, s.start, s.stop) for s in out[0].found] == want and out[2].found == out[0].found and not out[1].found
 
 
 def test_neighbours_recall_and_edges(spark):
