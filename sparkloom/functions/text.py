@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: masks of personal data, default terms, and the refusal shown instead of a blocked answer
+# fixed values: masks of personal data
 PHONE, PHONE_MASK = r"(?<!\d)1[3-9]\d{9}(?!\d)", "1***-****-****"
 ID_CARD, ID_MASK = r"(?<!\d)\d{17}[\dXx](?![\dXx])", "*" * 18
 EMAIL, EMAIL_MASK = r"[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}", "***@***.***"
 
 
+# fixed values: what a question that tries to instruct the model says
+INJECTION = ("ignore previous", "ignore all", "forget everything", "system prompt", "you are now", "new instructions", "忽略之前的", "忘记所有", "新的指令", "你的系统提示词")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits; a run of Han characters gives its pairs of neighbours, or itself if it is one."""
+    def runs(x: Column) -> Column:
+        return F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+    def pairs(t: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))
+        return F.when(t.rlike(r"^\p{IsHan}"), two).otherwise(F.array(t))
+
+    low = F.lower(text)
+    apart = runs(F.regexp_replace(low, r"(\p{IsHan}+)", " $1 "))
+    return F.when(low.rlike(r"\p{IsHan}"), F.flatten(F.transform(apart, pairs))).otherwise(runs(low))
 
 
 def sanitize(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..operators import evaluate, fusion, retrieve
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .registry import query
 
@@ -47,12 +48,16 @@ def question_vectors(spark, sf_dir):
     return e.join(questions(spark, sf_dir).select("query_id"), "query_id", "left_semi")
 
 
+def index(spark, sf_dir):
+    return retrieve.index_chunks(chunks(spark, sf_dir))
+
+
 def bm25_hits(spark, sf_dir):
-    return retrieve.ranked(retrieve.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)), 10)
+    return stored(retrieve.bm25_topk(index(spark, sf_dir), questions(spark, sf_dir)))
 
 
 def vector_hits(spark, sf_dir, measure="cosine", threshold=None):
-    return retrieve.vector_topk(question_vectors(spark, sf_dir), vectors(spark, sf_dir), 10, measure, threshold)
+    return stored(retrieve.vector_topk(question_vectors(spark, sf_dir), vectors(spark, sf_dir), 10, measure, threshold))
 
 
 def fused_hits(spark, sf_dir):
@@ -70,8 +75,7 @@ def bm25_topk(spark, sf_dir):
 
 @query("bm25_tenant_filtered", f"with {BM}, fl as (select bs.* from bs join documents d on d.doc_id = bs.chunk_id where d.source = 'src3') select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, chunk_id) as rank from fl) where rank <= 10")
 def bm25_tenant_filtered(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return _hits(retrieve.ranked(retrieve.bm25(c, questions(spark, sf_dir), c.where("source = 'src3'").select("chunk_id")), 10))
+    return _hits(retrieve.bm25_topk(index(spark, sf_dir), questions(spark, sf_dir), live=F.col("source") == "src3"))
 
 
 @query("vector_topk_cosine", f"with {VE} select query_id, chunk_id, round(score, 6) as score, rank from ve")
@@ -156,13 +160,12 @@ def trace_metrics(spark, sf_dir):
 def fail_closed(spark, sf_dir):
     """Questions of blank tenants (the odd ones) find nothing."""
     q = questions(spark, sf_dir).withColumn("tenant", F.when(F.col("query_id") % 2 == 0, F.lit("t")).otherwise(F.lit(" ")))
-    q = q.where("tenant is not null and trim(tenant) <> ''")
-    return retrieve.ranked(retrieve.bm25(chunks(spark, sf_dir), q), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return retrieve.bm25_topk(index(spark, sf_dir), retrieve.known_tenants(q)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # what holds a benchmark text word for word is what its question should find
 RE = """
-ex as (select b.item_id as query_id, b.item_id % 5 = 4 as negative, list(d.doc_id order by d.doc_id) filter (d.doc_id is not null) as expected from benchmark b left join documents d on contains(d.text, substr(b.text, 1, 40)) group by b.item_id),
+ex as (select b.item_id as query_id, b.item_id % 5 = 4 as negative, list(d.doc_id order by d.doc_id) filter (d.doc_id is not null) as expected from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id),
 hi as (select ex.query_id, bm.rank, case when list_contains(expected, bm.chunk_id) then 1 else 0 end as rel from ex join bm using (query_id)),
 ru as (select *, sum(rel) over (partition by query_id order by rank) as seen from hi),
 pe as (select query_id, sum(rel) as found, min(case when rel = 1 then rank end) as first, sum(case when rel = 1 then seen / rank::double end) as prec from ru group by query_id),
