@@ -11,9 +11,8 @@ that a table's entries stay few as the number of fingerprints grows.
 Copies share a fingerprint and are one node, so a group of copies of any size
 costs one row. A dense group of near copies has links between almost all of its
 members. So a bucket's neighbours are linked first (a few for each fingerprint),
-and the full search then leaves out all that is in one component already: what
-is looked up is first which components meet in a bucket, and only members of two
-different ones are compared.
+and the full search then leaves out pairs that are in one component already, so
+that it gives few links; the pairs of a dense bucket are still looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches, stored, unused
+from .common import cut, small_batches, unused
 from .graph import connected_components
 
 #: (first bit, bits) of each segment, for fewer than ``MANY`` fingerprints and for more.
@@ -103,16 +102,13 @@ def links(nodes: DataFrame, distance: int = 4, segments: Segments = FEW_SEGMENTS
 
     With a ``root`` column pairs of one root are left out.
     """
-    rooted = nodes if "root" in nodes.columns else nodes.withColumn("root", F.col("fp"))
-    asks, holds = _probes(rooted, segments, distance), _tables(rooted, segments)
-    where = ["s", "k"]
-    # which components meet where: few do, and a component's own bucket, however dense, gives no pair
-    met = asks.select(*where, F.col("root").alias("ra")).distinct().join(holds.select(*where, F.col("root").alias("rb")).distinct(), where).where("ra <> rb")
-    met = stored(met)
-    a = asks.withColumnRenamed("root", "ra").withColumnRenamed("fp", "a").join(met, [*where, "ra"])
-    b = holds.withColumnRenamed("root", "rb").withColumnRenamed("fp", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return a.join(b, [*where, "rb"]).where((~F.col("same") | (F.col("a") < F.col("b"))) & near).select("a", "b")
+    a, b = _probes(nodes, segments, distance).alias("a"), _tables(nodes, segments).alias("b")
+    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
+    once = ~F.col("a.same") | (F.col("a.fp") < F.col("b.fp"))
+    on = (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & once & near
+    if "root" in nodes.columns:
+        on = on & (F.col("a.root") != F.col("b.root"))
+    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def neighbour_links(nodes: DataFrame, distance: int = 4, ahead: int = 3, segments: Segments = FEW_SEGMENTS) -> DataFrame:
