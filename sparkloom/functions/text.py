@@ -101,3 +101,46 @@ def mime_kind(mime: Column) -> Column:
 def markdown_tables(text: Column) -> Column:
     """Lines that start with a pipe and hold a rule."""
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("|") & F.contains(x, F.lit("---"))))
+
+
+def is_pdf(name: Column) -> Column:
+    return F.lower(name).endswith(".pdf")
+
+
+def extension(name: Column) -> Column:
+    """What follows the last dot, in small letters; empty without one."""
+    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+
+
+def page_number(raw: Column) -> Column:
+    """A whole number, or a text of one; else null."""
+    return F.when(F.trim(raw).rlike(r"^[+-]?\d{1,9}$"), F.trim(raw).cast("int"))
+
+
+def stage_percent(stage: Column) -> Column:
+    # fixed values: how far a document is at the beginning of a stage
+    percents = {"READING": 5, "TRANSFORMING": 15, "PERSISTING": 30, "EMBEDDING": 50, "INDEXING": 85, "COMPLETED": 100, "FAILED": 0}
+    out = F.lit(None).cast("int")
+    for name, percent in percents.items():
+        out = F.when(stage == name, F.lit(percent)).otherwise(out)
+    return out
+
+
+def size_shown(n: Column) -> Column:
+    """Bytes, kilobytes or megabytes; a dash for none."""
+    kb, mb = F.format_string("%.1f KB", n / 1024.0), F.format_string("%.1f MB", n / 1048576.0)
+    return F.when(n.isNull() | (n == 0), F.lit("—")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, kb).otherwise(mb)
+
+
+def score_shown(v: Column) -> Column:
+    """Two decimals from ten on, else four; a dash for none."""
+    return F.when(v.isNull(), F.lit("—")).when(F.abs(v) >= 10, F.format_string("%.2f", v)).otherwise(F.format_string("%.4f", v))
+
+
+def time_shown(ts: Column) -> Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit("—"))
+
+
+def bar_width(v: Column, most: Column) -> Column:
+    """Percent of the most, at least two; none for none."""
+    return F.when(v.isNull(), F.lit(0.0)).otherwise(F.greatest(F.abs(v) / F.greatest(F.abs(most), F.lit(1e-9)) * 100, F.lit(2.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,32 @@ def metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def report(metrics: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row of averages. ``metrics`` is what ``metrics`` gives, ``judged(query_id, negative, faithfulness, verdict)`` the judge's scores; what is null does not count.
+
+    Faithfulness is of questions that have an answer, rejection (the share of
+    verdicts REJECTED, in any case) of those that have none.
+    """
+    refused = F.when(F.upper("verdict") == "REJECTED", 1.0).otherwise(0.0)
+    return metrics.join(judged, "query_id").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("context_precision"), 6).alias("context_precision"),
+        F.round(F.avg(F.when(~F.col("negative"), F.col("faithfulness"))), 6).alias("faithfulness"),
+        F.round(F.avg(F.when(F.col("negative") & F.col("verdict").isNotNull(), refused)), 6).alias("rejection"),
+    )
+
+
+def compared(cases: DataFrame, probes: dict[str, tuple[int, Callable[[], DataFrame]]]) -> DataFrame:
+    """The averages of each probe (name: order, hits) over the same cases; the probe of the least order is ``chosen``."""
+    first, out = min(order for order, _ in probes.values()), None
+    for name, (order, hits) in probes.items():
+        row = metrics(cases, hits()).agg(
+            F.lit(name).alias("probe"), F.lit(order == first).alias("chosen"), F.count(F.lit(1)).alias("n_cases"),
+            F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("context_precision"), 6).alias("context_precision"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def gate(report: DataFrame) -> DataFrame:
     """A row per gated metric of a one-row report that has a value."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(t).cast("double").alias("threshold")) for m, t in GATES.items()])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,51 +39,79 @@ def failure_runs(calls: DataFrame) -> DataFrame:
     return island.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("key", "island").orderBy("seq"))).drop("island")
 
 
+def rate_counters(judged: DataFrame) -> DataFrame:
+    """Tokens used and requests turned away, by tenant, of what ``budget`` gives."""
+    return judged.groupBy("tenant").agg(F.sum(F.when(~F.col("rejected"), F.col("tokens"))).alias("tokens_used"), F.count_if("rejected").alias("rejections"))
+
+
+CLOSED = ("CLOSED", 0, 0.0)
+
+
+def breaker_step(state: tuple[str, int, float], now: float, ok: bool, threshold: int, open_s: float) -> tuple[tuple[str, int, float], str, bool]:
+    """The state (name, failures, opened at) after a call, the name before it, and whether the primary was asked."""
+    name, failures, opened = state
+    if name == "OPEN" and now - opened >= open_s:
+        name = "HALF_OPEN"
+    if name == "OPEN":
+        return (name, failures, opened), name, False
+    if ok:
+        return CLOSED, name, True
+    failures += 1
+    after = ("OPEN", failures, now) if name == "HALF_OPEN" or failures >= threshold else (name, failures, opened)
+    return after, name, True
+
+
+NOBODY = ("", "", "", 0.0)
+
+
+def approval_step(held: tuple[str, str, str, float], now: float, action: str, tenant: str | None, user: str | None, ttl_s: float) -> tuple[tuple[str, str, str, float], bool]:
+    """What is held (state, tenant, user, until) after an action, and whether it took effect; nothing is held after its time."""
+    if held[0] and now >= held[3]:
+        held = NOBODY
+    own = bool(held[0]) and (held[1], held[2]) == (tenant, user)
+    if action == "create":
+        return ("PENDING", tenant or "", user or "", now + ttl_s), True
+    if action == "approve" and own and held[0] == "PENDING":
+        return ("APPROVED", held[1], held[2], now + ttl_s), True
+    if action == "consume" and own and held[0] == "APPROVED":
+        return NOBODY, True
+    return held, False
+
+
+def _seconds(ts: pd.Series) -> list[float]:
+    return [pd.Timestamp(t).timestamp() for t in ts]
+
+
+def breaker_rows(pdf: pd.DataFrame, state: tuple, threshold: int, open_s: float) -> tuple[tuple, pd.DataFrame]:
+    pdf, out = pdf.sort_values("seq"), []
+    for key, seq, now, ok in zip(pdf["key"], pdf["seq"], _seconds(pdf["ts"]), pdf["ok"]):
+        state, before, asked = breaker_step(state, now, bool(ok), threshold, open_s)
+        out.append((key, seq, before, asked))
+    return state, pd.DataFrame(out, columns=["key", "seq", "state", "primary_asked"])
+
+
+def approval_rows(pdf: pd.DataFrame, held: tuple, ttl_s: float) -> tuple[tuple, pd.DataFrame]:
+    pdf, out = pdf.sort_values("seq"), []
+    for approval_id, seq, now, action, tenant, user in zip(pdf["approval_id"], pdf["seq"], _seconds(pdf["ts"]), pdf["action"], pdf["tenant"], pdf["user"]):
+        held, done = approval_step(held, now, action, tenant, user, ttl_s)
+        out.append((approval_id, seq, action, done))
+    return held, pd.DataFrame(out, columns=["approval_id", "seq", "action", "done"])
+
+
+BREAKER, APPROVAL = "seq long, state string, primary_asked boolean", "seq long, action string, done boolean"
+
+
 def circuit_breaker(calls: DataFrame, threshold: int = 5, open_s: float = 30.0) -> DataFrame:
     """``calls(key, seq, ts, ok)`` to the state before each call and whether the primary was asked.
 
     The state depends on outcomes that it decides to see, so this is a fold
-    over each key's calls in order.
+    over each key's calls in order: a key (a model) is one task's work.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, failures, opened, out = "CLOSED", 0, 0.0, []
-        for seq, ts, ok in pdf.sort_values("seq")[["seq", "ts", "ok"]].itertuples(index=False):
-            now = pd.Timestamp(ts).timestamp()
-            if state == "OPEN" and now - opened >= open_s:
-                state = "HALF_OPEN"
-            asked, before = state != "OPEN", state
-            if asked and ok:
-                state, failures = "CLOSED", 0
-            elif asked:
-                failures += 1
-                if state == "HALF_OPEN" or failures >= threshold:
-                    state, opened = "OPEN", now
-            out.append((pdf["key"].iloc[0], seq, before, asked))
-        return pd.DataFrame(out, columns=["key", "seq", "state", "primary_asked"])
-
     kind = calls.schema["key"].dataType.simpleString()
-    return calls.groupBy("key").applyInPandas(fold, f"key {kind}, seq long, state string, primary_asked boolean")
+    return calls.groupBy("key").applyInPandas(lambda pdf: breaker_rows(pdf, CLOSED, threshold, open_s)[1], f"key {kind}, {BREAKER}")
 
 
 def approvals(actions: DataFrame, ttl_s: float = 600.0) -> DataFrame:
     """``actions(approval_id, seq, ts, action, tenant, user)`` to whether each took effect: created, approved, consumed once, by its own tenant and user."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = None, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            now = pd.Timestamp(r.ts).timestamp()
-            if held and now >= held[3]:
-                held = None
-            own = held is not None and held[1] == r.tenant and held[2] == r.user
-            done = False
-            if r.action == "create":
-                held, done = ("PENDING", r.tenant, r.user, now + ttl_s), True
-            elif r.action == "approve" and own and held[0] == "PENDING":
-                held, done = ("APPROVED", *held[1:3], now + ttl_s), True
-            elif r.action == "consume" and own and held[0] == "APPROVED":
-                held, done = None, True
-            out.append((r.approval_id, r.seq, r.action, done))
-        return pd.DataFrame(out, columns=["approval_id", "seq", "action", "done"])
-
-    return actions.groupBy("approval_id").applyInPandas(fold, "approval_id string, seq long, action string, done boolean")
+    kind = actions.schema["approval_id"].dataType.simpleString()
+    return actions.groupBy("approval_id").applyInPandas(lambda pdf: approval_rows(pdf, NOBODY, ttl_s)[1], f"approval_id {kind}, {APPROVAL}")

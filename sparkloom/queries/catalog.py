@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import catalog
 from ..sources.tables import table, without_documents
 from .registry import query
 
 
-@query("docs_by_tenant", "select doc_id, lang, n_chars, row_number() over (order by doc_id desc) as position from documents where source = 'src1'")
+@query("docs_by_tenant", "select source, doc_id, lang, n_chars, row_number() over (partition by source order by doc_id desc) as position from documents")
 def docs_by_tenant(spark, sf_dir):
-    mine = table(spark, sf_dir, "documents").where("source = 'src1'")
-    return mine.select("doc_id", "lang", "n_chars", F.row_number().over(Window.orderBy(F.desc("doc_id"))).cast("long").alias("position"))
+    out = catalog.listed(table(spark, sf_dir, "documents"), "source", F.desc("doc_id"))
+    return out.select("source", "doc_id", "lang", "n_chars", F.col("position").cast("long").alias("position"))
 
 
 @query("ownership_check", "select item_id as doc_id, case when d.doc_id is null then 'DOC_NOT_FOUND' when d.source <> 'src1' then 'DOC_FORBIDDEN' else 'OK' end as code from benchmark b left join documents d on d.doc_id = b.item_id * 40")
@@ -51,10 +52,14 @@ def stratified_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("lang", "doc_id").withColumn("n", F.row_number().over(w)).where("n <= 5").select("lang", "doc_id")
 
 
-@query("chat_window", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 4 or role = 'system'")
+@query("chat_window", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 20 or role = 'system'")
 def chat_window(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 4 or role = 'system'").select("conv_id", "turn", "role")
+    return catalog.chat_window(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+
+
+@query("chat_window_short", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 3 or role = 'system'")
+def chat_window_short(spark, sf_dir):
+    return catalog.chat_window(table(spark, sf_dir, "conversations"), keep=3).select("conv_id", "turn", "role")
 
 
 @query("session_archive", "select conv_id, count(*) as message_count, count(*) filter (role = 'assistant') as answers, min(turn) as first_turn, max(turn) as last_turn from conversations group by conv_id")
@@ -82,3 +87,84 @@ def audit_projection(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     status = F.when(F.col("turn") % 7 == 6, F.lit("REJECTED")).when(F.col("turn") % 5 == 4, F.lit("ERROR")).otherwise(F.lit("SUCCESS"))
     return c.select("conv_id", "turn", status.alias("status"), truncate(F.col("text"), 120).alias("query_text"), F.least(F.length("text").cast("long") * 3, F.lit(2147483647).cast("long")).alias("latency_ms"))
+
+
+@query("session_messages", "select conv_id, role, text, row_number() over (partition by conv_id order by turn, text) as position from conversations")
+def session_messages(spark, sf_dir):
+    out = catalog.listed(table(spark, sf_dir, "conversations"), "conv_id", F.col("turn"), F.col("text"))
+    return out.select("conv_id", "role", "text", F.col("position").cast("long").alias("position"))
+
+
+@query("user_sessions", "with s as (select user_id, event_type, max(ts) as updated from events group by 1, 2) select user_id, event_type, row_number() over (partition by user_id order by updated desc, event_type) as position from s")
+def user_sessions(spark, sf_dir):
+    """A user's kinds of event as sessions, the one that was busy last first."""
+    s = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("updated"))
+    return catalog.listed(s, "user_id", F.desc("updated"), F.col("event_type")).select("user_id", "event_type", F.col("position").cast("long").alias("position"))
+
+
+@query("audit_by_user", "select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as position from events where event_type = 'error' or value > 10")
+def audit_by_user(spark, sf_dir):
+    out = catalog.listed(table(spark, sf_dir, "events").where("event_type = 'error' or value > 10"), "user_id", F.desc("ts"), F.col("event_id"))
+    return out.select("user_id", "event_id", F.col("position").cast("long").alias("position"))
+
+
+@query("document_sections", "select doc_id, i + 1 as order_index, string_split(text, chr(10))[i + 1] as title from (select doc_id, text, unnest(range(len(string_split(text, chr(10))))) as i from documents) where length(string_split(text, chr(10))[i + 1]) between 1 and 40")
+def document_sections(spark, sf_dir):
+    """Short lines as headings, in the order of their document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "title"))
+    return lines.where(F.length("title").between(1, 40)).select("doc_id", (F.col("i") + 1).cast("long").alias("order_index"), "title")
+
+
+@query("message_feedback", "select d.doc_id as message_id, case when l.quality = 1 then 'UP' else 'DOWN' end as rating from documents d join labels l on l.doc_id = d.doc_id where l.quality is not null")
+def message_feedback(spark, sf_dir):
+    marks = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("message_id"), F.when(F.col("quality") == 1, F.lit("UP")).otherwise(F.lit("DOWN")).alias("rating"))
+    return marks.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id")), "message_id")
+
+
+@query("prompt_templates", "select source as name, lang as kind, max(doc_id) as version, arg_max(n_chars, doc_id) as content from documents group by 1, 2")
+def prompt_templates(spark, sf_dir):
+    """Of each name and kind the latest version."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("lang").alias("kind"), F.col("doc_id").alias("version"), F.col("n_chars").alias("content"))
+    return catalog.newest(d, "name", "kind", version="version")
+
+
+@query("success_documents", "select source, count(*) as documents, sum(coalesce(case when doc_id % 6 > 0 then n_chars end, 0))::bigint as total from documents where doc_id % 4 = 0 group by 1")
+def success_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("doc_id") % 4 == 0, F.lit("SUCCESS")).otherwise(F.lit("FAILED"))).withColumn("chunk_count", F.when(F.col("doc_id") % 6 > 0, F.col("n_chars")))
+    return d.where("status = 'SUCCESS'").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("chunk_count", F.lit(0))).alias("total"))
+
+
+@query("lookup_by_id_or_name", "with a as (select 'Customer#' || lpad((o_custkey * 3)::varchar, 9, '0') as keyword from orders union all select o_custkey::varchar from orders), p as (select c_custkey::varchar as id, c_name as name from customer), f as (select a.keyword, coalesce(i.id, n.id) as id, coalesce(i.name, n.name) as name from a left join p i on i.id = a.keyword left join p n on n.name = a.keyword) select keyword, id, name, count(*) as n from f group by all")
+def lookup_by_id_or_name(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    asked = o.select(F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") * 3).cast("string"), 9, "0")).alias("keyword")).unionByName(o.select(F.col("o_custkey").cast("string").alias("keyword")))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    return catalog.looked_up(asked, people).groupBy("keyword", "id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("subscription_fanout", "with a as (select user_id as session, event_type as topic, arg_max(case when event_id % 3 = 0 then 'unsubscribe' else 'subscribe' end, event_id) as last from events group by 1, 2) select session, count(*) as n, min(event_id) as first_id from a join events e on e.event_type = a.topic where last = 'subscribe' and e.event_id % 10 = 0 group by 1")
+def subscription_fanout(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    acts = e.select(F.col("user_id").alias("session"), F.col("event_type").alias("topic"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.lit("unsubscribe")).otherwise(F.lit("subscribe")).alias("action"))
+    told = e.where("event_id % 10 = 0").select(F.col("event_type").alias("topic"), "event_id")
+    return catalog.fanned_out(told, catalog.subscribed(acts)).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("stream_frames", """with t as (select conv_id, turn as seq, text as data from conversations where role = 'assistant'), f as (
+select conv_id, 0 as part, seq, 'token' as event, data from t union all select distinct conv_id, 1, 0, case when conv_id % 2 = 0 then 'TRACE' else 'TOOL_CALL' end, conv_id::varchar from t union all select distinct conv_id, 2, 0, 'message', '[DONE]' from t)
+select conv_id, row_number() over (partition by conv_id order by part, seq) as frame, event, data from f""")
+def stream_frames(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("data"))
+    ends = t.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.lit("TRACE")).otherwise(F.lit("TOOL_CALL")).alias("event"), F.col("conv_id").cast("string").alias("data"))
+    return catalog.frames(t, ends).withColumn("frame", F.col("frame").cast("long"))
+
+
+@query("parsed_frames", """select conv_id, turn as seq, case when turn % 3 = 0 then 'message' else role end as event, trim(replace(text, chr(10), ' ')) as data from conversations""")
+def parsed_frames(spark, sf_dir):
+    """Turns written as an event stream and read back; every third has no event line."""
+    c = table(spark, sf_dir, "conversations").withColumn("at", F.col("turn") * 3)
+    name = c.where("turn % 3 <> 0").select("conv_id", F.col("at").alias("seq"), F.concat(F.lit("event: "), "role").alias("line"))
+    data = c.select("conv_id", (F.col("at") + 1).alias("seq"), F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
+    ends = c.select("conv_id", (F.col("at") + 2).alias("seq"), F.lit("").alias("line"))
+    out = catalog.parsed_frames(name.unionByName(data).unionByName(ends))
+    return out.select("conv_id", F.floor(F.col("seq") / 3).alias("seq"), "event", "data")

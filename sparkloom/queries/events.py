@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metering
+from ..operators import chain, metering
 from ..sources.tables import table
 from ..streaming import flows
 from .registry import query
@@ -52,18 +52,92 @@ def failure_runs(spark, sf_dir):
     return metering.failure_runs(calls(spark, sf_dir)).select("key", "seq", "failures")
 
 
-@query("circuit_breaker")
+BREAKER = """with recursive c as (select user_id as key, event_id as seq, epoch(ts) as now, event_type <> 'error' as ok, row_number() over (partition by user_id order by event_id) as rn from events),
+f as (select key, 0 as rn, 0::bigint as seq, 'CLOSED' as state, false as asked, 'CLOSED' as name, 0 as failures, 0.0::double as opened from c group by key
+  union all select key, rn, seq, before, before <> 'OPEN', case when before = 'OPEN' then 'OPEN' when ok then 'CLOSED' when before = 'HALF_OPEN' or failures + 1 >= 2 then 'OPEN' else before end,
+    case when before = 'OPEN' then failures when ok then 0 else failures + 1 end, case when before <> 'OPEN' and not ok and (before = 'HALF_OPEN' or failures + 1 >= 2) then now when before <> 'OPEN' and ok then 0.0 else opened end
+  from (select c.*, f.failures, f.opened, case when f.name = 'OPEN' and c.now - f.opened >= 3600 then 'HALF_OPEN' else f.name end as before from f join c on c.key = f.key and c.rn = f.rn + 1))
+select key, seq, state, asked as primary_asked from f where rn > 0"""
+
+
+@query("circuit_breaker", BREAKER)
 def circuit_breaker(spark, sf_dir):
     return metering.circuit_breaker(calls(spark, sf_dir), threshold=2, open_s=3600)
 
 
-ACTIONS = [("a", 1, 0, "create", "t", "u"), ("a", 2, 10, "consume", "t", "u"), ("a", 3, 20, "approve", "t", "x"), ("a", 4, 30, "approve", "t", "u"), ("a", 5, 40, "consume", "t", "u"), ("a", 6, 50, "consume", "t", "u"), ("b", 1, 0, "create", "t", "u"), ("b", 2, 700, "approve", "t", "u"), ("c", 1, 0, "approve", "t", "u")]
+def actions(e):
+    """Events as steps of approvals, three users to one; one in four comes from somebody else."""
+    step = F.when(F.col("event_id") % 3 == 0, F.lit("create")).when(F.col("event_id") % 3 == 1, F.lit("approve")).otherwise(F.lit("consume"))
+    return e.select(
+        F.floor(F.col("user_id") / 3).alias("approval_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), step.alias("action"), F.lit("t").alias("tenant"),
+        F.when(F.col("event_id") % 4 == 3, F.lit("x")).otherwise(F.lit("u")).alias("user"),
+    )
+
 
+APPROVALS = """with recursive a as (select user_id // 3 as id, event_id as seq, epoch(ts) as now, ['create', 'approve', 'consume'][event_id % 3 + 1] as action, case when event_id % 4 = 3 then 'x' else 'u' end as who, row_number() over (partition by user_id // 3 order by event_id) as rn from events),
+f as (select id, 0 as rn, 0::bigint as seq, '' as action, false as done, '' as held, '' as owner, 0.0::double as until from a group by id
+  union all select id, rn, seq, action, done, case when action = 'create' then 'PENDING' when done and action = 'approve' then 'APPROVED' when done then '' else held end,
+    case when action = 'create' then who else owner end, case when done and action <> 'consume' then now + 7200 else until end
+  from (select *, action = 'create' or owner = who and (action = 'approve' and held = 'PENDING' or action = 'consume' and held = 'APPROVED') as done
+    from (select a.*, f.owner, f.until, case when a.now >= f.until then '' else f.held end as held from f join a on a.id = f.id and a.rn = f.rn + 1)))
+select id as approval_id, seq, action, done from f where rn > 0"""
 
-@query("approval_ledger", "select * from (values ('a', 1::bigint, 'create', true), ('a', 2, 'consume', false), ('a', 3, 'approve', false), ('a', 4, 'approve', true), ('a', 5, 'consume', true), ('a', 6, 'consume', false), ('b', 1, 'create', true), ('b', 2, 'approve', false), ('c', 1, 'approve', false)) t(approval_id, seq, action, done)")
+
+@query("approval_ledger", APPROVALS)
 def approval_ledger(spark, sf_dir):
-    rows = spark.createDataFrame(ACTIONS, "approval_id string, seq long, s long, action string, tenant string, user string")
-    return metering.approvals(rows.withColumn("ts", F.timestamp_seconds("s")))
+    return metering.approvals(actions(table(spark, sf_dir, "events")), 7200)
+
+
+@query("stream_approvals", APPROVALS)
+def stream_approvals(spark, sf_dir):
+    return flows.run_to_table(flows.approvals(actions(flows.event_stream(spark, sf_dir)), 7200), "append")
+
+
+@query("stream_circuit_breaker", BREAKER)
+def stream_circuit_breaker(spark, sf_dir):
+    e = flows.event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", (F.col("event_type") != "error").alias("ok"))
+    return flows.run_to_table(flows.circuit_breaker(e, threshold=2, open_s=3600), "append")
+
+
+@query("stream_rate_limit", "select 'u' || user_id as tenant, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as requests, greatest(count(*) - 1, 0) as rejected from events group by 1, 2")
+def stream_rate_limit(spark, sf_dir):
+    e = flows.event_stream(spark, sf_dir).withColumn("tenant", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    out = flows.run_to_table(flows.rate_windows(e, 1, "1 hour"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_daily_ledger", f"with {US} select tenant, ts::date as day, sum(tokens)::bigint as tokens from u group by 1, 2")
+def stream_daily_ledger(spark, sf_dir):
+    e = flows.event_stream(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tenant"), "ts", F.floor(F.abs("value")).alias("tokens"))
+    return flows.run_to_table(flows.daily_ledger(e), "complete")
+
+
+@query("progress_alive", "with l as (select user_id, arg_max(event_type, ts) as stage, max(ts) as ts from events group by 1) select user_id, stage from l where ts >= (select max(ts) from l) - interval '24 hours'")
+def progress_alive(spark, sf_dir):
+    """The last stage of each key, of those that were heard of within a day."""
+    return flows.alive(flows.latest(table(spark, sf_dir, "events"))).select("user_id", "stage")
+
+
+@query("event_sliding", "with e as (select event_type, time_bucket(interval '30 minutes', ts)::timestamp as b from events), w as (select event_type, b as start from e union all select event_type, b - interval '30 minutes' from e) select event_type, start, count(*) as n from w group by 1, 2")
+def event_sliding(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return flows.tumbling(e, "1 hour", slide="30 minutes").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("budget_counters", f"with {US}, b as (select tenant, tokens, coalesce(sum(tokens) over (partition by tenant, ts::date order by ts, event_id rows between unbounded preceding and 1 preceding), 0) >= 100 as rejected from u) select tenant, sum(tokens) filter (not rejected)::bigint as tokens_used, count(*) filter (rejected) as rejections from b group by 1")
+def budget_counters(spark, sf_dir):
+    return metering.rate_counters(metering.budget(usage(spark, sf_dir), 100))
+
+
+@query("guarded_requests", f"""with {US}, q as (select u.*, b.text from u join benchmark b on b.item_id = u.event_id % 40),
+g as (select *, coalesce(sum(tokens) over (partition by tenant, ts::date order by ts, event_id rows between unbounded preceding and 1 preceding), 0) >= 100 as over_budget,
+  count(*) over (partition by tenant order by floor(epoch(ts))::bigint range between 3599 preceding and current row) > 1 as over_rate from q)
+select event_id, case when over_budget then 'TOKEN_BUDGET_EXCEEDED' when over_rate then 'RATE_LIMITED' when contains(lower(text), 'et ') then 'PROMPT_INJECTION' end as error_code from g""")
+def guarded_requests(spark, sf_dir):
+    """Requests through all guards; the first that turns one away names its error."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    requests = usage(spark, sf_dir).withColumn("item", F.col("event_id") % 40).join(F.broadcast(asked.where("item < 40")), "item")  # forty questions
+    return chain.guarded(requests.drop("item"), 100, 1, 3600, ("et ",)).select("event_id", "error_code")
 
 
 @query("event_tumbling", "select event_type, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as n from events group by 1, 2")
@@ -74,13 +148,13 @@ def event_tumbling(spark, sf_dir):
 
 @query("stream_tumbling", "select event_type, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as n from events group by 1, 2")
 def stream_tumbling(spark, sf_dir):
-    out = flows.run_to_memory(flows.tumbling(flows.event_stream(spark, sf_dir)), "complete")
+    out = flows.run_to_table(flows.tumbling(flows.event_stream(spark, sf_dir)), "complete")
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stream_latest_progress", "select user_id, arg_max(event_type, ts) as stage from events group by user_id")
 def stream_latest_progress(spark, sf_dir):
-    return flows.run_to_memory(flows.latest(flows.event_stream(spark, sf_dir)), "complete").select("user_id", "stage")
+    return flows.run_to_table(flows.latest(flows.event_stream(spark, sf_dir)), "complete").select("user_id", "stage")
 
 
 @query("event_session", "with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) as k from o) select user_id, min(ts) as start, count(*) as n from s group by user_id, k")

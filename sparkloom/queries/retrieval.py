@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import snippet
-from ..operators import evaluate, fusion, retrieve
+from ..operators import chain, evaluate, fusion, retrieve
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .registry import query
@@ -199,11 +200,8 @@ def report(spark, sf_dir):
     """Judge scores are an input; here they follow from the question's number."""
     m = case_metrics(spark, sf_dir)
     verdict = F.when(F.col("query_id") % 3 == 0, F.lit("rejected")).otherwise(F.lit("PARTIAL"))
-    return m.agg(
-        F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("context_precision"), 6).alias("context_precision"),
-        F.round(F.avg(F.when(~F.col("negative"), 1 + F.col("query_id") % 5)), 6).alias("faithfulness"),
-        F.round(F.avg(F.when(F.col("negative"), F.when(F.upper(verdict) == "REJECTED", 1.0).otherwise(0.0))), 6).alias("rejection"),
-    )
+    judged = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 5 == 4).alias("negative"), (1 + F.col("query_id") % 5).alias("faithfulness"), verdict.alias("verdict"))
+    return evaluate.report(m.drop("negative"), judged)
 
 
 @query("eval_report", f"{REPORT} select * from rp")
@@ -232,3 +230,135 @@ def prompt_assembly(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.col("source")).alias("line")))).alias("l"))
     context = lines.select("query_id", F.array_join("l.line", "\n\n").alias("context"))
     return questions(spark, sf_dir).join(context, "query_id", "left").select("query_id", F.when(F.col("context").isNull(), F.lit("No evidence was found.")).otherwise(F.concat(F.lit("Question: "), "text", F.lit("\n"), "context")).alias("prompt"))
+
+
+def _metadata(spark, sf_dir, hits, side):
+    """Hits with the metadata that their own path has."""
+    d = chunks(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
+    if side == "v":
+        more = d.select("chunk_id", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("v-"), "source")).alias("file_name"), F.col("lang").alias("chunk_type"))
+    else:
+        more = d.select("chunk_id", F.concat(F.lit("b-"), "source").alias("file_name"), (F.col("chunk_id") % 10).alias("page_num"))
+    return hits.join(more, "chunk_id", "left")
+
+
+@query("rrf_metadata", f"""with {BM}, {VE}, {FU},
+me as (select un.query_id, un.chunk_id, max(case when p = 'v' and doc_id % 2 = 0 then 'v-' || source end) as vf, max(case when p = 'b' then 'b-' || source end) as bf,
+  max(case when p = 'v' then lang end) as chunk_type, max(case when p = 'b' then doc_id % 10 end) as page_num from un left join documents d on d.doc_id = un.chunk_id group by 1, 2)
+select fu.query_id, fu.chunk_id, coalesce(vf, bf) as file_name, chunk_type, page_num, round(fusion_score, 9) as fusion_score, fused_rank from fu join me using (query_id, chunk_id)""")
+def rrf_metadata(spark, sf_dir):
+    v, b = (_metadata(spark, sf_dir, h(spark, sf_dir), s).select("query_id", "chunk_id", "rank", "score", "file_name", c) for h, s, c in ((vector_hits, "v", "chunk_type"), (bm25_hits, "b", "page_num")))
+    return fusion.fuse(v, b).select("query_id", "chunk_id", "file_name", "chunk_type", "page_num", F.round("fusion_score", 9).alias("fusion_score"), F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+TENANT = "'src' || (query_id % 4)"
+TEN = f"""
+ow as (select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)),
+bt as (select * from (select bs.*, row_number() over (partition by query_id order by round(score, 8) desc, chunk_id) as rank from bs join ow on ow.doc_id = bs.chunk_id where ow.source = {TENANT}) where rank <= 10),
+vt as (select * from (select vs.*, row_number() over (partition by query_id order by round(score, 8) desc, chunk_id) as rank from vs join ow on ow.doc_id = vs.chunk_id where ow.source = {TENANT}) where rank <= 10),
+ut as (select query_id, chunk_id, rank, 'v' as p from vt union all select query_id, chunk_id, rank, 'b' from bt),
+ft as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as fusion_score, max(case when p = 'v' then rank end) as vector_rank, max(case when p = 'b' then rank end) as bm25_rank from ut group by 1, 2),
+rt as (select *, row_number() over (partition by query_id order by round(fusion_score, 12) desc, vector_rank nulls last, bm25_rank nulls last) as fused_rank from ft)"""
+
+
+def _owned(spark, sf_dir):
+    """Chunks with their tenant, and whether they are deleted (documents marked toxic)."""
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")).distinct().withColumn("is_deleted", F.lit(True))
+    return chunks(spark, sf_dir).withColumnRenamed("source", "tenant").join(gone, "chunk_id", "left").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+
+
+@query("hybrid_tenant", f"with {BM}, {VE}, {TEN} select query_id, chunk_id, round(fusion_score, 9) as fusion_score, vector_rank, bm25_rank, fused_rank from rt where fused_rank <= 10 and query_id % 7 <> 3")
+def hybrid_tenant(spark, sf_dir):
+    """Both paths see only what a question's own tenant holds and has not deleted; questions of nobody are not searched for."""
+    tenant = F.when(F.col("query_id") % 7 == 3, F.lit(" ")).otherwise(F.concat(F.lit("src"), (F.col("query_id") % 4).cast("string")))
+    asked = lambda q: retrieve.known_tenants(q.withColumn("tenant", tenant))
+    owned = _owned(spark, sf_dir)
+    b = retrieve.bm25_topk(retrieve.index_chunks(owned), asked(questions(spark, sf_dir)), tenant="tenant", live=~F.col("is_deleted"))
+    held = vectors(spark, sf_dir).join(owned.drop("text"), "chunk_id")
+    v = retrieve.vector_topk(asked(question_vectors(spark, sf_dir)), held, tenant="tenant", live=~F.col("is_deleted"))
+    return fusion.fuse(v, b).select("query_id", "chunk_id", F.round("fusion_score", 9).alias("fusion_score"), *[F.col(c).cast("long").alias(c) for c in ("vector_rank", "bm25_rank", "fused_rank")])
+
+
+HALVES = "(select item_id * 10 as item_id, text from benchmark union all select item_id * 10 + 1, substr(text, 1, length(text) // 2) from benchmark union all select item_id * 10 + 2, substr(text, length(text) // 2 + 1) from benchmark)"
+
+
+@query("multi_query_union", f"""with {BM.replace("from benchmark)", f"from {HALVES})")}, un as (select query_id // 10 as query_id, chunk_id, max(score) as score from bm group by 1, 2)
+select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, chunk_id) as rank from un) where rank <= 10""")
+def multi_query_union(spark, sf_dir):
+    """A question and its two halves, each searched for; a chunk counts with its best score."""
+    half = lambda t: F.floor(F.length(t) / 2).cast("int")
+    variants = chain.expanded(questions(spark, sf_dir), lambda t: [t, F.substr(t, F.lit(1), half(t)), F.substr(t, half(t) + 1)])
+    hits = retrieve.bm25_topk(index(spark, sf_dir), variants.select((F.col("query_id") * 10 + F.col("variant")).alias("query_id"), "text"))
+    return _hits(fusion.best_of_variants(hits.withColumn("query_id", F.floor(F.col("query_id") / 10)), 10))
+
+
+@query("rerank_response", f"""with {BM}, {VE}, {FU}, an as (select *, query_id % 3 as shape, round(length(d.text) % 97 / 97.0::double, 6) as relevance from fu left join documents d on d.doc_id = fu.chunk_id),
+ok as (select query_id, chunk_id, relevance, row_number() over (partition by query_id order by relevance desc, fused_rank) as final_rank from an where shape < 2 and relevance is not null)
+select query_id, chunk_id, relevance, final_rank from ok where final_rank <= 5 union all select query_id, chunk_id, null, fused_rank from an where shape = 2 and fused_rank <= 5""")
+def rerank_response(spark, sf_dir):
+    """A scorer's answers as a service gives them: in either shape, or broken, where the fused order stays."""
+    hits = stored(fused_hits(spark, sf_dir))
+    scored = chunks(spark, sf_dir).join(F.broadcast(hits), "chunk_id").select("query_id", F.struct((F.col("fused_rank") - 1).alias("index"), F.round(F.length("text") % 97 / 97.0, 6).alias("relevance_score")).alias("r"))
+    body = scored.groupBy("query_id").agg(F.to_json(F.struct(F.collect_list("r").alias("results"))).alias("plain"))
+    shaped = F.when(F.col("query_id") % 3 == 0, F.col("plain")).when(F.col("query_id") % 3 == 1, F.concat(F.lit('{"output":'), "plain", F.lit("}"))).otherwise(F.lit("{oops"))
+    out = fusion.rerank(hits, stored(fusion.rerank_results(body.select("query_id", shaped.alias("body")))))
+    return out.select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+def probes(spark, sf_dir):
+    """Ways of searching by name, each with its place in the order of choice."""
+    return {"vector": (2, lambda: vector_hits(spark, sf_dir)), "bm25": (1, lambda: bm25_hits(spark, sf_dir)), "hybrid": (0, lambda: fused_hits(spark, sf_dir).withColumn("rank", F.col("fused_rank")))}
+
+
+AB = """
+pr as (select 'vector' as probe, 2 as place, query_id, chunk_id, rank from ve union all select 'bm25', 1, query_id, chunk_id, rank from bm union all select 'hybrid', 0, query_id, chunk_id, fused_rank from fu),
+hm as (select probe, place, ex.query_id, pr.rank, case when list_contains(expected, pr.chunk_id) then 1 else 0 end as rel from ex join pr using (query_id)),
+rm as (select *, sum(rel) over (partition by probe, query_id order by rank) as seen from hm),
+pm as (select probe, query_id, sum(rel) as found, min(case when rel = 1 then rank end) as first, sum(case when rel = 1 then seen / rank::double end) as prec from rm group by 1, 2),
+al as (select * from (select distinct probe, place from pr), ex)"""
+
+
+@query("eval_ab_compare", f"""with {BM}, {VE}, {FU}, {RE}, {AB}
+select al.probe, max(al.place) = 0 as chosen, count(*) as n_cases, round(avg(case when len(expected) > 0 then coalesce(found, 0) / len(expected)::double end), 6) as recall,
+  round(avg(case when len(expected) > 0 then coalesce(1.0::double / first, 0) end), 6) as mrr, round(avg(case when len(expected) > 0 then coalesce(prec, 0) / len(expected)::double end), 6) as context_precision
+from al left join pm on pm.probe = al.probe and pm.query_id = al.query_id group by al.probe""")
+def eval_ab_compare(spark, sf_dir):
+    """The same cases through each probe; the one that comes first is chosen."""
+    return evaluate.compared(stored(cases(spark, sf_dir)), probes(spark, sf_dir))
+
+
+@query("eval_annotation", f"with {BM} select query_id, rank, chunk_id, substr(regexp_replace(d.text, '\\s+', ' ', 'g'), 1, 120) as snippet from bm join documents d on d.doc_id = bm.chunk_id")
+def eval_annotation(spark, sf_dir):
+    """What a person who marks expected chunks is shown: ten hits a question with the begin of their text."""
+    text = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 120)
+    return chunks(spark, sf_dir).join(F.broadcast(bm25_hits(spark, sf_dir)), "chunk_id").select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", text.alias("snippet"))
+
+
+@query("judge_prompts", f"""with {BM}, li as (select query_id, string_agg('[' || chunk_id || '] ' || case when length(d.text) > 800 then substr(d.text, 1, 800) || '…' else d.text end, chr(10) || chr(10) order by rank) as context from bm join documents d on d.doc_id = bm.chunk_id where rank <= 5 and d.source <> 'src2' group by query_id)
+select item_id as query_id, sha256(case when context is null then 'No evidence was found for this question. Say so and nothing else.' else 'Answer from the evidence only and cite it as [ref-N].' || chr(10) || chr(10) || 'Evidence:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || text end) as prompt from benchmark left join li on query_id = item_id""")
+def judge_prompts(spark, sf_dir):
+    finals = chunks(spark, sf_dir).where("source <> 'src2'").join(F.broadcast(bm25_hits(spark, sf_dir).where("rank <= 5")), "chunk_id").select("query_id", "chunk_id", F.col("rank").alias("final_rank"), F.col("text").alias("content"))
+    return chain.prompts(questions(spark, sf_dir), finals, most=800).select("query_id", F.sha2("prompt", 256).alias("prompt"))
+
+
+@query("audit_log", f"""with {BM}, {VE}, {FU}, se as (select item_id as query_id, text, contains(lower(text), 'new instructions') or contains(lower(text), 'the ') as bad, length(text) as n from benchmark),
+ra as (select query_id, to_json(list({{'chunk_id': chunk_id::varchar, 'file_name': d.source}} order by p, rank)) as j from un join documents d on d.doc_id = un.chunk_id where query_id not in (select query_id from se where bad) group by 1),
+fi as (select query_id, to_json(list({{'chunk_id': chunk_id::varchar, 'file_name': d.source, 'score': round(fusion_score, 6)}} order by fused_rank)) as j from fu join documents d on d.doc_id = fu.chunk_id where fused_rank <= 5 and query_id not in (select query_id from se where bad) group by 1)
+select se.query_id, text as query_text, text as rewritten_query, case when ra.j is not null then 'hybrid' end as retrieval_type, ra.j::varchar as retrieved_chunks, fi.j::varchar as reranked_chunks,
+  least(n * 100000000, 2147483647)::bigint as latency_ms, case when n % 5 <> 0 then '{{"prompt_tokens":' || n || ',"completion_tokens":7,"total_tokens":' || (n + 7) || '}}' end as token_usage,
+  case when bad then 'REJECTED' when n % 4 = 0 then 'ERROR' else 'SUCCESS' end as status, case when bad then 'PROMPT_INJECTION' when n % 4 = 0 then 'TimeoutError' end as error_code
+from se left join ra using (query_id) left join fi using (query_id)""")
+def audit_log(spark, sf_dir):
+    """Questions through the guard, what is let through searched for, and a row about each."""
+    n = F.length("text")
+    bad = text.has_any(F.col("text"), [*text.INJECTION, "the "], True)
+    error = F.when(bad, F.lit("BusinessError")).when(n % 4 == 0, F.lit("TimeoutError"))
+    asked = chain.rewritten(questions(spark, sf_dir)).select(
+        "*", error.alias("error_class"), F.when(bad, F.lit("PROMPT_INJECTION")).alias("error_code"), n.alias("prompt_tokens"), F.lit(7).alias("completion_tokens"),
+        F.when(n % 5 != 0, n + 7).alias("total_tokens"), (n.cast("long") * 100_000_000).alias("latency_ms"))
+    v, b = vector_hits(spark, sf_dir), bm25_hits(spark, sf_dir)
+    passed = asked.where("error_code is null").select("query_id")
+    raw = v.withColumn("path", F.lit("v")).unionByName(b.withColumn("path", F.lit("b"))).withColumn("fusion_score", F.lit(None).cast("double"))
+    final = fusion.rerank_degraded(fusion.fuse(v, b)).withColumn("rerank_score", F.col("fusion_score"))
+    named = lambda hits: chunks(spark, sf_dir).select("chunk_id", F.col("source").alias("file_name")).join(F.broadcast(hits.join(passed, "query_id", "left_semi")), "chunk_id")
+    return chain.audited(asked, named(raw), named(final))

@@ -1,11 +1,16 @@
-"""Structured Streaming forms; each works on a batch table too."""
+"""Structured Streaming forms; those without state of their own work on a batch table too."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import metering
+from ..sources.scratch import scratch
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +20,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"))
+def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    return events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width, slide or width)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
@@ -24,13 +29,64 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """The last stage of each key."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("stage"))
+    """The last stage of each key, and when it was reached."""
+    return events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("stage"), F.max("ts").alias("ts"))
+
+
+def alive(states: DataFrame, hours: float = 24) -> DataFrame:
+    """States that are not older than so long before the last of all."""
+    last = states.agg(F.max("ts").alias("last"))
+    return states.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.make_interval(hours=F.lit(hours))).drop("last")  # one row
+
+
+def rate_windows(requests: DataFrame, limit: int = 60, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
+    """Requests by tenant and window, and how many go over the limit."""
+    counted = requests.withWatermark("ts", late).groupBy("tenant", F.window("ts", width)).agg(F.count(F.lit(1)).alias("requests"))
+    return counted.select("tenant", F.col("window.start").alias("start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))
+
+
+def daily_ledger(usage: DataFrame, late: str = "2 days") -> DataFrame:
+    """Tokens by tenant and UTC day; a day's state goes two days later."""
+    summed = usage.withWatermark("ts", late).groupBy("tenant", F.window("ts", "1 day")).agg(F.sum("tokens").alias("tokens"))
+    return summed.select("tenant", F.to_date("window.start").alias("day"), "tokens")
+
+
+def _with_state(rows: DataFrame, key: str, schema: str, state: str, fold: Callable, first: tuple) -> DataFrame:
+    def run(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = fold(pd.concat(list(parts)), tuple(held.get) if held.exists else first)
+        held.update(now)
+        yield out
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def circuit_breaker(calls: DataFrame, threshold: int = 5, open_s: float = 30.0) -> DataFrame:
+    """As ``metering.circuit_breaker``, with the state kept from batch to batch; calls come in order from batch to batch."""
+    return _with_state(calls, "key", metering.BREAKER, "name string, failures long, opened double", lambda pdf, s: metering.breaker_rows(pdf, s, threshold, open_s), metering.CLOSED)
+
+
+def approvals(actions: DataFrame, ttl_s: float = 600.0) -> DataFrame:
+    """As ``metering.approvals``, with what is held kept from batch to batch."""
+    return _with_state(actions, "approval_id", metering.APPROVAL, "name string, tenant string, user string, until double", lambda pdf, s: metering.approval_rows(pdf, s, ttl_s), metering.NOBODY)
+
+
+def run_to_table(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """All that is there now, run to the end, as a table below the shared folder (or ``path``).
+
+    In mode ``append`` the table grows; in ``complete`` each batch's table
+    takes the place of the one before, in a folder of its own.
+    """
+    spark = stream.sparkSession
+    path = path or scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(path).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    last: list[str] = []
 
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{batch}")
+        last[:] = [f"{path}/{batch}"]
 
-def run_to_memory(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, run to the end; for small results (dashboards, tests)."""
-    name = f"s{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
