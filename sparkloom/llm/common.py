@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Where that is unset a local
-    session (tests) gets a temporary folder; anything else is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sparkloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A folder of this run's own below the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch, shared_dir, stored  # noqa: F401
+from ..sources.tables import table  # noqa: F401
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,13 +17,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table: smaller on disk, and read by column."""
-    path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Texts go to Python in batches of few rows, so that very long ones do not fill its memory; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
