@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking
+from ..operators import chunking, documents
 from ..sources.tables import table
 from .registry import query
 
@@ -116,12 +116,8 @@ def html_protect_split(spark, sf_dir):
     return chunking.split_documents(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("embed_batches", "select b::bigint as batch, count(*) as n, min(doc_id) as first_id from (select doc_id, (doc_id // 1000) * 1000000 + (row_number() over (partition by doc_id // 1000 order by doc_id) - 1) // 10 as b from documents) group by b")
+@query("embed_batches", "select source, b as batch, count(*) as n, min(doc_id) as first_id from (select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 10 as b from documents) group by 1, 2")
 def embed_batches(spark, sf_dir):
-    """Batches of ten within ranges of a thousand ids, so that no window spans the table."""
-    from pyspark.sql.window import Window
-
-    part = F.floor(F.col("doc_id") / 1000)
-    w = Window.partitionBy(part).orderBy("doc_id")
-    b = part * 1_000_000 + F.floor((F.row_number().over(w) - 1) / 10)
-    return table(spark, sf_dir, "documents").select("doc_id", b.alias("batch")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    """Batches of ten, numbered through each source, so that no window spans the table."""
+    made = documents.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", 10, by="source")
+    return made.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
