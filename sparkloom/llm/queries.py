@@ -89,6 +89,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -100,10 +118,14 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_repair": op13_repair,
 }
 ORACLES = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op2_decontaminate": sql.DECONTAMINATE,
     "op7_mixing": sql.MIXING,
     "op9_secrets": sql.SECRETS,
+    "op13_repair": sql.REPAIR,
 }

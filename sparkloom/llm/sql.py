@@ -119,3 +119,71 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join per using (r)
 """
+
+REPAIR = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) as t),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as bytes
+  from conversations),
+kinds as (
+  select conv_id, turn, role, text, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 20 as kind
+  from keyed, crc),
+rows as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy
+  from kinds where kind <> 0),
+placed as (
+  select *, role[1] as i, row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || text)) as rn,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+    not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as open_end
+  from rows),
+facts as (
+  select *, case when blank then 'b' when again > 1 then 'd' when open_end then 't' else '' end as fault,
+    lag(i) over (partition by conv_id order by rn) || i not in ('su', 'ua', 'au') as illegal
+  from placed),
+-- for each role that may come last the cheapest edits so far, (cost, audit, repaired); state is '', s, u or a
+walk as (
+  select conv_id, 0::bigint as rn, {'c': 0, 'a': '', 't': []::varchar[]} as z,
+    null::struct(c integer, a varchar, t varchar[]) as s, null::struct(c integer, a varchar, t varchar[]) as u, null::struct(c integer, a varchar, t varchar[]) as a
+  from (select distinct conv_id from facts)
+  union all
+  select conv_id, rn,
+    {'c': z.c + 4, 'a': z.a || 'D', 't': z.t},
+    list_sort([x for x in [
+      {'c': s.c + 4, 'a': s.a || 'D', 't': s.t},
+      {'c': z.c + own, 'a': case when i = 's' then z.a || 'K' end, 't': z.t || [role || ':' || text]}] if x.c is not null and x.a is not null])[1],
+    list_sort([x for x in [
+      {'c': u.c + 4, 'a': u.a || 'D', 't': u.t},
+      {'c': z.c + own + rerole_u, 'a': z.a || edit_u, 't': z.t || [given_u]},
+      {'c': s.c + own + rerole_u, 'a': s.a || edit_u, 't': s.t || [given_u]},
+      {'c': a.c + own + rerole_u, 'a': a.a || edit_u, 't': a.t || [given_u]},
+      {'c': u.c + own + rerole_u + 3, 'a': u.a || 'I' || edit_u, 't': u.t || ['assistant:', given_u]}] if x.c is not null and x.a is not null])[1],
+    list_sort([x for x in [
+      {'c': a.c + 4, 'a': a.a || 'D', 't': a.t},
+      {'c': u.c + own + rerole_a, 'a': u.a || edit_a, 't': u.t || [given_a]},
+      {'c': z.c + own + rerole_a + 3, 'a': z.a || 'I' || edit_a, 't': z.t || ['user:', given_a]},
+      {'c': s.c + own + rerole_a + 3, 'a': s.a || 'I' || edit_a, 't': s.t || ['user:', given_a]},
+      {'c': a.c + own + rerole_a + 3, 'a': a.a || 'I' || edit_a, 't': a.t || ['user:', given_a]}] if x.c is not null and x.a is not null])[1]
+  from (
+    select w.* exclude (rn), f.rn, f.i, f.role, f.text, case fault when 't' then 3 when '' then 0 end as own,
+      case when f.i = 'u' then 0 else 3 end as rerole_u, case when f.i = 'a' then 0 else 3 end as rerole_a,
+      case when f.i = 'u' then 'K' else 'R' end as edit_u, case when f.i = 'a' then 'K' else 'R' end as edit_a,
+      case when f.i = 'u' then f.role else 'user' end || ':' || f.text as given_u, case when f.i = 'a' then f.role else 'assistant' end || ':' || f.text as given_a
+    from walk w join facts f on w.conv_id is not distinct from f.conv_id and f.rn = w.rn + 1)),
+ends as (
+  select w.conv_id, list_sort([x for x in [z, a,
+    {'c': u.c + 3, 'a': u.a || 'I', 't': u.t || ['assistant:']},
+    {'c': s.c + 6, 'a': s.a || 'II', 't': s.t || ['user:', 'assistant:']}] if x.c is not null and x.a is not null])[1] as best
+  from walk w join (select conv_id, max(rn) as rn from facts group by conv_id) l on w.conv_id is not distinct from l.conv_id and w.rn = l.rn),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated, count(*) filter (illegal) as illegal
+  from facts group by conv_id),
+convs as (select distinct conv_id from conversations)
+select v.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+  sha256(coalesce(array_to_string(best.t, chr(10)), '')) as repaired_sha256
+from convs v left join counts c on v.conv_id is not distinct from c.conv_id left join ends e on v.conv_id is not distinct from e.conv_id
+"""
