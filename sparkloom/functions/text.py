@@ -15,6 +15,25 @@ EMAIL, EMAIL_MASK = r"[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}", "***@***.***"
 INJECTION = ("ignore previous", "ignore all", "forget everything", "system prompt", "you are now", "new instructions", "忽略之前的", "忘记所有", "新的指令", "你的系统提示词")
 
 
+#: What Java takes for white space, and so for blank: separators that may be broken at, and the controls 09-0D and 1C-1F.
+BLANK = r"\t-\r\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
+
+
+def has_text(text: Column) -> Column:
+    """Whether a text holds anything but white space; null does not."""
+    return F.coalesce(text.rlike(f"[^{BLANK}]"), F.lit(False))
+
+
+def stripped(text: Column) -> Column:
+    """A text without the white space at its ends, tabs and newlines too."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+
+
+def trimmed(text: Column) -> Column:
+    """A text without the controls and spaces (00-20) at its ends."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; a run of Han characters gives its pairs of neighbours, or itself if it is one."""
     def runs(x: Column) -> Column:
@@ -59,8 +78,8 @@ def truncate(text: Column, n: int) -> Column:
 
 
 def title(text: Column, n: int = 50, blank: str = "untitled") -> Column:
-    t = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(t == "", F.lit(blank)).otherwise(truncate(t, n))
+    """A text's first ``n`` characters without the controls and spaces around it; of a text that holds nothing the placeholder."""
+    return F.when(has_text(text), truncate(trimmed(text), n)).otherwise(F.lit(blank))
 
 
 def snippet(text: Column, n: int = 120) -> Column:
@@ -68,14 +87,16 @@ def snippet(text: Column, n: int = 120) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """What a closed code fence holds, trimmed; other texts as they are, null as empty."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    fenced = t.startswith("```") & t.endswith("```") & (F.length(t) > 6) & F.contains(F.substr(t, F.lit(1), F.length(t) - 3), F.lit("\n"))
-    return F.when(fenced, F.trim(F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)```$", 1), F.lit(" \n\t\r"))).otherwise(t)
+    """What a closed code fence holds, without the white space at its ends; other texts as they are, null as empty."""
+    t = stripped(text)
+    opened, closed = F.locate("\n", t), t.startswith("```") & t.endswith("```") & (F.length(t) > 6)
+    inner = stripped(F.substr(t, opened + 1, F.greatest(F.length(t) - 3 - opened, F.lit(0))))
+    return F.when(closed & (opened > 0), inner).otherwise(F.coalesce(text, F.lit("")))
 
 
 def first_non_blank(*cols: Column) -> Column:
-    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols])
+    """The first text that holds something, as it is; else the empty text."""
+    return F.coalesce(*[F.when(has_text(c), c) for c in cols], F.lit(""))
 
 
 def escape_html(text: Column) -> Column:
@@ -108,8 +129,8 @@ def is_pdf(name: Column) -> Column:
 
 
 def extension(name: Column) -> Column:
-    """What follows the last dot, in small letters; empty without one."""
-    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    """What follows the last dot, as it is written; empty without one, or without a name."""
+    return F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)).otherwise(F.lit(""))
 
 
 def page_number(raw: Column) -> Column:

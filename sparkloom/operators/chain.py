@@ -24,16 +24,15 @@ QUOTAS = ("RATE_LIMITED", "TOKEN_BUDGET_EXCEEDED")
 def guarded(requests: DataFrame, budget: float, limit: int, seconds: int = 60, terms: tuple[str, ...] = T.INJECTION) -> DataFrame:
     """``requests(event_id, tenant, ts, tokens, text)`` with ``error_code`` (null: let through) and the masked text ``sanitized``.
 
-    Quotas replay all requests, rejected ones too. A null or blank tenant has
-    no quota and is rejected.
+    Budget, rate and the text are looked at in that order. A request that is
+    turned away uses no quota, but for one that only its text stops: that has
+    its permit, and books no tokens. A null or blank tenant has no quota and
+    is rejected. ``event_id`` tells requests apart.
     """
-    out = metering.rate_sliding(metering.budget(requests, budget).withColumnRenamed("rejected", "over_budget"), limit, seconds).withColumnRenamed("rejected", "over_rate")
-    nobody = F.col("tenant").isNull() | (F.trim("tenant") == "")
-    code = (
-        F.when(nobody, F.lit("IDENTITY_INCOMPLETE")).when(F.col("over_budget"), F.lit("TOKEN_BUDGET_EXCEEDED")).when(F.col("over_rate"), F.lit("RATE_LIMITED"))
-        .when(T.has_any(F.col("text"), list(terms), True), F.lit("PROMPT_INJECTION"))
-    )
-    return out.select(*requests.columns, code.alias("error_code"), T.sanitize(F.col("text")).alias("sanitized"))
+    judged = requests.withColumn("stopped", T.has_any(F.col("text"), list(terms), True))
+    codes = metering.admitted(judged, budget, limit, seconds).select("event_id", F.col("error_code").alias("quota_code"))
+    code = F.coalesce("quota_code", F.when(F.col("stopped"), F.lit("PROMPT_INJECTION")))
+    return judged.join(codes, "event_id").select(*requests.columns, code.alias("error_code"), T.sanitize(F.col("text")).alias("sanitized"))
 
 
 def rewritten(queries: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -28,17 +28,19 @@ def accepted(files: DataFrame) -> DataFrame:
 
 def forced_route(raw: Column) -> Column:
     """A route that was asked for, in any case and with blanks around it; anything else is null."""
-    name = F.upper(F.trim(raw))
+    name = F.upper(T.stripped(raw))
     return F.when(name.isin("NATIVE", "DEEP", "OCR"), name)
 
 
 def routed(files: DataFrame) -> DataFrame:
     """``files(name, pages, chars, forced, deep, ok)`` with ``route``, and the ``outcome`` if that route works or not (``ok``).
 
-    A forced route that fails is an error; another falls back to NATIVE.
+    ``pages`` and ``chars`` are what a probe of the first pages found; null
+    where it failed, which says nothing of a scan. A forced route that fails
+    is an error; another falls back to NATIVE.
     """
     forced = forced_route(F.col("forced"))
-    density = F.when(F.col("pages") > 0, F.col("chars") / F.least(F.col("pages"), F.lit(PROBED))).otherwise(F.lit(0.0))
+    density = F.when(F.col("pages") > 0, F.col("chars") / F.least(F.col("pages"), F.lit(PROBED))).when(F.col("pages") <= 0, F.lit(0.0))
     route = F.coalesce(
         forced, F.when(~T.is_pdf(F.col("name")), F.lit("NATIVE")).when(F.col("deep"), F.lit("DEEP")).when(density < DENSITY, F.lit("OCR")).otherwise(F.lit("NATIVE"))
     )
@@ -47,7 +49,7 @@ def routed(files: DataFrame) -> DataFrame:
 
 
 def layout_content(kind: Column) -> Column:
-    """A layout block's text: of a table the model's (out of its code fence), then the other fields in turn."""
+    """A layout block's text: of a table the model's (out of its code fence), then the other fields in turn; empty without any."""
     fields = ["html", "markdownContent", "markdown", "text"]
     table = T.first_non_blank(T.strip_fence(F.col("llmResult")), *[F.col(c) for c in fields])
     return F.when(F.contains(kind, F.lit("table")), table).otherwise(T.first_non_blank(*[F.col(c) for c in fields[1:]]))
@@ -67,8 +69,9 @@ def layout_pages(layouts: DataFrame) -> DataFrame:
         (~image & F.contains(kind, F.lit("table"))).alias("table"), F.when(~image, layout_content(kind)).alias("content"),
     )
     whole = blocks.groupBy("doc_id").agg((F.coalesce(F.max("pageNum"), F.lit(-1)) + 1).alias("page_count"), F.count_if("table").alias("tables"), F.count_if("image").alias("images"))
-    pages = blocks.where("content is not null").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("content"))
-    kept = pages.select("doc_id", (F.col("page") + 1).alias("page_number"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("content")).where("content <> ''")
+    pages = blocks.where(T.has_text(F.col("content"))).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n").alias("content"))
+    kept = pages.select("doc_id", (F.col("page") + 1).alias("page_number"), T.trimmed(F.col("content")).alias("content"))
+    kept = kept.where(T.has_text(F.col("content")))
     return kept.join(whole, "doc_id")
 
 

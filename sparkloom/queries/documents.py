@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents
 from ..sources.tables import table
-from .registry import query
+from .registry import query, sql_has_text, sql_stripped
 
+# fixed values: kinds of files by their media types are in functions.text
 EXTENSIONS = ["md", "pdf", "PDF", "txt", "html"]
 MIMES = ["application/pdf", "text/markdown", "text/plain", "text/html", "image/png"]
 FORCED = [None, "deep", " OCR ", "bogus", ""]
@@ -26,18 +27,18 @@ def files(spark, sf_dir):
     """Documents as if they were files: what their number and length say stands for what a file would."""
     d, i = table(spark, sf_dir, "documents"), (F.col("doc_id") % 5).cast("int")
     return d.select(
-        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), _pick(EXTENSIONS, i)).alias("name"), (F.col("doc_id") % 4).alias("pages"), F.length("text").cast("long").alias("chars"),
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), _pick(EXTENSIONS, i)).alias("name"), F.when(F.col("doc_id") % 13 > 0, F.col("doc_id") % 4).alias("pages"), F.length("text").cast("long").alias("chars"),
         _pick(FORCED, (F.floor(F.col("doc_id") / 5) % 5).cast("int")).alias("forced"), (F.col("doc_id") % 3 == 0).alias("deep"), (F.col("doc_id") % 7 != 0).alias("ok"),
         _pick(MIMES, i).alias("mime"), F.when(F.col("doc_id") % 11 != 0, F.length("text")).alias("length"),
     )
 
 
-FI = f"""fi as (select doc_id, doc_id || '.' || {_sql_list(EXTENSIONS)}[doc_id % 5 + 1] as name, doc_id % 4 as pages, length(text) as chars, upper(trim({_sql_list(FORCED)}[doc_id // 5 % 5 + 1])) as f,
+FI = f"""fi as (select doc_id, doc_id || '.' || {_sql_list(EXTENSIONS)}[doc_id % 5 + 1] as name, case when doc_id % 13 > 0 then doc_id % 4 end as pages, length(text) as chars, upper(trim({_sql_list(FORCED)}[doc_id // 5 % 5 + 1])) as f,
   doc_id % 3 = 0 as deep, doc_id % 7 <> 0 as ok, {_sql_list(MIMES)}[doc_id % 5 + 1] as mime, case when doc_id % 11 <> 0 then length(text) else 0 end as length from documents),
-ro as (select *, case when f in ('NATIVE', 'DEEP', 'OCR') then f when lower(name) not like '%.pdf' then 'NATIVE' when deep then 'DEEP' when (case when pages > 0 then chars / least(pages, 3)::double else 0 end) < 50 then 'OCR' else 'NATIVE' end as route from fi)"""
+ro as (select *, case when f in ('NATIVE', 'DEEP', 'OCR') then f when lower(name) not like '%.pdf' then 'NATIVE' when deep then 'DEEP' when (case when pages > 0 then chars / least(pages, 3)::double when pages <= 0 then 0 end) < 50 then 'OCR' else 'NATIVE' end as route from fi)"""
 
 
-@query("routed_files", f"with {FI} select doc_id, route, case when ok then route when f in ('NATIVE', 'DEEP', 'OCR') then 'ERROR' else 'NATIVE' end as outcome, regexp_extract(lower(name), '[.]([^.]*)$', 1) as ext from ro")
+@query("routed_files", f"with {FI} select doc_id, route, case when ok then route when f in ('NATIVE', 'DEEP', 'OCR') then 'ERROR' else 'NATIVE' end as outcome, regexp_extract(name, '[.]([^.]*)$', 1) as ext from ro")
 def routed_files(spark, sf_dir):
     return documents.routed(files(spark, sf_dir)).select("doc_id", "route", "outcome", T.extension(F.col("name")).alias("ext"))
 
@@ -55,20 +56,20 @@ def layouts(spark, sf_dir):
     return lines.select(
         "doc_id", "seq", F.when(F.col("seq") % 3 == 2, (F.col("seq") / 3).cast("int")).alias("pageNum"), kind.alias("type"),
         F.when(turn == 0, F.concat(F.lit("```html\n"), "line", F.lit("\n```"))).alias("llmResult"), F.when(turn == 1, F.col("line")).alias("html"),
-        F.when(turn == 2, F.col("line")).when(turn == 1, F.lit(" ")).alias("markdownContent"), F.when(turn == 3, F.col("line")).alias("markdown"), F.when(turn != 4, F.concat(F.lit("t:"), "line")).alias("text"),
+        F.when(turn == 2, F.col("line")).when(turn == 1, F.lit(" \t\n")).alias("markdownContent"), F.when(turn == 3, F.col("line")).alias("markdown"), F.when(turn != 4, F.concat(F.lit("t:"), "line")).alias("text"),
     )
 
 
-LAY = """
+LAY = f"""
 li as (select doc_id, unnest(range(len(ls))) as seq, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)),
 bl as (select doc_id, seq, line, length(line) as n, seq % 5 as turn, case when seq % 3 = 2 then seq // 3 end as page_num from li),
 ki as (select *, case when n % 7 = 0 then 'table' when n % 11 = 0 then 'figure_image' else 'text' end as kind from bl),
 pa as (select *, coalesce(last_value(page_num ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and current row), 0) as page from ki),
 co as (select *, case when kind = 'figure_image' then null
-  when kind = 'table' then coalesce(case when turn = 0 and trim(line) <> '' then trim(line, ' ' || chr(10) || chr(9) || chr(13)) end, case when turn in (1, 2, 3) and trim(line) <> '' then line end, case when turn <> 4 then 't:' || line end)
-  else coalesce(case when turn in (2, 3) and trim(line) <> '' then line end, case when turn <> 4 then 't:' || line end) end as content from pa),
+  when kind = 'table' then coalesce(case when turn = 0 then nullif({sql_stripped('line')}, '') end, case when turn in (1, 2, 3) and {sql_has_text('line')} then line end, case when turn <> 4 then 't:' || line end)
+  else coalesce(case when turn in (2, 3) and {sql_has_text('line')} then line end, case when turn <> 4 then 't:' || line end) end as content from pa),
 wh as (select doc_id, coalesce(max(page_num), -1) + 1 as page_count, count(*) filter (kind = 'table') as tables, count(*) filter (kind = 'figure_image') as images from pa group by 1),
-pg as (select doc_id, page + 1 as page_number, regexp_replace(string_agg(content, chr(10) order by seq), '^\\s+|\\s+$', '', 'g') as content from co where content is not null group by 1, 2)"""
+pg as (select doc_id, page + 1 as page_number, regexp_replace(string_agg(content, chr(10) order by seq), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as content from co where {sql_has_text('content')} group by 1, 2)"""
 
 
 @query("layout_blocks", f"with {LAY} select doc_id, page_number, sha256(content) as content, page_count, tables, images from pg join wh using (doc_id) where content <> ''")
@@ -77,6 +78,27 @@ def layout_blocks(spark, sf_dir):
     return out.select("doc_id", F.col("page_number").cast("long").alias("page_number"), F.sha2("content", 256).alias("content"), F.col("page_count").cast("long").alias("page_count"), "tables", "images")
 
 
+@query("layout_pages", f"with {LAY}, n as (select doc_id, count(*) as pages, sum(length(content))::bigint as chars from pg where content <> '' group by 1) select doc_id, pages, chars, page_count, tables, images from n join wh using (doc_id)")
+def layout_pages(spark, sf_dir):
+    """What the layouts of a document come to: its pages that hold text, and the blocks of each kind."""
+    pages = documents.layout_pages(layouts(spark, sf_dir))
+    sums = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("content")).alias("chars"), *[F.max(c).cast("long").alias(c) for c in ("page_count", "tables", "images")])
+    return sums
+
+
+@query("route_decision", f"with {FI}, o as (select *, case when ok then route when f in ('NATIVE', 'DEEP', 'OCR') then 'ERROR' else 'NATIVE' end as outcome from ro) select route, outcome, pages is null as probe_failed, count(*) as files from o group by all")
+def route_decision(spark, sf_dir):
+    """Files by the route that was chosen and what became of it, failed probes apart."""
+    out = documents.routed(files(spark, sf_dir))
+    return out.groupBy("route", "outcome", F.col("pages").isNull().alias("probe_failed")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("mime_type_map", f"with {FI} select mime, case mime when 'application/pdf' then 'PDF' when 'text/markdown' then 'MD' when 'text/plain' then 'TXT' when 'text/html' then 'HTML' else 'UNKNOWN' end as kind, count(*) as files from fi group by all")
+def mime_type_map(spark, sf_dir):
+    out = files(spark, sf_dir)
+    return out.groupBy("mime", T.mime_kind(F.col("mime")).alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("merged_pages", r"""with pa as (select conv_id as doc_id, turn, case when turn % 2 = 0 then '| a | b |' || chr(10) || '|---|---|' || chr(10) else '' end || text as text from conversations)
 select doc_id, sha256(string_agg(text, chr(10) || chr(10) order by turn, text)) as text, count(*) as pages, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) like '|%' and contains(x, '---'))))::bigint as tables from pa group by 1""")
 def merged_pages(spark, sf_dir):

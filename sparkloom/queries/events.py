@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import chain, metering
+from ..functions.text import has_any
+from ..operators import chain, metering, retrieve
 from ..sources.tables import table
 from ..streaming import flows
 from .registry import query
@@ -66,19 +68,19 @@ def circuit_breaker(spark, sf_dir):
 
 
 def actions(e):
-    """Events as steps of approvals, three users to one; one in four comes from somebody else."""
+    """Events as steps of approvals, three users to one; one in four comes from somebody else, and a third of the approvals from nobody that is known."""
     step = F.when(F.col("event_id") % 3 == 0, F.lit("create")).when(F.col("event_id") % 3 == 1, F.lit("approve")).otherwise(F.lit("consume"))
     return e.select(
         F.floor(F.col("user_id") / 3).alias("approval_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), step.alias("action"), F.lit("t").alias("tenant"),
-        F.when(F.col("event_id") % 4 == 3, F.lit("x")).otherwise(F.lit("u")).alias("user"),
+        F.when(F.col("event_id") % 4 == 3, F.lit("x")).when(F.floor(F.col("user_id") / 3) % 3 != 0, F.lit("u")).alias("user"),
     )
 
 
-APPROVALS = """with recursive a as (select user_id // 3 as id, event_id as seq, epoch(ts) as now, ['create', 'approve', 'consume'][event_id % 3 + 1] as action, case when event_id % 4 = 3 then 'x' else 'u' end as who, row_number() over (partition by user_id // 3 order by event_id) as rn from events),
-f as (select id, 0 as rn, 0::bigint as seq, '' as action, false as done, '' as held, '' as owner, 0.0::double as until from a group by id
+APPROVALS = """with recursive a as (select user_id // 3 as id, event_id as seq, epoch(ts) as now, ['create', 'approve', 'consume'][event_id % 3 + 1] as action, case when event_id % 4 = 3 then 'x' when user_id // 3 % 3 <> 0 then 'u' end as who, row_number() over (partition by user_id // 3 order by event_id) as rn from events),
+f as (select id, 0 as rn, 0::bigint as seq, '' as action, false as done, '' as held, null::varchar as owner, 0.0::double as until from a group by id
   union all select id, rn, seq, action, done, case when action = 'create' then 'PENDING' when done and action = 'approve' then 'APPROVED' when done then '' else held end,
     case when action = 'create' then who else owner end, case when done and action <> 'consume' then now + 7200 else until end
-  from (select *, action = 'create' or owner = who and (action = 'approve' and held = 'PENDING' or action = 'consume' and held = 'APPROVED') as done
+  from (select *, action = 'create' or owner is not distinct from who and (action = 'approve' and held = 'PENDING' or action = 'consume' and held = 'APPROVED') as done
     from (select a.*, f.owner, f.until, case when a.now >= f.until then '' else f.held end as held from f join a on a.id = f.id and a.rn = f.rn + 1)))
 select id as approval_id, seq, action, done from f where rn > 0"""
 
@@ -129,15 +131,57 @@ def budget_counters(spark, sf_dir):
     return metering.rate_counters(metering.budget(usage(spark, sf_dir), 100))
 
 
-@query("guarded_requests", f"""with {US}, q as (select u.*, b.text from u join benchmark b on b.item_id = u.event_id % 40),
-g as (select *, coalesce(sum(tokens) over (partition by tenant, ts::date order by ts, event_id rows between unbounded preceding and 1 preceding), 0) >= 100 as over_budget,
-  count(*) over (partition by tenant order by floor(epoch(ts))::bigint range between 3599 preceding and current row) > 1 as over_rate from q)
-select event_id, case when over_budget then 'TOKEN_BUDGET_EXCEEDED' when over_rate then 'RATE_LIMITED' when contains(lower(text), 'et ') then 'PROMPT_INJECTION' end as error_code from g""")
+# ten tenants, one in a hundred requests of none and one of white space only; each asks with a text of the benchmark
+REQUESTS = """q as (select event_id, ts, case when event_id % 100 = 37 then null when event_id % 100 = 73 then chr(9) || chr(10) || ' ' else 'team ' || user_id % 10 end as tenant, floor(abs(value))::bigint as tokens, event_id % (select count(*) from benchmark) as item from events),
+asked as (select q.*, contains(lower(b.text), 'et ') as stopped from q left join (select text, row_number() over (order by item_id) - 1 as item from benchmark) b using (item))"""
+ADMITTED = """with recursive """ + REQUESTS + """,
+r as (select *, epoch_us(ts) as us, epoch_us(ts) // 86400000000 as day, row_number() over (partition by tenant order by ts, event_id) as rn from asked where tenant like 'team%'),
+f as (select tenant, 0::bigint as rn, -1::bigint as event_id, 0::bigint as used_before, 0 as permits_before, null::varchar as code, -1::bigint as day, 0::bigint as used, []::bigint[] as permits from r group by tenant
+  union all select tenant, rn, event_id, today, len(free), code, day, today + case when code is null and not stopped then tokens else 0 end, case when code is null then free || [us] else free end
+  from (select *, case when today >= 800 then 'TOKEN_BUDGET_EXCEEDED' when len(free) >= 1 then 'RATE_LIMITED' end as code
+    from (select r.*, case when r.day = f.day then f.used else 0 end as today, list_filter(f.permits, lambda t: t > r.us - 3600000000) as free from f join r on r.tenant = f.tenant and r.rn = f.rn + 1)))"""
+DECIDED = " select tenant, event_id, used_before, permits_before, code as error_code from f where rn > 0 union all select tenant, event_id, 0, 0, 'IDENTITY_INCOMPLETE' from asked where tenant is null or tenant not like 'team%'"
+
+
+def requests(spark, sf_dir, events=None):
+    """Events as requests of ten tenants, some of none, with a text of the benchmark each."""
+    e = table(spark, sf_dir, "events") if events is None else events
+    texts = table(spark, sf_dir, "benchmark")
+    n = texts.count()
+    text = texts.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("item"), "text")  # a benchmark is one task's work
+    tenant = F.when(F.col("event_id") % 100 == 73, F.lit("\t\n ")).when(F.col("event_id") % 100 != 37, F.concat(F.lit("team "), (F.col("user_id") % 10).cast("string")))
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), tenant.alias("tenant"), F.floor(F.abs("value")).alias("tokens"), (F.col("event_id") % max(n, 1)).alias("item"))
+    return rows.join(retrieve.small(text), "item", "left").drop("item")
+
+
+def stopped(rows):
+    return rows.withColumn("stopped", has_any(F.col("text"), ["et "], True))
+
+
+@query("admitted_requests", ADMITTED + DECIDED)
+def admitted_requests(spark, sf_dir):
+    """Quotas with feedback: only what is let through takes permits, and only what is answered books tokens."""
+    return metering.admitted(stopped(requests(spark, sf_dir)), 800, 1, 3600)
+
+
+@query("stream_admitted", ADMITTED + DECIDED.replace("select tenant, event_id, 0", "select null, event_id, 0"))
+def stream_admitted(spark, sf_dir):
+    rows = stopped(requests(spark, sf_dir, flows.event_stream(spark, sf_dir)))
+    return flows.run_to_table(flows.admitted(rows, 800, 1, 3600), "append")
+
+
+@query("guarded_requests", ADMITTED + """, d as (""" + DECIDED + """) select d.event_id, coalesce(error_code, case when stopped then 'PROMPT_INJECTION' end) as error_code from d join asked using (event_id)""")
 def guarded_requests(spark, sf_dir):
     """Requests through all guards; the first that turns one away names its error."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
-    requests = usage(spark, sf_dir).withColumn("item", F.col("event_id") % 40).join(F.broadcast(asked.where("item < 40")), "item")  # forty questions
-    return chain.guarded(requests.drop("item"), 100, 1, 3600, ("et ",)).select("event_id", "error_code")
+    return chain.guarded(requests(spark, sf_dir), 800, 1, 3600, ("et ",)).select("event_id", "error_code")
+
+
+@query("admission_counters", ADMITTED + """, d as (""" + DECIDED + """) select d.tenant, sum(tokens) filter (error_code is null and not stopped)::bigint as tokens_used, count(*) filter (error_code = 'TOKEN_BUDGET_EXCEEDED') as over_budget, count(*) filter (error_code = 'RATE_LIMITED') as over_rate from d join asked using (event_id) group by 1""")
+def admission_counters(spark, sf_dir):
+    """Tokens booked and requests turned away, by tenant."""
+    rows = stopped(requests(spark, sf_dir))
+    judged = metering.admitted(rows, 800, 1, 3600).join(rows.select("event_id", "tokens", "stopped"), "event_id")
+    return metering.admission_counters(judged)
 
 
 @query("event_tumbling", "select event_type, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as n from events group by 1, 2")

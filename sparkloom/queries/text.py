@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, documents
 from ..sources.tables import table
-from .registry import query
+from .registry import query, sql_has_text, sql_stripped
 
 AT = r"[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}"
 
@@ -48,10 +48,17 @@ def chunk_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(t), 6).alias("avg_tokens"), F.max(t).cast("long").alias("max_tokens"), F.count_if(F.contains("text", F.lit(" | "))).alias("tables"))
 
 
-@query("session_titles", "select conv_id, case when trim(text) = '' then 'untitled' when length(trim(text)) > 50 then substr(trim(text), 1, 50) || '…' else trim(text) end as title from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n = 1")
+FIRST = """first as (select conv_id, case conv_id % 5 when 0 then chr(9) || chr(10) || ' ' when 1 then null when 2 then chr(9) || text || chr(10) when 3 then substr(text, 1, 20) || chr(8195) else text end as text
+  from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n = 1)"""
+
+
+@query("session_titles", f"with {FIRST}, t as (select *, regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as s from first) select conv_id, case when not {sql_has_text('text')} then 'untitled' when length(s) > 50 then substr(s, 1, 50) || '…' else s end as title from t")
 def session_titles(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    return first.select("conv_id", T.title(F.col("text")).alias("title"))
+    """Titles of first questions, some of white space only, some with it at their ends."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    kind, text = F.col("conv_id") % 5, F.col("text")
+    asked = F.when(kind == 0, F.lit("\t\n ")).when(kind == 2, F.concat(F.lit("\t"), text, F.lit("\n"))).when(kind == 3, F.concat(F.substring(text, 1, 20), F.lit("\u2003"))).when(kind == 4, text)
+    return c.select("conv_id", T.title(asked).alias("title"))
 
 
 @query("escape_and_truncate", "select doc_id, replace(replace(replace(case when length(text) > 800 then substr(text, 1, 800) || '…' else text end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as shown from documents")
@@ -59,51 +66,22 @@ def escape_and_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.escape_html(T.truncate(F.col("text"), 800)).alias("shown"))
 
 
-FENCED = [(1, "```html\n<b>x</b>\n```"), (2, "plain"), (3, "```md\nopen"), (4, None), (5, "```\n```"), (6, "  ```json\n{}\n```  "), (7, "``````")]
+FENCES = """raw as (select doc_id, case doc_id % 8 when 0 then chr(10) || '```html' || chr(10) || text || chr(10) || '```' || chr(9) when 1 then chr(9) || text || chr(10) when 2 then '```md' || chr(10) || text
+  when 3 then null when 4 then '```' || chr(10) || '```' when 5 then '```' || replace(text, chr(10), ' ') || '```' when 6 then '``````' else '```' || chr(10) || chr(9) || text || '```' end as raw from documents)"""
+STRIPPED = f"""s as (select *, {sql_stripped('raw')} as t from raw),
+  c as (select doc_id, case when starts_with(t, '```') and ends_with(t, '```') and length(t) > 6 and contains(t, chr(10)) then {sql_stripped("substr(t, strpos(t, chr(10)) + 1, greatest(length(t) - 3 - strpos(t, chr(10)), 0))")} else coalesce(raw, '') end as content from s)"""
 
 
-@query("strip_code_fence", "select * from (values (1::bigint, '<b>x</b>'), (2, 'plain'), (3, '```md' || chr(10) || 'open'), (4, ''), (5, ''), (6, '{}'), (7, '``````')) t(id, content)")
+@query("strip_code_fence", f"with {FENCES}, {STRIPPED} select doc_id, length(content) as n, sha256(content) as content from c")
 def strip_code_fence(spark, sf_dir):
-    return spark.createDataFrame(FENCED, "id long, raw string").select("id", T.strip_fence(F.col("raw")).alias("content"))
-
-
-ROUTES = [(1, "a.md", 1, 500, None, False, True), (2, "b.pdf", 2, 0, None, False, True), (3, "c.pdf", 3, 900, None, True, True), (4, "d.txt", 1, 10, None, True, True), (5, "e.md", 1, 10, "deep", False, True), (6, "f.PDF", 3, 900, None, True, False), (7, "g.pdf", 3, 900, " bogus ", False, True), (8, "h.pdf", 0, 0, "ocr", False, False)]
-
-
-@query("route_decision", "select * from (values (1::bigint, 'NATIVE', 'NATIVE'), (2, 'OCR', 'OCR'), (3, 'DEEP', 'DEEP'), (4, 'NATIVE', 'NATIVE'), (5, 'DEEP', 'DEEP'), (6, 'DEEP', 'NATIVE'), (7, 'NATIVE', 'NATIVE'), (8, 'OCR', 'ERROR')) t(id, route, outcome)")
-def route_decision(spark, sf_dir):
-    files = spark.createDataFrame(ROUTES, "id long, name string, pages int, chars int, forced string, deep boolean, ok boolean")
-    f = F.upper(F.trim("forced"))
-    forced = F.when(f.isin("NATIVE", "DEEP", "OCR"), f)
-    density = F.when(F.col("pages") > 0, F.col("chars") / F.least("pages", F.lit(3))).otherwise(0.0)
-    route = F.coalesce(forced, F.when(~F.lower("name").endswith(".pdf"), F.lit("NATIVE")).when(F.col("deep"), F.lit("DEEP")).when(density < 50, F.lit("OCR")).otherwise(F.lit("NATIVE")))
-    outcome = F.when(F.col("ok"), route).when(forced.isNotNull(), F.lit("ERROR")).otherwise(F.lit("NATIVE"))
-    return files.select("id", route.alias("route"), outcome.alias("outcome"))
-
-
-@query("mime_type_map", "select * from (values (1::bigint, 'PDF', true), (2, 'MD', true), (3, 'HTML', true), (4, 'UNKNOWN', false)) t(id, kind, accepted)")
-def mime_type_map(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "application/pdf"), (2, "text/markdown"), (3, "text/html"), (4, "image/png")], "id long, mime string")
-    k = T.mime_kind(F.col("mime"))
-    return rows.select("id", k.alias("kind"), (k != "UNKNOWN").alias("accepted"))
-
-
-LAYOUTS = [(1, 1, 2, "text", None, "two"), (1, 2, None, "table", "<table>x</table>", None), (1, 3, 0, "image", None, "zero"), (1, 4, 1, "text", None, "  "), (2, 1, None, "text", None, "first")]
-
-
-@query("layout_pages", "select * from (values (1::bigint, 1::bigint, 'zero', 0::bigint, 1::bigint), (1, 3, 'two' || chr(10) || '<table>x</table>', 1, 0), (2, 1, 'first', 0, 0)) t(doc_id, page_number, content, tables, images)")
-def layout_pages(spark, sf_dir):
-    """Blocks without page stand on the one before them; pages count from one and blank ones go."""
-    from pyspark.sql.window import Window
-
-    rows = spark.createDataFrame(LAYOUTS, "doc_id long, seq int, page int, type string, html string, text string")
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    content = T.first_non_blank(F.col("html"), F.col("text"))
-    paged = rows.withColumn("p", F.coalesce(F.last("page", True).over(w), F.lit(0))).withColumn("c", content)
-    out = paged.groupBy("doc_id", "p").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("seq", "c")))), lambda x: x["c"]), "\n").alias("content"),
-        F.count_if(F.col("type") == "table").alias("tables"), F.count_if(F.col("type") == "image").alias("images"))
-    return out.where("trim(content) <> ''").select("doc_id", (F.col("p") + 1).cast("long").alias("page_number"), "content", "tables", "images")
+    """Texts with all kinds of fences: closed, open, empty, on one line, with white space around."""
+    kind, text = F.col("doc_id") % 8, F.col("text")
+    made = [F.concat(F.lit("\n```html\n"), text, F.lit("\n```\t")), F.concat(F.lit("\t"), text, F.lit("\n")), F.concat(F.lit("```md\n"), text), F.lit(None), F.lit("```\n```"), F.concat(F.lit("```"), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("```")), F.lit("``````")]
+    raw = F.concat(F.lit("```\n\t"), text, F.lit("```"))
+    for i, m in enumerate(made):
+        raw = F.when(kind == i, m).otherwise(raw)
+    content = T.strip_fence(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(content).cast("long").alias("n"), F.sha2(content, 256).alias("content"))
 
 
 @query("split_fixed")
