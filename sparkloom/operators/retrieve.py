@@ -1,160 +1,51 @@
-"""A text index, BM25 and exact vector search for whole sets of questions.
+"""Search for whole sets of questions: BM25 over the text index, exact search over vectors.
 
-Up to ``QUESTIONS`` questions are one block, which is broadcast; each task keeps
-its own best hits of every question, so that only those are shuffled. More
-questions go through joins (BM25) or are laid out in blocks against blocks of
-the corpus (vectors), with the same results.
+Up to ``QUESTIONS`` vectors of questions are one block, which is broadcast; each
+task keeps its own best hits of every question, so that only those are
+shuffled. More are laid out in blocks against blocks of the corpus, with the
+same results.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import tokens
-from ..sources.scratch import stored
+from ..functions.text import has_text
+from ..sources.scratch import exists, kept_path, stored
+from . import inverted
+from .inverted import TextIndex
+from .rank import BROADCAST_ROWS, best_of, edge, ranked, small  # noqa: F401
 
-K1, B = 1.2, 0.75
 QUESTIONS = 20_000
-#: Rows up to this many are broadcast; above it both sides are shuffled.
-BROADCAST_ROWS = 100_000
 #: Rows of a block of the corpus, and cells of a block of scores.
 BLOCK, CELLS = 4_096, 1 << 21
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def index_chunks(chunks: DataFrame, text: str = "text", path: str | None = None) -> TextIndex:
+    """``chunks(chunk_id, text, ...)`` to a text index, divided by ``tenant`` if there is such a column."""
+    return inverted.build(chunks, path, text, "tenant" if "tenant" in chunks.columns else None)
 
 
-def index_chunks(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``chunks(chunk_id, text, ...)`` to a stored index: chunk_id, the other columns, ``dl`` (tokens), ``terms`` and their counts ``tfs``.
-
-    A row per chunk, so counting needs no shuffle; null texts have no terms.
-    """
-    kept = [c for c in chunks.columns if c != text]
-    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in kept)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            counts = [Counter(() if ts is None else ts) for ts in pdf.pop("ts")]
-            yield pdf.assign(dl=[sum(c.values()) for c in counts], terms=[list(c) for c in counts], tfs=[list(c.values()) for c in counts])
-
-    return stored(chunks.select(*kept, tokens(F.col(text)).alias("ts")).mapInPandas(run, f"{kinds}, dl int, terms array<string>, tfs array<int>"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-
-
-def _statistics(index: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row of ``n`` and ``avgdl``, and ``(term, df)`` of the wanted terms: of the whole index, whatever is filtered later."""
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.select(F.explode("terms").alias("term")).join(small(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return stats, df
-
-
-def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of all chunks of an index that share a term with a question, by joins on the term."""
-    asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    stats, df = _statistics(index, wanted)
-    post = index.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("chunk_id", "dl", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = post.join(small(df), "term").crossJoin(F.broadcast(stats)).select("chunk_id", "term", part.alias("part"))  # one row of statistics
-    return scored.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+def kept_index(chunks: DataFrame, text: str = "text") -> TextIndex:
+    """As ``index_chunks``, once for the files that ``chunks`` are read from: later calls open what is there."""
+    spark, path = chunks.sparkSession, kept_path(chunks, f"index-{'-'.join(chunks.columns)}")
+    return inverted.open_index(spark, path) if exists(spark, f"{path}/manifest/version=1/_SUCCESS") else index_chunks(chunks, text, path)
 
 
-def _best(best: pd.DataFrame | None, some: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best of each question so far; scores equal to eight places are ties, which go to the smaller id."""
-    best = some if best is None else pd.concat([best, some])
-    best = best.assign(r=best["score"].round(8)).sort_values(["query_id", "r", "chunk_id"], ascending=[True, False, True])
-    return best.groupby("query_id").head(k).drop(columns="r")
-
-
-def _edge(s: np.ndarray, k: int) -> np.ndarray:
-    """Each row's k-th best score, less what rounding may hide."""
-    n = min(k, s.shape[1])
-    return np.partition(s, -n, axis=1)[:, -n] - 1e-7
+def bm25_topk(index: TextIndex, queries: DataFrame, k: int = 10, tenant: str | None = None, live: Column | None = None) -> DataFrame:
+    """See ``inverted.topk``."""
+    return inverted.topk(index, queries, k, tenant, live)
 
 
 def _same_tenant(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     return mine[:, None] == theirs[None, :]
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int = 10, tenant: str | None = None, live: Column | None = None) -> DataFrame:
-    """The ``k`` best chunks of each question: query_id, chunk_id, score, rank.
-
-    ``live`` (a condition on the index's columns, such as not deleted) and
-    ``tenant`` (a column of both sides that must be equal) narrow the result;
-    statistics are of the whole index, as an index filter leaves them.
-    """
-    held = index if live is None else index.where(live)
-    if queries.limit(QUESTIONS + 1).count() > QUESTIONS:
-        hits = bm25(index, queries)
-        if live is not None or tenant:
-            hits = hits.join(held.select("chunk_id", *([tenant] if tenant else [])), "chunk_id")
-        if tenant:
-            hits = hits.join(queries.select("query_id", F.col(tenant).alias("asked_by")), "query_id").where(F.col(tenant) == F.col("asked_by"))
-        return ranked(hits.select("query_id", "chunk_id", "score"), k)
-    rows = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("ts"), F.col(tenant).alias("tenant") if tenant else F.lit(None).cast("string").alias("tenant")).collect()
-    ids, tenants = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], object)
-    wanted = sorted({t for r in rows for t in r[1] or ()})
-    stats, df = _statistics(index, index.sparkSession.createDataFrame([(t,) for t in wanted], "term string"))
-    n, avgdl = stats.first()
-    known = {r["term"]: r["df"] for r in df.collect()}  # no more than the questions' terms
-    vocabulary = {t: i for i, t in enumerate(known)}
-    idf = np.array([np.log(1 + (n - d + 0.5) / (d + 0.5)) for d in known.values()])
-    holders: list[list[int]] = [[] for _ in known]
-    for q, r in enumerate(rows):
-        for t in r[1] or ():
-            if t in vocabulary:
-                holders[vocabulary[t]].append(q)
-    starts = np.concatenate(([0], np.cumsum([len(h) for h in holders]))).astype(np.int64)
-    flat = np.array([q for h in holders for q in h], np.int64)
-    sent = index.sparkSession.sparkContext.broadcast((ids, tenants, vocabulary, idf, starts, flat))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tenants, vocabulary, idf, starts, flat = sent.value
-        best: pd.DataFrame | None = None
-        step = max(1, CELLS // max(1, len(ids)))
-        for pdf in parts:
-            for at in range(0, len(pdf) if len(ids) else 0, step):
-                some = pdf.iloc[at : at + step]
-                found = [[(vocabulary[t], f) for t, f in zip(terms, tfs) if t in vocabulary] for terms, tfs in zip(some["terms"], some["tfs"])]
-                row = np.repeat(np.arange(len(some)), [len(x) for x in found])
-                if not len(row):
-                    continue
-                term, tf = np.array([x for xs in found for x in xs], np.int64).T
-                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * some["dl"].to_numpy()[row] / avgdl))
-                count = starts[term + 1] - starts[term]
-                q = flat[np.repeat(starts[term] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
-                s = np.bincount(q * len(some) + np.repeat(row, count), np.repeat(weight, count), minlength=len(ids) * len(some)).reshape(len(ids), len(some))
-                if tenant:
-                    s = np.where(_same_tenant(tenants, some[tenant].to_numpy()), s, 0.0)
-                i, j = np.nonzero((s > 0) & (s >= _edge(s, k)[:, None]))
-                best = _best(best, pd.DataFrame({"query_id": ids[i], "chunk_id": some["chunk_id"].to_numpy()[j], "score": s[i, j]}), k)
-        if best is not None:
-            yield best
-
-    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", queries), ("chunk_id", index))]
-    columns = ["chunk_id", "dl", "terms", "tfs", *([tenant] if tenant else [])]
-    return ranked(held.select(*columns).mapInPandas(search, f"{', '.join(kinds)}, score double"), k)
-
-
-def ranked(hits: DataFrame, k: int, score: str = "score", by: str = "chunk_id", group: str = "query_id") -> DataFrame:
-    """The ``k`` best of each group with ``rank`` from 1; scores equal to eight places are ties, which go to the smaller id."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.round(score, 8)), by)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _scores(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
     """Questions by rows; what has no measure (zero vectors under cosine) is minus infinity."""
     s = q @ x.T
@@ -169,7 +60,7 @@ def _scores(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
 def _vector_hits(queries: DataFrame, corpus: DataFrame, k: int | None, measure: str, threshold: float | None, tenant: str | None) -> DataFrame:
     """``(query_id, chunk_id, score)``: each task's ``k`` best of each question, or all at or over the threshold."""
     spark, own = queries.sparkSession, F.col(tenant) if tenant else F.lit(None).cast("string")
-    asked = queries.select("query_id", "embedding", own.alias("tenant")).where("embedding is not null")
+    asked = (known_tenants(queries, tenant) if tenant else queries).select("query_id", "embedding", own.alias("tenant")).where("embedding is not null")
     held = corpus.select("chunk_id", "embedding", own.alias("tenant")).where("embedding is not null")
     least = -np.inf if threshold is None else threshold
     kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", queries), ("chunk_id", corpus))]
@@ -181,7 +72,7 @@ def _vector_hits(queries: DataFrame, corpus: DataFrame, k: int | None, measure:
             s = _scores(q[at : at + step], x, measure)
             if tenant:
                 s = np.where(_same_tenant(tenants[at : at + step], theirs), s, -np.inf)
-            i, j = np.nonzero((s > -np.inf) & (s >= least) & (True if k is None else s >= _edge(s, k)[:, None]))
+            i, j = np.nonzero((s > -np.inf) & (s >= least) & (True if k is None else s >= edge(s, k)[:, None]))
             yield pd.DataFrame({"query_id": ids[at : at + step][i], "chunk_id": chunks[j], "score": s[i, j]})
 
     def matrix(v) -> np.ndarray:
@@ -200,7 +91,7 @@ def _vector_hits(queries: DataFrame, corpus: DataFrame, k: int | None, measure:
                     if k is None:
                         yield some
                     else:
-                        best = _best(best, some, k)
+                        best = best_of(best, some, k)
             if best is not None:
                 yield best
 
@@ -219,7 +110,6 @@ def _vector_hits(queries: DataFrame, corpus: DataFrame, k: int | None, measure:
                 side = lambda rows: (np.array([r["id"] for r in rows]), matrix(r["embedding"] for r in rows), np.array([r["tenant"] for r in rows], object))
                 yield from block(*side(q), *side(c))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return pairs.select("q", "c").mapInPandas(search_pairs, schema)
 
 
@@ -238,5 +128,5 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, measure: str
 
 
 def known_tenants(queries: DataFrame, tenant: str = "tenant") -> DataFrame:
-    """Questions of a tenant that is not null or blank; the others are not searched for at all."""
-    return queries.where(F.col(tenant).isNotNull() & (F.trim(tenant) != ""))
+    """Questions of a tenant that is neither null nor white space; the others are not searched for at all."""
+    return queries.where(has_text(F.col(tenant)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.text import snippet
-from ..operators import chain, evaluate, fusion, retrieve
+from ..operators import chain, evaluate, fusion, inverted, retrieve
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .registry import query
@@ -50,7 +50,8 @@ def question_vectors(spark, sf_dir):
 
 
 def index(spark, sf_dir):
-    return retrieve.index_chunks(chunks(spark, sf_dir))
+    """The index of all documents, made by the first query that needs it."""
+    return retrieve.kept_index(chunks(spark, sf_dir))
 
 
 def bm25_hits(spark, sf_dir):
@@ -74,6 +75,20 @@ def bm25_topk(spark, sf_dir):
     return _hits(bm25_hits(spark, sf_dir))
 
 
+LATER = r"""documents as (select doc_id, case when doc_id % 7 = 0 then 'renewed words of the ' || text else text end as text, source from memory_documents where doc_id % 5 <> 0
+  union all select doc_id + 1000000000, 'a new text about ' || text, source from memory_documents where doc_id % 50 = 1)"""
+
+
+@query("index_refresh", f"with memory_documents as (select * from documents), {LATER.replace('documents as (', 'docs as (', 1)}, {BM.replace('from documents)', 'from docs)')} select query_id, chunk_id, round(score, 6) as score, rank from bm")
+def index_refresh(spark, sf_dir):
+    """Hits of an index after an upsert of known and new chunks and a delete: those of an index built anew."""
+    c = chunks(spark, sf_dir)
+    changed = c.where("chunk_id % 7 = 0").withColumn("text", F.concat(F.lit("renewed words of the "), "text"))
+    new = c.where("chunk_id % 50 = 1").select((F.col("chunk_id") + 1_000_000_000).alias("chunk_id"), F.concat(F.lit("a new text about "), "text").alias("text"), "source")
+    grown = inverted.upsert(retrieve.index_chunks(c), changed.unionByName(new))
+    return _hits(retrieve.bm25_topk(inverted.delete(grown, c.where("chunk_id % 5 = 0").select("chunk_id")), questions(spark, sf_dir)))
+
+
 @query("bm25_tenant_filtered", f"with {BM}, fl as (select bs.* from bs join documents d on d.doc_id = bs.chunk_id where d.source = 'src3') select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 8) desc, chunk_id) as rank from fl) where rank <= 10")
 def bm25_tenant_filtered(spark, sf_dir):
     return _hits(retrieve.bm25_topk(index(spark, sf_dir), questions(spark, sf_dir), live=F.col("source") == "src3"))
@@ -157,11 +172,13 @@ def trace_metrics(spark, sf_dir):
     )
 
 
-@query("fail_closed", f"with {BM} select query_id, count(*) as n from bm where query_id % 2 = 0 group by query_id")
+@query("fail_closed", f"with {BM} select query_id, least(count(*), 10) as n from bs where query_id % 2 = 0 and chunk_id % 3 > 0 group by query_id")
 def fail_closed(spark, sf_dir):
-    """Questions of blank tenants (the odd ones) find nothing."""
-    q = questions(spark, sf_dir).withColumn("tenant", F.when(F.col("query_id") % 2 == 0, F.lit("t")).otherwise(F.lit(" ")))
-    return retrieve.bm25_topk(index(spark, sf_dir), retrieve.known_tenants(q)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    """Questions of no tenant or one of white space (the odd ones) find nothing, not even chunks of no tenant."""
+    q = questions(spark, sf_dir).withColumn("tenant", F.when(F.col("query_id") % 2 == 0, F.lit("t")).when(F.col("query_id") % 4 == 1, F.lit("\t\n ")))
+    owner = F.when(F.col("chunk_id") % 3 > 0, F.lit("t")).when(F.col("chunk_id") % 9 > 0, F.lit("\t\n "))
+    held = retrieve.index_chunks(chunks(spark, sf_dir).withColumn("tenant", owner))
+    return retrieve.bm25_topk(held, q, tenant="tenant").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # what holds a benchmark text word for word is what its question should find
@@ -270,8 +287,8 @@ def _owned(spark, sf_dir):
 @query("hybrid_tenant", f"with {BM}, {VE}, {TEN} select query_id, chunk_id, round(fusion_score, 9) as fusion_score, vector_rank, bm25_rank, fused_rank from rt where fused_rank <= 10 and query_id % 7 <> 3")
 def hybrid_tenant(spark, sf_dir):
     """Both paths see only what a question's own tenant holds and has not deleted; questions of nobody are not searched for."""
-    tenant = F.when(F.col("query_id") % 7 == 3, F.lit(" ")).otherwise(F.concat(F.lit("src"), (F.col("query_id") % 4).cast("string")))
-    asked = lambda q: retrieve.known_tenants(q.withColumn("tenant", tenant))
+    tenant = F.when(F.col("query_id") % 14 == 3, F.lit("\t")).when(F.col("query_id") % 7 != 3, F.concat(F.lit("src"), (F.col("query_id") % 4).cast("string")))
+    asked = lambda q: q.withColumn("tenant", tenant)
     owned = _owned(spark, sf_dir)
     b = retrieve.bm25_topk(retrieve.index_chunks(owned), asked(questions(spark, sf_dir)), tenant="tenant", live=~F.col("is_deleted"))
     held = vectors(spark, sf_dir).join(owned.drop("text"), "chunk_id")

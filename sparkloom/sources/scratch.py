@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -31,3 +32,20 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_path(df: DataFrame, what: str) -> str:
+    """A folder below the shared one for what is made of the files that ``df`` reads: another one as soon as a file, its size or its time changes."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    seen = hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.update(f"{name}|{status.getLen()}|{status.getModificationTime()}\n".encode())
+    return f"{shared_dir(spark)}/{what}-{seen.hexdigest()[:24]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

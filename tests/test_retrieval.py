@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import chain, fusion, retrieve
+from sparkloom.operators import chain, fusion, inverted, retrieve
 
 
 def rows(df):
@@ -47,8 +47,10 @@ def brute_bm25(chunks, asked, k, allowed):
 
 @pytest.mark.parametrize("questions", [20_000, 0])
 def test_bm25_both_ways_against_brute_force(spark, corpus, questions, monkeypatch):
-    monkeypatch.setattr(retrieve, "QUESTIONS", questions)
-    monkeypatch.setattr(retrieve, "CELLS", 50)
+    monkeypatch.setattr(inverted, "QUESTIONS", questions)
+    monkeypatch.setattr(inverted, "CELLS", 50)
+    monkeypatch.setattr(inverted, "CELL", 40)
+    monkeypatch.setattr(inverted, "TERMS", 7)
     chunks, asked, c, a = corpus
     index = retrieve.index_chunks(chunks)
     assert rows(retrieve.bm25_topk(index, asked, 5)) == brute_bm25(c, a, 5, lambda q, x: True)
@@ -101,7 +103,8 @@ def test_guards_and_prompts(spark):
     df = spark.createDataFrame(asked, "event_id long, tenant string, s long, tokens long, text string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     out = {r.event_id: r for r in chain.guarded(df, 100, 1, 60).collect()}
     codes = [out[i].error_code for i in range(1, 10)]
-    assert codes == [None, "RATE_LIMITED", "TOKEN_BUDGET_EXCEEDED", "PROMPT_INJECTION", "RATE_LIMITED", "IDENTITY_INCOMPLETE", "IDENTITY_INCOMPLETE", "PROMPT_INJECTION", None]
+    # what is turned away books no tokens, so the third request is within the budget
+    assert codes == [None, "RATE_LIMITED", None, "PROMPT_INJECTION", "RATE_LIMITED", "IDENTITY_INCOMPLETE", "IDENTITY_INCOMPLETE", "PROMPT_INJECTION", None]
     assert out[9].sanitized == "mail ***@***.***"
     q = spark.createDataFrame([(1, "what {context}?"), (2, "none")], "query_id long, text string")
     finals = spark.createDataFrame([(1, 7, 2, "second"), (1, 5, 1, "first {query}")], "query_id long, chunk_id long, final_rank int, content string")
