@@ -38,6 +38,8 @@ from ..sources.scratch import scratch
 from .rank import best_of, edge, ranked, small
 
 K1, B = 1.2, 0.75
+#: Changes with what is in the files.
+FORMAT = 3
 #: Hash buckets of terms for each cell, and at most; chunks of a cell.
 BUCKETS, MOST_BUCKETS, CELL = 4, 256, 4_096
 #: Questions up to this many are one block that is sent to all tasks; more are joined on their terms, with the same hits.

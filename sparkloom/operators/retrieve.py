@@ -33,8 +33,13 @@ def index_chunks(chunks: DataFrame, text: str = "text", path: str | None = None)
 
 def kept_index(chunks: DataFrame, text: str = "text") -> TextIndex:
     """As ``index_chunks``, once for the files that ``chunks`` are read from: later calls open what is there."""
-    spark, path = chunks.sparkSession, kept_path(chunks, f"index-{'-'.join(chunks.columns)}")
-    return inverted.open_index(spark, path) if exists(spark, f"{path}/manifest/version=1/_SUCCESS") else index_chunks(chunks, text, path)
+    spark, path = chunks.sparkSession, kept_path(chunks, f"index-{inverted.FORMAT}-{'-'.join(chunks.columns)}")
+    if exists(spark, f"{path}/manifest/version=1/_SUCCESS"):
+        index = inverted.open_index(spark, path, 1)
+        if all(exists(spark, f"{path}/{part}/segment={s}/_SUCCESS") for part in ("chunks", "postings", "dfs", "dead") for s in index.segments):
+            return index
+        path = None  # somebody has cleared away parts of it
+    return index_chunks(chunks, text, path)
 
 
 def bm25_topk(index: TextIndex, queries: DataFrame, k: int = 10, tenant: str | None = None, live: Column | None = None) -> DataFrame:

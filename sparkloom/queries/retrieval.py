@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.text import snippet
-from ..operators import chain, evaluate, fusion, inverted, retrieve
+from ..operators import chain, contain, evaluate, fusion, inverted, retrieve
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .registry import query
@@ -194,14 +194,14 @@ me as (select ex.query_id, negative, case when len(expected) > 0 then coalesce(f
 
 def cases(spark, sf_dir):
     q = questions(spark, sf_dir)
-    held = chunks(spark, sf_dir).alias("c").join(retrieve.small(q).alias("q"), F.contains(F.col("c.text"), F.col("q.text"))).select("q.query_id", "c.chunk_id")
+    held = contain.containing(chunks(spark, sf_dir), q, index(spark, sf_dir))
     want = held.groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("expected"))
     none = F.array().cast("array<long>")
     return q.select("query_id").join(want, "query_id", "left").select("query_id", (F.col("query_id") % 5 == 4).alias("negative"), F.coalesce("expected", none).alias("expected"))
 
 
 def case_metrics(spark, sf_dir):
-    c = cases(spark, sf_dir)
+    c = stored(cases(spark, sf_dir))
     return c.select("query_id", "negative").join(evaluate.metrics(c, bm25_hits(spark, sf_dir)), "query_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, documents
+from ..operators import chunking, contain, documents
 from ..sources.tables import table
 from .registry import query, sql_has_text, sql_stripped
 
@@ -84,6 +84,19 @@ def strip_code_fence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(content).cast("long").alias("n"), F.sha2(content, 256).alias("content"))
 
 
+TERMS = "te as (select distinct unnest(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]{4,}')) as term from benchmark)"
+
+
+@query("term_table_guard", f"with {TERMS} select doc_id, count(*) as terms, sha256(string_agg(term, ',' order by term)) as found from documents join te on contains(lower(text), term) group by doc_id")
+def term_table_guard(spark, sf_dir):
+    """Texts against a table of terms (all words of four letters or more of the benchmark), as parts of words too."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{4,}"), F.lit(0))
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("term")).distinct().select(F.col("term").alias("term_id"), "term")
+    met = contain.terms_found(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), terms, ignore_case=True)
+    listed = F.array_join(F.array_sort(F.collect_list("term_id")), ",")
+    return met.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.sha2(listed, 256).alias("found"))
+
+
 @query("split_fixed")
 def split_fixed(spark, sf_dir):
     return chunking.split_documents(table(spark, sf_dir, "documents"))
