@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import has_any
 from ..operators import chain, metering, retrieve
+from ..sources.scratch import scratch
 from ..sources.tables import table
-from ..streaming import flows
+from ..streaming import answers, flows, ledger
 from .registry import query
 
 
@@ -184,6 +185,65 @@ def admission_counters(spark, sf_dir):
     return metering.admission_counters(judged)
 
 
+# an answer is a conversation's assistant turns, each in two pieces; some fail, some never end, some are of tools
+ANSWERS = """a as (select conv_id, row_number() over (partition by conv_id order by turn, text) - 1 as n, text from conversations where role = 'assistant'),
+p as (select conv_id, 2 * n as part, substr(text, 1, length(text) // 2) as text from a union all select conv_id, 2 * n + 1, substr(text, length(text) // 2 + 1) from a),
+w as (select conv_id, string_agg(text, '' order by part) as answer, list(text order by part) as pieces, conv_id % 4 = 1 as tool from p group by conv_id),
+fr as (select conv_id, case when conv_id % 13 = 5 then [{'event': 'ERROR', 'data': 'model failed'}] when conv_id % 11 = 0 then [{'event': 'ERROR', 'data': 'The answer did not end in time.'}]
+  else (case when contains(answer, 'ndthe') or contains(answer, 'hathe') then [{'event': 'message', 'data': 'This answer was withheld.'}] else list_transform(list_filter(pieces, lambda x: x <> ''), lambda x: {'event': 'message', 'data': x}) end)
+    || (case when not tool then [{'event': 'TRACE', 'data': '{"conv":' || conv_id || '}'}] when conv_id % 8 = 1 then [{'event': 'TOOL_CALL', 'data': '{"conv":' || conv_id || '}'}] else [] end) || [{'event': 'message', 'data': '[DONE]'}] end as fs from w),
+frames as (select conv_id, i - 1 as seq, fs[i].event as event, fs[i].data as data from (select conv_id, fs, unnest(range(1, len(fs) + 1)) as i from fr))"""
+
+
+FORBIDDEN = ("ndthe", "hathe")
+
+
+def answer_parts(spark, sf_dir):
+    """The parts of all answers, with some of them twice."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    a = turns.select("conv_id", (2 * (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1)).cast("long").alias("n"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    piece = F.posexplode(F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1))).alias("h", "text")
+    tokens = a.select("conv_id", "n", piece).select("conv_id", (F.col("n") + F.col("h")).alias("part"), F.lit("TOKEN").alias("kind"), "text")
+    ends = a.groupBy("conv_id").agg((F.max("n") + 2).alias("part")).where("conv_id % 13 = 5 or conv_id % 11 <> 0")
+    kind = F.when(F.col("conv_id") % 13 == 5, F.lit("ERROR")).when(F.col("conv_id") % 4 == 1, F.lit("END_TOOL")).otherwise(F.lit("END"))
+    payload = F.when(kind == "ERROR", F.lit("model failed")).when((kind == "END") | (F.col("conv_id") % 8 == 1), F.format_string('{"conv":%d}', "conv_id")).otherwise(F.lit(""))
+    both = tokens.unionByName(ends.select("conv_id", "part", kind.alias("kind"), payload.alias("text")))
+    twice = both.withColumn("again", F.explode(F.sequence(F.lit(0), F.when(F.xxhash64("conv_id", "part") % 5 == 0, 1).otherwise(0)))).drop("again")
+    return twice.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("part") % 60))
+
+
+def answer_stream(spark, sf_dir):
+    """The parts in an order that has nothing to do with theirs, over six batches, and a clock that goes on after."""
+    path = scratch(spark, "parts")
+    parts = answer_parts(spark, sf_dir)
+    parts.repartition(6, F.xxhash64("conv_id", "part", "text")).write.parquet(f"{path}/0")
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("part"), F.lit("TOKEN").alias("kind"), F.lit("").alias("text"), F.timestamp_seconds(F.lit(1_700_100_000)).alias("ts"))
+    clock.write.parquet(f"{path}/1")
+    return spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+@query("answer_frames", f"with {ANSWERS} select conv_id, seq, event, sha256(data) as data from frames")
+def answer_frames(spark, sf_dir):
+    out = answers.frames_of_all(answer_parts(spark, sf_dir), FORBIDDEN)
+    return out.select("conv_id", F.col("seq").cast("long").alias("seq"), "event", F.sha2("data", 256).alias("data"))
+
+
+@query("stream_answers", f"with {ANSWERS} select conv_id, seq, event, sha256(data) as data from frames")
+def stream_answers(spark, sf_dir):
+    out = flows.run_to_table(answers.frames(answer_stream(spark, sf_dir), FORBIDDEN), "append")
+    return out.where("conv_id >= 0").select("conv_id", F.col("seq").cast("long").alias("seq"), "event", F.sha2("data", 256).alias("data"))
+
+
+@query("stream_audit", f"with {ANSWERS} select conv_id, case when max(event) filter (event = 'ERROR') is null then 'SUCCESS' else 'ERROR' end as status, sha256(string_agg(data, '' order by seq) filter (event = 'message' and data <> '[DONE]')) as answer, max(data) filter (event = 'ERROR') as error, count(*) as n_frames from frames group by conv_id")
+def stream_audit(spark, sf_dir):
+    """The frames of the stream to one audit row an answer, written once."""
+    path = scratch(spark, "audit")
+    ledger.run(answers.frames(answer_stream(spark, sf_dir), FORBIDDEN), path, answers.answered)
+    out = ledger.written(spark, path, "conv_id long, status string, answer string, error string, n_frames long")
+    return out.where("conv_id >= 0").withColumn("answer", F.sha2("answer", 256))
+
+
 @query("event_tumbling", "select event_type, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as n from events group by 1, 2")
 def event_tumbling(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -28,12 +28,12 @@ def output_blacklist(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_any(F.col("text"), T.terms("The,Und", lower=False), False).alias("blocked"))
 
 
-@query("stream_guard_replace", "with s as (select conv_id, string_agg(text, '' order by turn) as answer from conversations where role = 'assistant' group by conv_id) select conv_id, contains(answer, 'password') as blocked, sha256(case when contains(answer, 'password') then 'This answer was withheld.' else answer end) as shown from s")
+@query("stream_guard_replace", "with s as (select conv_id, string_agg(text, '' order by turn) as answer from conversations where role = 'assistant' group by conv_id) select conv_id, contains(answer, 'hathe') as blocked, sha256(case when contains(answer, 'hathe') then 'This answer was withheld.' else answer end) as shown from s")
 def stream_guard_replace(spark, sf_dir):
     """Parts of an answer are joined first, so that a term split over two of them is seen."""
     parts = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     whole = parts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("answer"))
-    hit = T.has_any(F.col("answer"), ["password"], False)
+    hit = T.has_any(F.col("answer"), ["hathe"], False)
     return whole.select("conv_id", hit.alias("blocked"), F.sha2(F.when(hit, F.lit("This answer was withheld.")).otherwise(F.col("answer")), 256).alias("shown"))
 
 
