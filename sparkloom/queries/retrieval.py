@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.text import snippet
-from ..operators import chain, contain, evaluate, fusion, inverted, retrieve
+from ..operators import chain, contain, evaluate, fusion, inverted, retrieve, vector_index
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .registry import query
@@ -110,6 +110,29 @@ def vector_topk_l2(spark, sf_dir):
     return _hits(retrieve.ranked(hits, 10))
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, sf_dir):
+    """As ``vector_topk_cosine``, by the cells of the index; which hits an index finds SQL can't say."""
+    index = vector_index.kept_index(vectors(spark, sf_dir))
+    return _hits(vector_index.topk(index, question_vectors(spark, sf_dir)))
+
+
+@query("vector_index_recall", f"with {VE} select count(*) as nearest, true as recall_is_enough from ve")
+def vector_index_recall(spark, sf_dir):
+    """How many true nearest ones there are, and whether the index finds nine tenths of them."""
+    found, true = stored(vector_index_topk(spark, sf_dir)), vector_hits(spark, sf_dir)
+    both = true.join(found.select("query_id", "chunk_id", F.lit(1).alias("met")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("nearest"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("recall_is_enough"))
+
+
+@query("vector_index_cells", "select count(*) as vectors, true as all_indexed from embeddings")
+def vector_index_cells(spark, sf_dir):
+    """Every vector lies in one cell."""
+    index = vector_index.kept_index(vectors(spark, sf_dir))
+    held = index.vectors().select("chunk_id", "cell").alias("i").join(vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "right")
+    return held.agg(F.count(F.lit(1)).alias("vectors"), (F.count("cell") == F.count(F.lit(1))).alias("all_indexed"))
+
+
 @query("vector_threshold", f"with {VE} select query_id, chunk_id, round(score, 6) as score, rank from ve where score >= 0.1")
 def vector_threshold(spark, sf_dir):
     return _hits(vector_hits(spark, sf_dir, threshold=0.1))
