@@ -9,7 +9,7 @@ from ..functions.text import has_any
 from ..operators import chain, metering, retrieve
 from ..sources.scratch import scratch
 from ..sources.tables import table
-from ..streaming import answers, flows, ledger
+from ..streaming import answers, flows, ledger, subscriptions
 from .registry import query
 
 
@@ -244,6 +244,39 @@ def stream_audit(spark, sf_dir):
     return out.where("conv_id >= 0").withColumn("answer", F.sha2("answer", 256))
 
 
+READERS = """ac as (select 't' || user_id % 20 as topic, 's' || event_id % 5 as subscriber, event_id as seq, ts, case event_type when 'signup' then 'SUBSCRIBE' else 'UNSUBSCRIBE' end as action from events where event_type in ('signup', 'view')),
+sp as (select *, lead(ts) over (partition by topic, subscriber order by ts, seq) as until from ac),
+dl as (select e.topic, e.id, sp.subscriber, e.body from (select 't' || user_id % 20 as topic, event_id as id, ts, event_type as body from events where event_type not in ('signup', 'view')) e
+  join sp on sp.topic = e.topic and action = 'SUBSCRIBE' and e.ts >= sp.ts and (until is null or e.ts < until))"""
+
+
+def _read_and_asked(e):
+    """Events of twenty topics, and the actions of their five subscribers."""
+    topic = F.concat(F.lit("t"), (F.col("user_id") % 20).cast("string")).alias("topic")
+    ts = F.col("ts").cast("timestamp").alias("ts")
+    told = e.where("event_type not in ('signup', 'view')").select(topic, F.col("event_id").alias("id"), ts, F.col("event_type").alias("body"))
+    action = F.when(F.col("event_type") == "signup", F.lit("SUBSCRIBE")).otherwise(F.lit("UNSUBSCRIBE")).alias("action")
+    asked = e.where("event_type in ('signup', 'view')").select(topic, F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("subscriber"), F.col("event_id").alias("seq"), ts, action)
+    return told, asked
+
+
+@query("subscribed_events", f"with {READERS} select * from dl")
+def subscribed_events(spark, sf_dir):
+    return subscriptions.delivered(*_read_and_asked(table(spark, sf_dir, "events")))
+
+
+@query("stream_subscriptions", f"with {READERS} select * from dl")
+def stream_subscriptions(spark, sf_dir):
+    """The same of streams: the events in an order of their own over four batches, and a clock that goes on after them."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    path = scratch(spark, "events")
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(f"{path}/0")
+    clock = e.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts")).select("event_id", "ts", F.lit(None).cast("long").alias("user_id"), F.lit("view").alias("event_type"))
+    clock.unionByName(clock.withColumn("user_id", F.lit(0).cast("long")).withColumn("event_type", F.lit("click"))).coalesce(1).write.parquet(f"{path}/1")
+    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    return flows.run_to_table(subscriptions.stream(*_read_and_asked(files), late="40 days"), "append")
+
+
 @query("event_tumbling", "select event_type, time_bucket(interval '1 hour', ts)::timestamp as start, count(*) as n from events group by 1, 2")
 def event_tumbling(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
