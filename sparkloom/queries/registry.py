@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import catalog, documents, events, retrieval, text  # noqa: E402,F401
+from . import answers, catalog, documents, events, retrieval, text  # noqa: E402,F401

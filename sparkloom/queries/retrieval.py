@@ -233,14 +233,14 @@ def retrieval_metrics(spark, sf_dir):
     return case_metrics(spark, sf_dir).select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "context_precision")])
 
 
-REPORT = f"with {BM}, {RE}, rp as (select count(*) as n_cases, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as mrr, round(avg(context_precision), 6) as context_precision, round(avg(case when not negative then 1 + query_id % 5 end)::double, 6) as faithfulness, round(avg(case when negative then case when query_id % 3 = 0 then 1.0::double else 0.0::double end end), 6) as rejection from me)"
+REPORT = f"with {BM}, {RE}, rp as (select count(*) as n_cases, count(recall) as n_retrieval, count(*) filter (not negative and query_id % 6 <> 1) as n_generation, count(*) filter (negative and query_id % 7 <> 2) as n_negative, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as mrr, round(avg(context_precision), 6) as context_precision, round(avg(case when not negative and query_id % 6 <> 1 then 1 + query_id % 5 end)::double, 6) as faithfulness, round(avg(case when not negative and query_id % 6 <> 1 then 1 + query_id % 3 end)::double, 6) as relevancy, round(avg(case when negative and query_id % 7 <> 2 then case when query_id % 3 = 0 then 1.0::double else 0.0::double end end), 6) as rejection from me)"
 
 
 def report(spark, sf_dir):
-    """Judge scores are an input; here they follow from the question's number."""
-    m = case_metrics(spark, sf_dir)
-    verdict = F.when(F.col("query_id") % 3 == 0, F.lit("rejected")).otherwise(F.lit("PARTIAL"))
-    judged = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 5 == 4).alias("negative"), (1 + F.col("query_id") % 5).alias("faithfulness"), verdict.alias("verdict"))
+    """Judge scores are an input; here they follow from the question's number, and some are missing."""
+    m, n = case_metrics(spark, sf_dir), F.col("query_id")
+    verdict = F.when(n % 7 != 2, F.when(n % 3 == 0, F.lit("rejected")).otherwise(F.lit("PARTIAL")))
+    judged = questions(spark, sf_dir).select("query_id", (n % 5 == 4).alias("negative"), F.when(n % 6 != 1, 1 + n % 5).alias("faithfulness"), (1 + n % 3).alias("relevancy"), verdict.alias("verdict"))
     return evaluate.report(m.drop("negative"), judged)
 
 
