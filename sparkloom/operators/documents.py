@@ -137,10 +137,20 @@ def inserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return fresh.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(*[F.col(key) if c == key else F.col(f"r.`{c}`").alias(c) for c in new.columns])
 
 
-def bulk_failures(items: DataFrame, by: str) -> DataFrame:
-    """``items(by, id, error)`` of a bulk write: how many, how many failed, and the five smallest failed ids."""
+def bulk_failures(items: DataFrame, by: str, examples: int = 5) -> DataFrame:
+    """``items(by, id, error)`` of a bulk write: how many, how many failed, and the smallest failed ids.
+
+    Ids are cut to the smallest ones of each of 64 hash ranges before they
+    meet, so a source that fails as a whole brings no long list to any task.
+    """
     failed = F.col("error").isNotNull()
-    return items.groupBy(by).agg(F.count(F.lit(1)).alias("items"), F.count_if(failed).alias("failed"), F.slice(F.array_sort(F.collect_set(F.when(failed, F.col("id")))), 1, 5).alias("examples"))
+    ids = items.where(failed & F.col("id").isNotNull()).select(by, "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).distinct()
+    for keys in ([by, "part"], [by]):
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("place") <= examples).drop("place")
+    shown = ids.groupBy(F.col(by).alias("of")).agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    counts = items.groupBy(by).agg(F.count(F.lit(1)).alias("items"), F.count_if(failed).alias("failed"))
+    none = F.array().cast(shown.schema["examples"].dataType)
+    return counts.join(shown, F.col(by).eqNullSafe(F.col("of")), "left").select(by, "items", "failed", F.coalesce("examples", none).alias("examples"))
 
 
 def ingested(files: DataFrame, parser: str = "NATIVE", tokens: int = chunking.TOKENS) -> tuple[DataFrame, DataFrame]:

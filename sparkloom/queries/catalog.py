@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import catalog
+from ..sources import keyed
+from ..sources.scratch import scratch
 from ..sources.tables import table, without_documents
 from .registry import query
 
@@ -46,6 +48,26 @@ def cascade_delete(spark, sf_dir):
     return out
 
 
+GONE = "(select doc_id from labels where toxic = 1)"
+
+
+@query("cascade_rewrite", f"""select 'documents' as kind, count(*) as left_rows, sum(doc_id)::bigint as ids, 0 as again from documents where doc_id not in {GONE} union all select 'labels', count(*), sum(doc_id)::bigint, 0 from labels where doc_id not in {GONE}
+union all select 'embeddings', count(*), sum(vec_id)::bigint, 0 from embeddings where vec_id not in {GONE} union all select 'pages', count(*), sum(page_id)::bigint, 0 from pages where page_id not in {GONE} union all select 'messages', count(*), sum(conv_id)::bigint, 0 from conversations where conv_id not in {GONE}""")
+def cascade_rewrite(spark, sf_dir):
+    """A delete over five tables that rewrites the buckets it touches; a second one finds nothing to write."""
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    columns = {"documents": ("doc_id", "source"), "labels": ("doc_id", "toxic"), "embeddings": ("vec_id", "label"), "pages": ("page_id", "url"), "messages": ("conv_id", "turn", "text")}
+    base = scratch(spark, "tables")
+    made = {name: keyed.create(table(spark, sf_dir, "conversations" if name == "messages" else name).select(*cols), f"{base}/{name}", cols[0], 16) for name, cols in columns.items()}
+    keyed.cascade(made, gone, "doc_id")
+    again = keyed.cascade(made, gone, "doc_id")
+    out = None
+    for name, t in made.items():
+        n = t.read().agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("left_rows"), F.sum(t.key).alias("ids"), F.lit(len(again[name])).alias("again"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("stratified_sample", "select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as n from documents) where n <= 5")
 def stratified_sample(spark, sf_dir):
     w = Window.partitionBy("lang").orderBy("doc_id")
