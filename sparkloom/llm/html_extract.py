@@ -1,7 +1,7 @@
 """Main text of HTML pages by union-free regular-expression inference.
 
 The different pages of each host's template (the set of a page's element paths
-to depth ``DEPTH``) are aligned, one after the other, into a wrapper: a sequence
+to depth ``DEPTH``, what is in a marked article aside) are aligned, one after the other, into a wrapper: a sequence
 of tags, fixed texts, text slots, optional groups and repeated groups. Where two
 texts differ a slot is made; where tags differ, a block that repeats the one
 before it becomes a repeated group, and otherwise what the other side lacks
@@ -10,18 +10,21 @@ of a template is folded in its own group, and the wrappers of the ranges are
 then aligned with each other, so that a host with a third of all pages is no
 single task's work and no page is held longer than it is aligned.
 
-From the wrapper come the template's fixed texts, which no page's article holds
-(texts that at least ``LEAST_PAGES`` pages and ``FIXED_SHARE`` of all have at
-their place in it), and the element that holds most slot text, which is the
-article where a page marks none. An article that a page marks by element or role
-stays whole.
-
-A page's article is what stands in its article or main element (else in the
-wrapper's), less the elements in it that by name, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments. Elements
-around a marked article count by name and role, and by class only if they hold
-comments, adverts or related pages: a page's outermost elements are often named
-after what stands in them.
+Every page takes part, whether it marks its article or not, and every text comes
+through the wrapper of its page's template. The wrapper tells the article's
+elements: those that its pages mark by element or role, or, where they mark
+none, the one that holds most slot text. It tells the template's fixed texts,
+which no unmarked article holds (texts that at least ``LEAST_PAGES`` pages and
+``FIXED_SHARE`` of all have at their place in it); a marked article stays whole.
+And it tells which elements in an article belong to the template.
+
+From an article go the elements that by name or role are menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments. Elements whose
+class or id is, as a whole, a listed word go if ``LEAST_PAGES`` pages of the
+template have them, or if it has not so many pages: what fewer of its pages have
+is text of theirs (a dinner's menu). Elements around a marked article count by
+name and role, and by class only if they hold comments, adverts or related
+pages: a page's outermost elements are often named after what stands in them.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -52,8 +55,8 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 # fixed values: element names
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "td", "th"}
-BESIDE = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map", "math"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "td", "th"}
+BESIDE = {"nav", "footer", "aside", "form", "head", "select", "option", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 # fixed values: words of class and id attributes
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "sponsors", "promo", "promotion", "sidebar", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "toolbar", "pagination", "pager", "masthead"}
@@ -63,6 +66,11 @@ APART = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "s
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MARKED = {"article", "main"}
+# fixed values: element names of MathML that stand in a line
+MATHS = {"mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mspace", "mstyle", "mpadded", "mphantom", "merror", "menclose", "semantics"}
+INLINE |= MATHS
+#: Elements that stand in an article rather than hold one.
+INNER = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tbody", "thead", "tfoot", "tr", "caption", "address", "hr"}
 
 
 def lex(page: str) -> Iterator[tuple]:
@@ -117,38 +125,54 @@ def _beside(name: str, attributes: dict[str, str], in_article: bool) -> int:
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
         return 2
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
-    return 2 if words & (MARKS if in_article else APART) else int(bool(words & MARKS))
+    if in_article:
+        return 0
+    words = _words(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return 2 if words & APART else int(bool(words & MARKS))
+
+
+def _words(name: str) -> set[str]:
+    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+
 
+def _listed(attributes: dict[str, str]) -> bool:
+    """Whether a class or the id is made of listed words alone."""
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return any((words := _words(name)) and words <= MARKS for name in names)
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
-    """(path, mark, in a link, text) of each block outside of what stands beside articles; the mark is 2 in a marked article, 1 in one that stands in an element named like something else."""
-    stack: list[list] = []  # name, signature, beside, marked
+
+def blocks(page: str) -> list[tuple]:
+    """(path, mark, in a link, parts, root) of each block outside of what stands beside articles.
+
+    The mark is 2 in a marked article, 1 in one that stands in an element named
+    like something else; ``root`` is the path of the article's element. A part is
+    its text and the element of a listed class that it stands in, if any.
+    """
+    stack: list[list] = []  # name, signature, beside, marked, root, listed
     out: list[tuple] = []
-    parts: list[str] = []
+    parts: list[tuple[str, str]] = []
     linked = total = 0
 
     def end_block() -> None:
         nonlocal linked, total
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
+            if entities.unescape("".join(x[0] for x in parts)).strip():
                 mark = (2 - stack[-1][2]) * stack[-1][3] if stack else 0
-                out.append((tuple(x[1] for x in stack if x[0] not in INLINE), mark, linked * 2 > total, text))
+                out.append((tuple(x[1] for x in stack if x[0] not in INLINE), mark, linked * 2 > total, tuple(parts), stack[-1][4] if stack else ""))
             parts.clear()
             linked = total = 0
 
     for token in lex(page):
         if token[0] == "text":
             if not stack or stack[-1][2] < (2 if stack[-1][3] else 1):
-                parts.append(token[1])
+                parts.append((token[1], stack[-1][5] if stack else ""))
                 size = len(token[1].strip())
                 total += size
                 linked += size * any(x[0] == "a" for x in stack)
             continue
         name = token[1]
         if name in ("td", "th"):
-            parts.append(" ")
+            parts.append((" ", ""))
         elif name not in INLINE:
             end_block()
         if token[0] == "open":
@@ -160,10 +184,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
             if name in VOID:
                 continue
             attributes = _attributes(token[2]) if token[2].strip(" /\t\r\n") else {}
-            above = stack[-1] if stack else [None, None, 0, False]
+            above = stack[-1] if stack else [None, None, 0, False, "", ""]
             marked = above[3] or name in MARKED or attributes.get("role", "").lower() == "main"
             beside = max(above[2], _beside(name, attributes, above[3]))
-            stack.append([name, f"{name}.{attributes['class']}" if attributes.get("class") else name, beside, marked and beside < 2])
+            signature = f"{name}.{attributes['class']}" if attributes.get("class") else name
+            root, listed = above[4], above[5]
+            if marked and not above[3]:
+                root = "/".join([*(x[1] for x in stack if x[0] not in INLINE), signature])
+            if above[3] and not listed and name not in MARKED and _listed(attributes):
+                listed = re.sub(r"[0-9]+", "0", f"{signature}#{attributes.get('id', '')}")
+            stack.append([name, signature, beside, marked and beside < 2, root, listed])
         elif any(x[0] == name for x in stack):
             while stack.pop()[0] != name:
                 pass
@@ -171,18 +201,62 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, bool, str]]:
     return out
 
 
-# A wrapper is a list of nodes: ["t", path], ["c", path, text, size, pages], ["s", path, size], ["o", nodes], ["r", nodes].
+# A wrapper's nodes: ["t", path], ["c", path, text, size, pages], ["s", path, size], ["o", nodes], ["r", nodes].
+
+
+def _text(block: tuple, gone: Callable[[str], bool] = bool) -> str:
+    """A block's text, without the parts in elements that are gone (all of a listed class, if nothing is said)."""
+    return " ".join(entities.unescape("".join(t for t, listed in block[3] if not (listed and gone(listed)))).split())
 
 
 def stream(found: list[tuple]) -> list[list]:
-    """A page's blocks as wrapper nodes: each as its element and its text. Text in links has no size."""
+    """A page's blocks as wrapper nodes: each as its element and its text, by digest. Text in links has no size."""
     out = []
-    for path, _, linked, text in found:
-        out.append(["t", "/".join(path)])
-        out.append(["c", "/".join(path), text, 0 if linked else len(text), 1])
+    for block in found:
+        if text := _text(block):
+            path = "/".join(block[0])
+            out.append(["t", path])
+            out.append(["c", path, _block_digest(path, text), 0 if block[2] else len(text), 1])
     return out
 
 
+def _sample(found: list[tuple]) -> dict:
+    """A page as a wrapper of its own: nodes, marks of article elements by path, pages that have an element of a listed class."""
+    roots: dict[str, int] = {}
+    for block in found:
+        if block[1]:
+            roots[block[4]] = max(block[1], roots.get(block[4], 0))
+    return {"nodes": stream(found), "roots": roots, "seen": dict.fromkeys(sorted({x[1] for b in found for x in b[3] if x[1]}), 1)}
+
+
+def _joined(a: dict, b: dict) -> dict:
+    """One wrapper for the pages of two."""
+    return {
+        "nodes": align(a["nodes"], b["nodes"]),
+        "roots": {r: max(a["roots"].get(r, 0), b["roots"].get(r, 0)) for r in sorted({*a["roots"], *b["roots"]})},
+        "seen": dict(Counter(a["seen"]) + Counter(b["seen"])),
+    }
+
+
+def _plain(nodes: list[list]) -> bool:
+    return all(n[0] not in "or" for n in nodes)
+
+
+def _optional(nodes: list[list]) -> list[list]:
+    """Nodes that may be absent: runs of them as a group each, beside the groups that they hold, so that none nests in another."""
+    out: list[list] = []
+    run: list[list] = []
+    for node in nodes:
+        if node[0] in "or":
+            if run:
+                out.append(["o", run])
+                run = []
+            out.append(node)
+        else:
+            run.append(node)
+    return [*out, ["o", run]] if run else out
+
+
 def _same(a: list, b: list) -> list | None:
     """Two nodes that match, as one; or nothing."""
     if a[0] == "t":
@@ -236,8 +310,12 @@ def align(w: list[list], s: list[list]) -> list[list]:
     while i < len(w) and j < len(s):
         a, b = w[i], s[j]
         if a[0] in "or" and b[0] in "or":
-            if _same(a[1][0], b[1][0]) if a[1][0][0] not in "or" else False:
-                out.append(["r" if "r" in a[0] + b[0] else "o", align(a[1], b[1])])
+            body = align(a[1], b[1]) if _same(a[1][0], b[1][0]) else []
+            if body and "r" not in a[0] + b[0]:
+                out += _optional(body)
+                j += 1
+            elif body and _plain(body):
+                out.append(["r", body])
                 j += 1
             else:
                 out.append(a)
@@ -257,13 +335,13 @@ def align(w: list[list], s: list[list]) -> list[list]:
             out.append(one)
             i, j = i + 1, j + 1
             continue
-        if len(out) >= 2 and out[-2][0] == "t" and (got := _take(out[-2:], s, j)):  # the sample repeats the block before
+        if len(out) >= 2 and out[-2][0] == "t" and out[-1][0] in "cs" and (got := _take(out[-2:], s, j)):  # the sample repeats the block before
             out[-2:] = [["r", got[0]]]
             j = got[1]
             while got := _take(out[-1][1], s, j):
                 out[-1], j = ["r", got[0]], got[1]
             continue
-        if len(out) >= 2 and out[-2][0] == "t" and (got := _take(out[-2:], w, i)):  # the wrapper does
+        if len(out) >= 2 and out[-2][0] == "t" and out[-1][0] in "cs" and (got := _take(out[-2:], w, i)):  # the wrapper does
             out[-2:] = [["r", got[0]]]
             i = got[1]
             while got := _take(out[-1][1], w, i):
@@ -277,23 +355,25 @@ def align(w: list[list], s: list[list]) -> list[list]:
             continue
         next_s, next_w = ahead(in_s, a, j), ahead(in_w, b, i)
         if next_s is not None and (next_w is None or next_s - j <= next_w - i):
-            out.append(["o", s[j:next_s]])
+            out += _optional(s[j:next_s])
             j = next_s
         elif next_w is not None:
-            out.append(["o", w[i:next_w]])
+            out += _optional(w[i:next_w])
             i = next_w
         else:
             out += [["o", [a]], ["o", [b]]]
             i, j = i + 1, j + 1
-    if i < len(w):
-        out.append(["o", w[i:]])
-    if j < len(s):
-        out.append(["o", s[j:]])
-    return out
+    return [*out, *_optional(w[i:]), *_optional(s[j:])]
+
 
+def conclude(wrapper: dict, pages: int) -> dict:
+    """What a wrapper of so many pages tells.
 
-def conclude(wrapper: list[list], pages: int) -> dict:
-    """What a wrapper of so many pages tells: ``fixed`` (digests of texts at their paths) and the ``main`` path (empty if unknown)."""
+    ``roots``, the paths of marked articles, of the best ``mark`` that there is;
+    without any, the ``main`` path (empty if unknown) and ``fixed`` (digests of
+    texts at their paths). ``own``: elements of a listed class that are not the
+    template's but text of a few of its pages.
+    """
     mass: Counter = Counter()
     fixed: set[int] = set()
 
@@ -303,25 +383,28 @@ def conclude(wrapper: list[list], pages: int) -> dict:
                 weigh(node[1], repeated or node[0] == "r")
                 continue
             if node[0] == "c" and not repeated and node[4] >= LEAST_PAGES and node[4] >= FIXED_SHARE * pages:
-                fixed.add(_block_digest(node[1], node[2]))
+                fixed.add(node[2])
             elif node[0] in "cs":
                 path = node[1].split("/")
                 for k in range(1, len(path) + 1):
                     mass["/".join(path[:k])] += node[3 if node[0] == "c" else 2]
 
-    weigh(wrapper, False)
+    weigh(wrapper["nodes"], False)
     most = max(mass.values(), default=0)
     main = max((p for p, v in mass.items() if v >= 0.7 * most), key=lambda p: (p.count("/"), p), default="")
-    return {"fixed": sorted(fixed), "main": main}
+    mark = max(wrapper["roots"].values(), default=0)
+    roots = sorted(r for r, v in wrapper["roots"].items() if v == mark)
+    own = sorted(k for k, n in wrapper["seen"].items() if n < LEAST_PAGES <= pages)
+    return {"fixed": sorted(fixed), "main": main, "mark": mark, "roots": roots, "own": own}
 
 
-NOTHING = {"fixed": [], "main": ""}
+NOTHING = {"fixed": [], "main": "", "mark": 0, "roots": [], "own": []}
 
 
 def infer(pages: list[str]) -> dict:
     """What some pages of one template have in common, aligned in the order of their text."""
-    streams = [s for s in (stream(blocks(p)) for p in sorted(set(pages))) if s]
-    return conclude(reduce(align, streams), len(streams)) if streams else NOTHING
+    samples = [_sample(found) for found in map(blocks, sorted(set(pages))) if found]
+    return conclude(reduce(_joined, samples), len(samples)) if samples else NOTHING
 
 
 def extract(page: str | None, wrapper: dict) -> str:
@@ -330,15 +413,27 @@ def extract(page: str | None, wrapper: dict) -> str:
 
 
 def _extract(found: list[tuple], wrapper: dict) -> str:
-    most = max((b[1] for b in found), default=0)
-    if most:
-        return "\n".join(b[3] for b in found if b[1] == most)  # a marked article is whole
+    own = set(wrapper.get("own", ()))
+    texts = [(b, text) for b in found if (text := _text(b, lambda listed: listed not in own))]
+    roots = set(wrapper.get("roots", ()))
+    marked = [text for b, text in texts if b[1] and b[1] == wrapper.get("mark") and b[4] in roots]
+    if not marked and (most := max((b[1] for b, _ in texts), default=0)):  # a page that marks its article unlike the others
+        marked = [text for b, text in texts if b[1] == most]
+    if marked:
+        return "\n".join(marked)
     if wrapper["main"]:
-        inside = wrapper["main"].split("/")
-        within = [b for b in found if list(b[0][: len(inside)]) == inside]
-        found = within or [b for b in found if not b[2]] or found
+        inside = _holder(wrapper["main"].split("/"))
+        within = [(b, text) for b, text in texts if list(b[0][: len(inside)]) == inside and not (b[2] and inside[-1:] in ([], ["html"], ["body"]))]
+        texts = within or [(b, text) for b, text in texts if not b[2]] or texts
     fixed = set(wrapper["fixed"])
-    return "\n".join(b[3] for b in found if not fixed or _block_digest("/".join(b[0]), b[3]) not in fixed)
+    return "\n".join(text for b, text in texts if not fixed or _block_digest("/".join(b[0]), text) not in fixed)
+
+
+def _holder(path: list[str]) -> list[str]:
+    """The element that holds a path's paragraphs, lists and tables."""
+    while path and path[-1].partition(".")[0] in INNER:
+        path = path[:-1]
+    return path
 
 
 def _block_digest(path: str, text: str) -> int:
@@ -348,8 +443,8 @@ def _block_digest(path: str, text: str) -> int:
 
 
 def template(found: list[tuple]) -> str:
-    """What pages of one template have in common: the element paths of their blocks, cut at a depth."""
-    return "\n".join(sorted({"/".join(b[0][:DEPTH]) for b in found}))
+    """What pages of one template have in common: the element paths of their blocks, cut at a depth and at a marked article."""
+    return "\n".join(sorted({b[4] if b[1] else "/".join(b[0][:DEPTH]) for b in found}))
 
 
 def host(url: str = "url") -> Column:
@@ -374,7 +469,7 @@ def _aligned(last: bool):
                         yield told()
                     now, wrapper, page, pages = (h, name, share), json.loads(nodes), at, n
                 else:
-                    wrapper, pages = align(wrapper, json.loads(nodes)), pages + n
+                    wrapper, pages = _joined(wrapper, json.loads(nodes)), pages + n
         if now is not None:
             yield told()
 
@@ -382,7 +477,7 @@ def _aligned(last: bool):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)``: for each host a JSON object of its templates' conclusions, from all different pages without a marked article."""
+    """``(host, wrapper)``: for each host a JSON object of its templates' conclusions, from all different pages."""
     rows = pages.select(host().alias("host"), "html").where("html is not null")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,11 +485,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             out = []
             for h, page in zip(pdf["host"], pdf["html"]):
                 found = blocks(page)
-                if not found or any(b[1] for b in found):
-                    continue  # the article is marked, and no wrapper is looked at
+                if not found:
+                    continue
                 whole = hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()
                 name = hashlib.md5(template(found).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((h, name, whole, 1, json.dumps(stream(found))))
+                out.append((h, name, whole, 1, json.dumps(_sample(found))))
             yield pd.DataFrame(out, columns=["host", "template", "page", "pages", "wrapper"])
 
     schema = "host string, template string, page string, pages int, wrapper string"

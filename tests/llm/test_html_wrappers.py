@@ -81,3 +81,62 @@ def test_html_long_pages_and_other_columns(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string, share int")
     out = html_extract.main_text(df).collect()
     assert len(out) == 2 and {r.text for r in out} == {"\n".join(f"para {i}" for i in range(20_000))}
+
+
+def depth(nodes):
+    return max((1 + depth(n[1]) for n in nodes if n[0] in "or"), default=0)
+
+
+def test_groups_do_not_nest():
+    """Each page lacks one more of the tail than the one before it: no recursion, whatever the number of pages."""
+    path = [f"<p class=c{i}>text {i}</p>" for i in range(1_800)]
+    pages = ["<div>" + "".join(path[:n]) + "</div>" for n in range(1_800, 0, -3)]
+    samples = [html_extract._sample(html_extract.blocks(p)) for p in pages]
+    whole = samples[0]
+    for s in samples[1:]:
+        whole = html_extract._joined(whole, s)
+    assert depth(whole["nodes"]) == 1
+    assert [n[0] for n in html_extract.align(whole["nodes"], samples[5]["nodes"])] == [n[0] for n in whole["nodes"]]
+    mixed = html_extract.infer([f"<div>{'<p>a</p>' * (i % 7)}{f'<ul><li>x{i}</ul>' * (i % 3)}{'<h2>h</h2><p>b</p>' * (i % 5)}</div>" for i in range(400)])
+    assert mixed["mark"] == 0
+
+
+def test_five_thousand_pages_of_one_template(spark):
+    pages = [f"<body><div class=top><p>Site line</p></div><div class=story><h1>Head {i}</h1><p>{f'text {i} ' * 30}</p>{''.join(f'<p class=t{k}>tail {i} {k} words</p>' for k in range(i % 40))}</div></body>" for i in range(5_000)]
+    out = texts(spark, pages)
+    assert len(out) == 5_000 and all("Site line" not in t for t in out.values())
+    assert out[39].count("\n") == 40 and out[39].startswith("Head 39\n")
+
+
+def test_text_of_an_article_with_words_in_its_names(spark):
+    inside = [
+        '<p class="market-share">Shares fell</p>', '<section id="ad-hoc-networks"><p>Networks form</p></section>', '<p class="notice-period">Three months</p>',
+        '<div id="dinner-menu"><p>Soup</p></div>', '<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>', '<p>Press <button>Start</button> now</p>',
+    ]
+    want = ["Shares fell", "Networks form", "Three months", "Soup", "Let x=2 be", "Press Start now"]
+    one = "<body><article><h1>T</h1>" + "".join(inside) + "</article></body>"
+    assert html_extract.extract(one, html_extract.NOTHING) == "\n".join(["T", *want])
+    out = texts(spark, [one.replace("T<", f"T{i}<") for i in range(5)])
+    assert all(out[i] == "\n".join([f"T{i}", *want]) for i in range(5))
+
+
+def test_the_wrapper_tells_listed_classes_of_the_template_from_text(spark):
+    """An element named ``ad`` that the template's pages have goes, one named ``menu`` that one page has is its text."""
+    pages = [f"<body><article><h1>T{i}</h1><p>Body {i} of it <span class=promo>Buy {i}</span> goes on</p><div class=ad>Offer {i}</div>{'<div class=menu><p>Soup of the day</p></div>' if i == 3 else ''}</article></body>" for i in range(8)]
+    out = texts(spark, pages)
+    assert all(out[i] == f"T{i}\nBody {i} of it goes on" + ("\nSoup of the day" if i == 3 else "") for i in range(8))
+    assert html_extract.extract(pages[3], html_extract.NOTHING) == "T3\nBody 3 of it goes on"
+
+
+def test_marked_pages_come_through_their_wrapper():
+    pages = [f"<body><div class=cards><main><p>Page {i}</p></main></div></body>" for i in range(4)]
+    wrapper = html_extract.infer(pages)
+    assert wrapper["roots"] == ["body/div.cards/main"] and wrapper["mark"] == 2
+    other = "<body><main><p>Elsewhere</p></main></body>"
+    assert html_extract.extract(other, wrapper) == "Elsewhere"
+
+
+def test_headings_and_lists_of_unmarked_articles(spark):
+    pages = [f"<body><div class=top><p>Site line</p></div><div class=story><h1>Head {i}</h1><p>{f'text {i} ' * 30}</p><ul><li>item {i}</li></ul></div></body>" for i in range(6)]
+    out = texts(spark, pages)
+    assert all(out[i].split("\n")[0] == f"Head {i}" and out[i].endswith(f"item {i}") for i in range(6))
