@@ -210,13 +210,24 @@ def _text(block: tuple, gone: Callable[[str], bool] = bool) -> str:
 
 
 def stream(found: list[tuple]) -> list[list]:
-    """A page's blocks as wrapper nodes: each as its element and its text, by digest. Text in links has no size."""
-    out = []
+    """A page's blocks as wrapper nodes: each as its element and its text, by digest. Text in links has no size.
+
+    Blocks of a marked article that repeat the element before them are one
+    repeated group from the start: no text in it is told to be fixed.
+    """
+    out: list[list] = []
+    before = None
     for block in found:
         if text := _text(block):
-            path = "/".join(block[0])
-            out.append(["t", path])
-            out.append(["c", path, _block_digest(path, text), 0 if block[2] else len(text), 1])
+            path, size = "/".join(block[0]), 0 if block[2] else len(text)
+            if not block[1] or path != before:
+                out.append(["t", path])
+                out.append(["c", path, _block_digest(path, text), size, 1])
+            elif out[-1][0] == "r":
+                out[-1][1][1][2] += size
+            else:
+                out[-2:] = [["r", [["t", path], ["s", path, out[-1][3] + size]]]]
+            before = path if block[1] else None
     return out
 
 
