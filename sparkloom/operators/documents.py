@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import parsers
+from ..sources.scratch import stored
 from . import chunking
 
 #: Parsers by name: a function of files ``(doc_id, content)`` to pages ``(doc_id, page_number, text)``.
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "NATIVE": lambda files: files.select("doc_id", F.lit(1).alias("page_number"), F.col("content").cast("string").alias("text")),
+    **{kind: lambda files, kind=kind: parsers.parsed(files, kind).where("error is null").drop("error") for kind in ("HTML", "DOCX")},
 }
 #: Text of fewer characters a page than this, over the first ``PROBED`` pages, is taken for a scan.
 DENSITY, PROBED = 50, 3
@@ -160,6 +163,21 @@ def ingested(files: DataFrame, parser: str = "NATIVE", tokens: int = chunking.TO
     """
     pages = PARSERS[parser](files).join(files.drop("content"), "doc_id")
     chunks = chunked(pages, tokens)
+    return chunks, _summary(files, chunks)
+
+
+def _summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
     counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("token_count").alias("tokens"), F.count_if(F.col("chunk_type") == "TABLE").alias("tables"))
     done = F.when(F.col("chunk_count").isNull(), F.lit("FAILED")).otherwise(F.lit("SUCCESS"))
-    return chunks, files.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("tables", F.lit(0)).alias("tables"), done.alias("status"))
+    return files.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("tables", F.lit(0)).alias("tables"), done.alias("status"))
+
+
+def ingested_files(files: DataFrame, tokens: int = chunking.TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Files ``(doc_id, content, kind, ...)``, each by its kind's parser, to chunks and a summary as ``ingested`` has them, with the ``error`` of files that could not be read.
+
+    Ids are unique. Pages are written to the shared folder once, as both results read them.
+    """
+    read = stored(parsers.parsed(files))
+    chunks = chunked(read.where("error is null").drop("error").join(files.drop("content"), "doc_id"), tokens)
+    errors = read.where("error is not null").select("doc_id", "error")
+    return chunks, _summary(files, chunks).join(errors, "doc_id", "left")

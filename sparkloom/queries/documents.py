@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents
+from ..sources import parsers
 from ..sources.tables import table
 from .registry import query, sql_has_text, sql_stripped
 
@@ -162,6 +163,33 @@ def ingested_documents(spark, sf_dir):
     return summary.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "SUCCESS").alias("succeeded"))
 
 
+@query("parsed_pages", r"""with body as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\s+', ' ', 'g') as h from pages),
+  plain as (select page_id, regexp_replace(regexp_replace(h, '</?(html|body|nav|ul|li|div|article|h1|p|footer|br)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from body),
+  lines as (select page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as l from plain)
+  select page_id, len(l) as lines, md5(array_to_string(l, chr(10))) as text_md5 from lines where len(l) > 0""")
+def parsed_pages(spark, sf_dir):
+    """HTML files to the lines of their bodies."""
+    p = parsers.parsed(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content")), "HTML")
+    return p.select(F.col("doc_id").alias("page_id"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("ingested_kinds", """with f as (select text, case doc_id % 5 when 0 then 'TXT' when 1 then 'MD' when 2 then 'HTML' when 3 then 'DOCX' else 'PDF' end as kind from documents)
+  select kind, count(*) as files, count(*) filter (kind in ('TXT', 'MD', 'HTML') and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 10) as succeeded,
+  count(*) filter (kind = 'DOCX') as broken, count(*) filter (kind = 'PDF') as without_parser from f group by 1""")
+def ingested_kinds(spark, sf_dir):
+    """Documents as files of a kind each, chunked whatever becomes of the others: those called DOCX hold no archive, and PDF has no parser."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    kind = _pick(["TXT", "MD", "HTML", "DOCX", "PDF"], n.cast("int"))
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    content = F.when(n == 2, F.concat(F.lit("<html><body><p>"), escaped, F.lit("</p></body></html>"))).otherwise(F.col("text"))
+    files = d.select("doc_id", content.cast("binary").alias("content"), kind.alias("kind"))
+    _, summary = documents.ingested_files(files)
+    return summary.join(files.select("doc_id", "kind"), "doc_id").groupBy("kind").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),
+        F.count_if(F.col("error") == "BadZipFile").alias("broken"), F.count_if(F.col("error") == "no parser").alias("without_parser"),
+    )
+
+
 @query("injection_defaults", "select conv_id, turn, contains(lower(text), 'x') or turn % 3 = 0 as rejected from conversations")
 def injection_defaults(spark, sf_dir):
     """Every third turn tries one of the default terms, in capitals; and one more term is configured."""
