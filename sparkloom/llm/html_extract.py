@@ -50,6 +50,8 @@ DEPTH, LEAST_PAGES, FIXED_SHARE = 3, 3, 0.8
 SHARES = (4_096, 64, 1)
 #: Wrappers of up to so many bytes in all are broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Wrappers leave a task in batches of about so many characters.
+HELD_CHARS = 1 << 20
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
 # fixed values: element names
@@ -466,23 +468,32 @@ def host(url: str = "url") -> Column:
 def _aligned(last: bool):
     """Rows in the order of their group to one wrapper for each; ``last`` gives what it tells instead."""
 
+    columns = ["host", "template", "page", "pages", "wrapper"]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = wrapper = page = None
-        pages = 0
+        pages = held = 0
+        out: list[tuple] = []
 
-        def told() -> pd.DataFrame:
-            return pd.DataFrame([(*now[:2], page, pages, json.dumps(conclude(wrapper, pages) if last else wrapper))], columns=["host", "template", "page", "pages", "wrapper"])
+        def told() -> None:
+            nonlocal held
+            out.append((*now[:2], page, pages, json.dumps(conclude(wrapper, pages) if last else wrapper)))
+            held += len(out[-1][-1])
 
         for pdf in parts:
             for h, name, share, at, n, nodes in zip(pdf["host"], pdf["template"], pdf["share"], pdf["page"], pdf["pages"], pdf["wrapper"]):
                 if (h, name, share) != now:
                     if now is not None:
-                        yield told()
+                        told()
+                    if held > HELD_CHARS:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
                     now, wrapper, page, pages = (h, name, share), json.loads(nodes), at, n
                 else:
                     wrapper, pages = _joined(wrapper, json.loads(nodes)), pages + n
         if now is not None:
-            yield told()
+            told()
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
