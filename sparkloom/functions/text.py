@@ -165,3 +165,8 @@ def time_shown(ts: Column) -> Column:
 def bar_width(v: Column, most: Column) -> Column:
     """Percent of the most, at least two; none for none."""
     return F.when(v.isNull(), F.lit(0.0)).otherwise(F.greatest(F.abs(v) / F.greatest(F.abs(most), F.lit(1e-9)) * 100, F.lit(2.0)))
+
+
+def bar_height(v: Column, most: Column) -> Column:
+    """Parts of 64 of the most, at least six; six for none."""
+    return F.greatest(F.coalesce(v / F.greatest(most, F.lit(1)) * 64, F.lit(0.0)), F.lit(6.0))

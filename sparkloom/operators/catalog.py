@@ -62,6 +62,12 @@ def newest(rows: DataFrame, *by: str, version: str) -> DataFrame:
     return best.select(*by, *[F.col(f"r.`{c}`").alias(c) for c in rest])
 
 
+def of_version(asked: DataFrame, templates: DataFrame) -> DataFrame:
+    """``asked(name, version, ...)`` with the ``content`` of that template; of several rows of one version that of the smallest id, null for unknown ones."""
+    one = templates.where(F.col("name").isNotNull() & F.col("version").isNotNull()).groupBy("name", "version").agg(F.min_by("content", "id").alias("content"))
+    return asked.join(one, ["name", "version"], "left")
+
+
 def chat_window(messages: DataFrame, keep: int = 20, by: str = "conv_id", turn: str = "turn") -> DataFrame:
     """The last ``keep`` messages of each conversation, and all of the system."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(turn)))

@@ -156,6 +156,12 @@ def bulk_failures(items: DataFrame, by: str, examples: int = 5) -> DataFrame:
     return counts.join(shown, F.col(by).eqNullSafe(F.col("of")), "left").select(by, "items", "failed", F.coalesce("examples", none).alias("examples"))
 
 
+def with_most(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows with ``most``, the highest ``value`` of their ``by`` (nulls are one): aggregated first, so that a hot one is no task of its own."""
+    top = rows.groupBy(F.col(by).alias("_by")).agg(F.max(value).alias("most"))
+    return rows.join(top, rows[by].eqNullSafe(top["_by"]), "left").drop("_by")
+
+
 def ingested(files: DataFrame, parser: str = "NATIVE", tokens: int = chunking.TOKENS) -> tuple[DataFrame, DataFrame]:
     """Files ``(doc_id, content, ...)`` to their chunks, with all other columns, and one row per document with its counts and status.
 

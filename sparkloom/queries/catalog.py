@@ -150,6 +150,16 @@ def prompt_templates(spark, sf_dir):
     return catalog.newest(d, "name", "kind", version="version")
 
 
+@query("prompt_versions", """with t as (select source as name, n_chars % 5 as version, arg_min(md5(text), doc_id) as content from documents group by 1, 2)
+  select d.doc_id, t.content from documents d left join t on t.name = d.source and t.version = d.n_chars % 7""")
+def prompt_versions(spark, sf_dir):
+    """Templates by name and version; some ask for versions that are not there."""
+    d = table(spark, sf_dir, "documents")
+    known = d.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), (F.col("n_chars") % 5).alias("version"), F.md5(F.col("text").cast("binary")).alias("content"))
+    asked = d.select("doc_id", F.col("source").alias("name"), (F.col("n_chars") % 7).alias("version"))
+    return catalog.of_version(asked, known).select("doc_id", "content")
+
+
 @query("success_documents", "select source, count(*) as documents, sum(coalesce(case when doc_id % 6 > 0 then n_chars end, 0))::bigint as total from documents where doc_id % 4 = 0 group by 1")
 def success_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("doc_id") % 4 == 0, F.lit("SUCCESS")).otherwise(F.lit("FAILED"))).withColumn("chunk_count", F.when(F.col("doc_id") % 6 > 0, F.col("n_chars")))

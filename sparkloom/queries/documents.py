@@ -204,12 +204,17 @@ def injection_defaults(spark, sf_dir):
   case event_id % 8 when 0 then 5 when 1 then 15 when 2 then 30 when 3 then 50 when 4 then 85 when 5 then 100 when 6 then 0 end as percent, try_cast(case when event_id % 4 = 0 then 'p' || event_id else ' ' || event_id end as int) as page from events""")
 def display_fields(spark, sf_dir):
     """How numbers and times are shown."""
-    from pyspark.sql.window import Window
-
     stages = ["READING", "TRANSFORMING", "PERSISTING", "EMBEDDING", "INDEXING", "COMPLETED", "FAILED", "UNKNOWN"]
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
-    most = F.max(F.abs("value")).over(Window.partitionBy("event_type"))
-    return e.select(
+    most = F.col("most")
+    return documents.with_most(e.select("*", F.abs("value").alias("size_of")), "event_type", "size_of").select(
         "event_id", T.time_shown(F.col("ts")).alias("time"), T.score_shown(F.col("value")).alias("score"), T.size_shown(n * 977).alias("size"), F.round(T.bar_width(F.col("value"), most), 6).alias("bar"),
         T.stage_percent(_pick(stages, (n % 8).cast("int"))).alias("percent"), T.page_number(F.concat(F.when(n % 4 == 0, F.lit("p")).otherwise(F.lit(" ")), n.cast("string"))).alias("page"),
     )
+
+
+@query("chunk_bars", "select doc_id, round(greatest(n_chars / greatest(max(n_chars) over (partition by source), 1)::double * 64, 6), 6) as height from documents")
+def chunk_bars(spark, sf_dir):
+    """How high each one's bar stands beside its source's longest."""
+    d = documents.with_most(table(spark, sf_dir, "documents"), "source", "n_chars")
+    return d.select("doc_id", F.round(T.bar_height(F.col("n_chars"), F.col("most")), 6).alias("height"))

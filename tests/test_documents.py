@@ -102,3 +102,12 @@ def test_files_and_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["recall 1.0"]
     with pytest.raises(KeyError):
         documents.PARSERS["NONE"]
+
+
+def test_bars_and_versions(spark):
+    rows = spark.createDataFrame([("a", 10), ("a", 5), ("a", None), (None, 4), (None, 0), ("z", 0)], "k string, n int")
+    out = documents.with_most(rows, "k", "n").select("k", "n", "most", T.bar_height(F.col("n"), F.col("most")).alias("h")).collect()
+    assert {(r.k, r.n): (r.most, r.h) for r in out} == {("a", 10): (10, 64.0), ("a", 5): (10, 32.0), ("a", None): (10, 6.0), (None, 4): (4, 64.0), (None, 0): (4, 6.0), ("z", 0): (0, 6.0)}
+    templates = spark.createDataFrame([(2, "p", "v1", "late"), (1, "p", "v1", "first"), (3, "p", "v2", "two"), (4, None, "v1", "no")], "id int, name string, version string, content string")
+    asked = spark.createDataFrame([("p", "v1"), ("p", "v2"), ("p", "v9"), (None, "v1"), ("q", None)], "name string, version string")
+    assert {(r.name, r.version): r.content for r in catalog.of_version(asked, templates).collect()} == {("p", "v1"): "first", ("p", "v2"): "two", ("p", "v9"): None, (None, "v1"): None, ("q", None): None}
