@@ -97,7 +97,7 @@ def build(vectors: DataFrame, path: str | None = None, measure: str = "cosine",
     x = _unit(np.array([r["embedding"] for r in rows], float).reshape(len(rows), dims), measure)
     k = min(cells or max(1, n // CELL), MOST_CELLS, max(1, len(rows)))
     if k > 1:
-        local = spark.createDataFrame(pd.DataFrame({"v": list(x)})).select(array_to_vector("v").alias("features"))
+        local = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").select(array_to_vector("v").alias("features"))
         model = KMeans(k=k, seed=seed, maxIter=12, initSteps=2).fit(local)
         centres = np.array(model.clusterCenters())
     else:

@@ -59,3 +59,13 @@ def test_small_and_empty_tables(spark, held):
         assert len(rows(vector_index.topk(index, asked, 5))) == 40 * n
     with pytest.raises(ValueError):
         vector_index.topk(index, asked, 5, tenant="tenant")
+
+
+def test_cells_without_arrow(spark, held):
+    """A cluster's session does not turn Arrow on."""
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        assert vector_index.build(held[0], cells=12).vectors().count() == 600
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
