@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import catalog, documents
+from sparkloom.operators import catalog, chunking, documents
 from sparkloom.sources import tables
 
 ROUTES = [
@@ -111,3 +112,19 @@ def test_bars_and_versions(spark):
     templates = spark.createDataFrame([(2, "p", "v1", "late"), (1, "p", "v1", "first"), (3, "p", "v2", "two"), (4, None, "v1", "no")], "id int, name string, version string, content string")
     asked = spark.createDataFrame([("p", "v1"), ("p", "v2"), ("p", "v9"), (None, "v1"), ("q", None)], "name string, version string")
     assert {(r.name, r.version): r.content for r in catalog.of_version(asked, templates).collect()} == {("p", "v1"): "first", ("p", "v2"): "two", ("p", "v9"): None, (None, "v1"): None, ("q", None): None}
+
+
+def test_the_splitter_hands_out_few_chunks_at_a_time(spark):
+    """A task's memory does not grow with the number of texts in a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.range(3_000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("A sentence of a text. "), 200).alias("text"))
+        made = chunking.split_documents(docs)
+        assert int(spark.conf.get(name)) <= 1_000
+        sizes = made.select("doc_id", "content").mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": [len(p)]}) for p in parts), "n long")
+        assert sizes.agg(F.sum("n")).first()[0] == made.count() >= 3_000
+        assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
