@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sparkloom.operators import chain, metering
@@ -144,3 +145,11 @@ def test_guards_in_order(spark):
     out = {r.event_id: (r.error_code, r.sanitized) for r in chain.guarded(rows, 100, 3).collect()}
     assert [out[i][0] for i in range(1, 10)] == [None, "PROMPT_INJECTION", None, "TOKEN_BUDGET_EXCEEDED", "IDENTITY_INCOMPLETE", "IDENTITY_INCOMPLETE", None, None, "PROMPT_INJECTION"]
     assert out[3][1] == "mail ***@***.***"
+
+
+def test_rows_of_a_key_wait_as_columns(monkeypatch):
+    monkeypatch.setattr(flows, "ROWS", 3)
+    fold = flows.Fold(("event_id", "us", "tenant"), ("us", "event_id"), (), "", None, None, [])
+    rows = [Row(us=u, event_id=i, tenant=None if i < 4 else "t", text="x" * 100) for i, u in enumerate([5, 3, 3, 9, 1, 5, 1 << 60])]
+    assert list(fold._in_order(iter(rows))) == sorted(((r.event_id, r.us, r.tenant) for r in rows), key=lambda r: (r[1], r[0]))
+    assert list(fold._in_order(iter(()))) == []
