@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import chain
+from .rank import small
 
 Table = Callable[[DataFrame], DataFrame]
 #: What a guard's rejection is called in the audit, next to its code.
@@ -50,11 +52,14 @@ def answer(requests: DataFrame, steps: list[Step], model: Table) -> DataFrame:
 
 
 def guards(budget: float, limit: int, seconds: int = 60, terms: tuple[str, ...] = T.INJECTION) -> Step:
-    """Budget, rate and what a text must not say, in that order; they are one step, as a request's fate in one is felt in the others."""
+    """Budget, rate and what a text must not say, in that order; they are one step, as a request's fate in one is felt in the others.
+
+    What it decides is written once, as the steps after it look at it several times, and each look would be all tenants' folds anew.
+    """
 
     def before(rows: DataFrame) -> DataFrame:
         judged = chain.guarded(rows.drop("error_code"), budget, limit, seconds, terms)
-        return judged.withColumn("error_class", F.when(F.col("error_code").isNotNull(), F.lit(REJECTION))).drop("text").withColumnRenamed("sanitized", "text")
+        return stored(judged.withColumn("error_class", F.when(F.col("error_code").isNotNull(), F.lit(REJECTION))).drop("text").withColumnRenamed("sanitized", "text"))
 
     return Step(30, "guards", before)
 
@@ -83,15 +88,20 @@ def memory(messages: DataFrame, keep: int = 20) -> Step:
 
 
 def retrieval(search: Table, contents: DataFrame, k: int = 5, key: str = "question") -> Step:
-    """Evidence and prompt: ``search`` gives the hits of ``(query_id, text)``, each different question once, ``contents(chunk_id, text)`` their texts."""
+    """Evidence and prompt: ``search`` gives the hits of ``(query_id, text)``, each different question once, ``contents(chunk_id, text)`` their texts.
+
+    The questions, and the texts that were found, are written once: every use would search and read the texts anew.
+    A request that was turned away gets none, so its row stays small.
+    """
 
     def before(rows: DataFrame) -> DataFrame:
-        asked = rows.where("error_class is null").groupBy(key).agg(F.min("text").alias("text")).withColumnRenamed(key, "query_id")
-        hits = search(asked).where(F.col("rank") <= k).select("query_id", "chunk_id", F.col("rank").alias("final_rank"))
-        finals = contents.select("chunk_id", F.col("text").alias("content")).join(hits, "chunk_id")
+        asked = stored(rows.where("error_class is null").groupBy(key).agg(F.min("text").alias("text")).withColumnRenamed(key, "query_id"))
+        hits = stored(search(asked).where(F.col("rank") <= k).select("query_id", "chunk_id", F.col("rank").alias("final_rank")))
+        finals = stored(contents.select("chunk_id", F.col("text").alias("content")).join(small(hits), "chunk_id"))
         evidence = finals.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.min_by("content", "final_rank").alias("first"))
-        made = chain.prompts(asked, finals).join(evidence, "query_id", "left").withColumnRenamed("query_id", key)
-        return rows.join(made, key, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+        made = chain.prompts(asked, finals).join(evidence, "query_id", "left")
+        met = rows.join(made, F.col("error_class").isNull() & (F.col(key) == F.col("query_id")), "left").drop("query_id")
+        return met.withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
     return Step(500, "retrieval", before)
 
