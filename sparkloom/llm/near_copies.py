@@ -8,12 +8,19 @@ for the parities of the hashes (none of these loses a pair), and then word by wo
 the order, so that few texts meet at any one: the sample decides on speed only,
 as every order finds every pair.
 
+SimHash goes first, by the multi-index search of ``simhash``: fingerprints of the
+shingles that differ in at most 4 bits, neighbours in a bucket ahead of all
+others. It finds most links; each is verified on the words. Texts of similarity
+0.8 differ in about 10 of 64 bits, so the links that it can't see are the
+set-similarity join's.
+
 A dense group has links between almost all of its members. So in rounds, of each
 component that meets at a shingle one text, another in each round, is compared
 with that of the next component, in the order of size and five-word SimHash, and
-(from the second round on) with that of the one with most texts there; what is similar becomes one
+(from the second round on) with that of the one with most texts there, if their
+SimHash is near enough for a link to be likely; what is similar becomes one
 component, until a round finds nothing. The full search then leaves out pairs
-that are in one component already. Texts of the same words are one node.
+that are in one component already, and nothing else. Texts of the same words are one node.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import simhash
 from .common import cut, small_batches, stored, unused
 from .graph import connected_components
 
@@ -38,8 +46,10 @@ PARITY = [f"s{i}" for i in range(WIDE)]
 #: Up to so many texts that candidates name are found by a broadcast of their counted ids; beyond it by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
 SAMPLE, SEEN, MOST_HEAVY = 4_000, 3, 200_000
-#: Rounds of comparing neighbours; what they leave is the full search's work.
-ROUNDS = 6
+#: Bits in which linked fingerprints differ at most.
+BITS = 4
+#: Rounds of comparing neighbours, of which SimHash differs in so many bits at most; what they leave is the full search's work.
+ROUNDS, LIKELY_BITS = 4, 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -197,7 +207,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     met = stored(met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("n > 1").drop("n"))
     sketch = nodes.select("node", "size", *PARITY)
     roots = own.select("node", F.col("node").alias("root"))
-    tested = None
+    tested = linked = None
 
     def meetings() -> DataFrame:
         """Rows of shingles at which different components meet."""
@@ -205,20 +215,43 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         several = rooted.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
         return rooted.join(several, "k")
 
-    def joined(pairs: DataFrame) -> tuple[int, DataFrame]:
-        """How many of ``pairs`` not tested yet are similar, and the roots after it."""
-        nonlocal tested
+    def verified(pairs: DataFrame) -> tuple[int, DataFrame]:
+        """How many of ``pairs`` not tested yet are similar, and these; they are kept as links."""
+        nonlocal tested, linked
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(_still_possible(pairs, nodes))
         tested = pairs if tested is None else tested.union(pairs)
         found = cut(_verified(pairs, texts, own))
-        n = found.count()
+        linked = found if linked is None else linked.union(found)
+        return found.count(), found
+
+    def joined(pairs: DataFrame) -> tuple[int, DataFrame]:
+        """How many of ``pairs`` not tested yet are similar, and roots that these bring together.
+
+        Each root goes to the smallest one beside it, and on to that one's; of a
+        longer chain several roots stay, which costs later rounds some pairs. The
+        components themselves are made of all links in the end.
+        """
+        n, found = verified(pairs)
         if not n:
             return 0, roots
-        ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        step = connected_components(ends).toDF("root", "to")
+        ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
+        step = cut(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to")))
+        step = step.join(step.toDF("to", "on"), "to", "left").select("root", F.coalesce("on", "to").alias("to"))
         return n, stored(roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
+    # SimHash: one text for each fingerprint, the others of the same one beside it
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    segments = simhash.segments_for(prints.count())
+
+    def named(found: DataFrame) -> DataFrame:
+        x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
+        return found.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    same = nodes.select("fp", F.col("node").alias("b")).join(prints.withColumnRenamed("node", "a"), "fp").where("a < b").select("a", "b")
+    _, roots = joined(named(simhash.neighbour_links(prints.select("fp"), BITS, segments=segments)).union(same))
+    rooted = cut(prints.join(roots, "node").select("fp", "root"))
+    _, roots = joined(named(simhash.links(rooted, BITS, segments)))
     for turn in range(ROUNDS):
         first = meetings().groupBy("k", "root").agg(
             F.min_by(F.struct("size", "fp", "node"), F.xxhash64("node", F.lit(turn))).alias("x"), F.count(F.lit(1)).alias("members"),
@@ -226,6 +259,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         follows, largest = Window.partitionBy("k").orderBy("x.size", "x.fp", "x.node"), Window.partitionBy("k").orderBy(F.desc("members"), "root")
         beside = first.select("x", F.lead("x").over(follows).alias("next"), (F.first("x").over(largest) if turn else F.lit(None)).alias("hub")).select("x", F.explode(F.array("next", "hub")).alias("y")).where("y is not null and x.node <> y.node")
         beside = beside.where(5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
+        beside = beside.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= LIKELY_BITS)
         pairs = beside.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         rooted = sketch.join(roots, "node")
         x, y = (rooted.select(F.col("node").alias(c), F.struct("root", "size", *PARITY).alias(f"s{c}")) for c in "ab")
@@ -244,8 +278,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     a, b = left.alias("a"), left.alias("b")
     room = 9 * F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= 4 * (F.col("a.size") + F.col("b.size"))
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")) & room
-    _, roots = joined(a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    return names, roots
+    verified(a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    step = connected_components(linked)
+    return names, stored(own.select("node").join(step, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
