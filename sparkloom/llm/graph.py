@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     seen = _digest(now)
     while seen[0]:
+        now = packed(now, seen[0])
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

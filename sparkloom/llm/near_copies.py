@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simhash
-from .common import cut, small_batches, stored, unused
+from .common import cut, packed, shuffles_dropped, small_batches, stored, unused
 from .graph import connected_components
 
 SHINGLE = 5
@@ -45,6 +45,8 @@ WIDE = 8
 PARITY = [f"s{i}" for i in range(WIDE)]
 #: Up to so many texts that candidates name are found by a broadcast of their counted ids; beyond it by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
+#: Up to so many pairs and links go to nodes and roots by a broadcast.
+FEW_LINKS = 200_000
 SAMPLE, SEEN, MOST_HEAVY = 4_000, 3, 200_000
 #: Bits in which linked fingerprints differ at most.
 BITS = 4
@@ -184,9 +186,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    met = cut(own.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node"))
-    if met.count() <= BROADCAST_ROWS:
-        met = F.broadcast(met)
+    n = pairs.count()
+    if not n:
+        return pairs
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    met = cut(own.join(F.broadcast(asked) if n <= FEW_LINKS else asked, "node", "left_semi"))
+    n = met.count()
+    met = F.broadcast(met) if n <= BROADCAST_ROWS else packed(met, n)
     texts = stored(texts.join(met, ["node", "tk"]).select("node", "text").dropDuplicates(["node"]))
     named = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return named.where(check("ta", "tb")).select("a", "b")
@@ -220,10 +226,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         nonlocal tested, linked
         pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = cut(_still_possible(pairs, nodes))
+        pairs = packed(pairs, pairs.count())
         tested = pairs if tested is None else tested.union(pairs)
         found = cut(_verified(pairs, texts, own))
+        n = found.count()
+        found = packed(found, n)
         linked = found if linked is None else linked.union(found)
-        return found.count(), found
+        return n, found
 
     def joined(pairs: DataFrame) -> tuple[int, DataFrame]:
         """How many of ``pairs`` not tested yet are similar, and roots that these bring together.
@@ -235,10 +244,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         n, found = verified(pairs)
         if not n:
             return 0, roots
-        ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
+        light = F.broadcast if n <= FEW_LINKS else lambda df: df
+        ends = light(light(found).join(roots.toDF("a", "ra"), "a")).join(roots.toDF("b", "rb"), "b").where("ra <> rb")
         step = cut(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to")))
-        step = step.join(step.toDF("to", "on"), "to", "left").select("root", F.coalesce("on", "to").alias("to"))
-        return n, stored(roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        step = packed(step, n)
+        step = step.join(light(step.toDF("to", "on")), "to", "left").select("root", F.coalesce("on", "to").alias("to"))
+        return n, stored(roots.join(light(step), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
     # SimHash: one text for each fingerprint, the others of the same one beside it
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
@@ -292,7 +303,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     i, tk, row = unused(docs, "_id", "_tk", "_row")
     small_batches(docs.sparkSession)
-    names, roots = links(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    with shuffles_dropped(docs.sparkSession):  # what the search gives is written by then
+        names, roots = links(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     gone = roots.where("node <> root").select(F.col("node").alias("low"))
     stay = names.where("node = low").join(gone, "low", "left_anti").select(F.col("node").alias(i), F.col("tk").alias(tk))
     stay = docs.join(stay, (F.col(id_col) == F.col(i)) & (F.xxhash64(text_col) == F.col(tk)), "left_semi")
